@@ -5,10 +5,11 @@ the BPE encoding of its bytes exactly when every two neighbours are, that is whe
 by rank gives back the two tokens. So BPE is a finite-state relation: a state of the nondeterministic
 transducer is the last finished token and a node of the prefix tree of all tokens; a byte moves down the tree,
 and a node that is a token may be finished if it fits the last one. Each prefix of a piece has one encoding
-only, so the determinised state after some bytes is a short list of hypotheses (tokens not yet common to
-all, node of the tree). A token is emitted as soon as all hypotheses agree on it, after a lookahead that
-the longest token bounds. States and transitions are made when a piece first needs them and kept in a table
-of bounded size, which is dropped and grown again when full, as are the encodings of frequent pieces.
+only, so the determinised state after some bytes is a short list of hypotheses (last finished token, node of
+the tree), and exactly one token ends with each byte. Walking back over the ends gives the tokens; what all
+hypotheses share is emitted, after a lookahead that the longest token bounds, so that memory stays bounded in
+pieces of any length. States and transitions are made when a piece first needs them and kept in a table of
+bounded size, which is dropped and grown again when full, as are the encodings of frequent pieces.
 A piece that is a token as a whole is that token, and tokens that merging can't reach are no states.
 
 Decoding. Bytes of tokens pass an incremental UTF-8 machine. For each token and each state of the machine the
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +36,9 @@ from tallyspark.llm.common import ship_package
 
 #: Entries of the caches of a worker, each of some hundred bytes at most.
 MAX_PIECES = 200_000
-MAX_STATES = 100_000
+MAX_STATES = 300_000
+#: Bytes of a piece after which its decided tokens are emitted.
+LOOK_BACK = 4096
 #: Longer pieces are encoded each time anew.
 MAX_CACHED_PIECE = 64
 
@@ -51,33 +55,38 @@ class Transducer:
 
     def __init__(self, vocabulary: list[bytes], max_states: int = MAX_STATES):
         self.vocabulary = vocabulary
+        self.lengths = [len(t) for t in vocabulary]
         self.rank = {t: k for k, t in enumerate(vocabulary)}
         self.max_states = max_states
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
-        self._children: list[dict[int, int]] = [{}]
-        self._token_at: list[int] = [-1]
+        self._bits = len(vocabulary).bit_length()
+        self._fits: dict[int, bool] = {}
+        self._edges: dict[int, tuple | None] = {}
+        #: The prefix tree: child by (node, byte), token of a node, and whether a node has children.
+        self._child: dict[int, int] = {}
+        self._token_at, self._inner = [-1], [True]
         for k, t in enumerate(vocabulary):
             node = 0
             for b in t:
-                nxt = self._children[node].get(b)
+                nxt = self._child.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self._children[node][b] = len(self._children)
-                    self._children.append({})
+                    nxt = self._child[node << 8 | b] = len(self._token_at)
                     self._token_at.append(-1)
+                    self._inner.append(False)
+                    self._inner[node] = True
                 node = nxt
             self._token_at[node] = k
         self._reset()
 
     def _reset(self) -> None:
-        #: By state: its hypotheses, and from a byte to (state after it, tokens emitted).
-        self._states: list[tuple] = [(((), -1, 0),)]
-        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: A state's hypotheses as last token, node, last token, node and so on; the root hypothesis is the last.
+        self._states: list[tuple[int, ...]] = [(-1, 0)]
         self._number = {self._states[0]: 0}
+        #: From state and byte to the state after it and the token that ends there.
+        self._moves: dict[int, int] = {}
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merging by rank, lowest first: what defines the encoding. Used on two tokens at a time."""
-        parts = [data[k : k + 1] for k in range(len(data))]
+    def merges(self, data: bytes) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+        """Merging by rank, lowest and leftmost first, which defines the encoding: the parts at the end, and each merge's rank with the outer parts after it."""
+        parts, done = [data[k : k + 1] for k in range(len(data))], []
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -87,50 +96,86 @@ class Transducer:
             if best is None:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.rank[p] for p in parts]
+            done.append((best, parts[0], parts[-1]))
+        return parts, done
+
+    def _history(self, token: int) -> tuple | None:
+        """Ranks of the token's own merges with its first and last parts meanwhile; None if merging can't reach it."""
+        if token not in self._edges:
+            data = self.vocabulary[token]
+            parts, done = self.merges(data)
+            self._edges[token] = ([(done[k][0] if k < len(done) else None, *((done[k - 1][1:]) if k else (data[:1], data[-1:]))) for k in range(len(done) + 1)],) if len(parts) == 1 else None
+        return self._edges[token]
 
     def fits(self, left: int, right: int) -> bool:
-        """May right follow left? left is -1 at the start: then right must be its own encoding."""
+        """May right follow left? left is -1 at the start: then right must be its own encoding.
+
+        Both merge by themselves, the lower rank first, until a pair across their border would come first.
+        """
         if left < 0:
-            own = self._own.get(right)
-            if own is None:
-                own = self._own[right] = self.merge(self.vocabulary[right]) == [right]
-            return own
-        known = self._fits.get((left, right))
+            return self._history(right) is not None
+        key = left << self._bits | right
+        known = self._fits.get(key)
         if known is None:
             if len(self._fits) > 1_000_000:
                 self._fits.clear()
-            known = self._fits[left, right] = self.fits(-1, right) and self.merge(self.vocabulary[left] + self.vocabulary[right]) == [left, right]
+            known = self._fits[key] = self._history(left) is not None and self._history(right) is not None and self._apart(self._edges[left][0], self._edges[right][0])
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinise one transition. A hypothesis is (tokens not yet emitted, last finished token, node)."""
-        after, finished = [], None
-        for pending, last, node in self._states[state]:
-            nxt = self._children[node].get(byte)
-            if nxt is None:
+    def _apart(self, left: list, right: list) -> bool:
+        i = j = 0
+        while True:
+            (own_left, _, x), (own_right, y, _) = left[i], right[j]
+            across = self.rank.get(x + y)
+            if across is not None and (own_left is None or across < own_left) and (own_right is None or across <= own_right):
+                return False
+            if own_left is None and own_right is None:
+                return True
+            if own_right is None or own_left is not None and own_left <= own_right:
+                i += 1
+            else:
+                j += 1
+
+    def _step(self, state: int, byte: int) -> int:
+        """Determinise one transition: the state after it and the one token that ends there."""
+        hypotheses, key, token = self._states[state], [], -1
+        for k in range(0, len(hypotheses), 2):
+            node = self._child.get(hypotheses[k + 1] << 8 | byte)
+            if node is None:
                 continue
-            after.append((pending, last, nxt))
-            token = self._token_at[nxt]
-            if finished is None and token >= 0 and self.fits(last, token):
-                finished = (*pending, token)
-        if finished is None:
+            last = hypotheses[k]
+            if token < 0 <= self._token_at[node] and self.fits(last, self._token_at[node]):
+                token = self._token_at[node]
+            if self._inner[node]:
+                key += (last, node)
+        if token < 0:
             raise ValueError("no token sequence: the vocabulary must hold all single bytes")
-        after = [h for h in after if self._children[h[2]]]
-        after.append((finished, finished[-1], 0))
-        common = 0
-        shortest = min(len(h[0]) for h in after)
-        while common < shortest and all(h[0][common] == after[0][0][common] for h in after):
-            common += 1
-        emitted = after[0][0][:common]
-        key = tuple((p[common:], last, node) for p, last, node in after)
-        number = self._number.get(key)
+        after = (*key, token, 0)
+        number = self._number.get(after)
         if number is None:
-            number = self._number[key] = len(self._states)
-            self._states.append(key)
-            self._moves.append({})
-        self._moves[state][byte] = (number, emitted)
-        return number, emitted
+            number = self._number[after] = len(self._states)
+            self._states.append(after)
+        move = self._moves[state << 8 | byte] = number << self._bits | token
+        return move
+
+    def _decided(self, ends: list[int], state: int) -> int:
+        """How many bytes all hypotheses of the state agree on: the last common border of their tokens."""
+        starts = [len(ends) - 1 - self._depth(node) for node in self._states[state][1::2]]
+        borders = None
+        for at in starts:
+            chain = set()
+            while at > 0:
+                chain.add(at)
+                at -= self.lengths[ends[at]]
+            borders = chain if borders is None else borders & chain
+        return max(borders, default=0)
+
+    def _depth(self, node: int) -> int:
+        if not hasattr(self, "_depths"):
+            self._depths = {0: 0}
+            for key, nxt in self._child.items():  # parents come before children
+                self._depths[nxt] = self._depths[key >> 8] + 1
+        return self._depths[node]
 
     def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece."""
@@ -140,15 +185,27 @@ class Transducer:
         if len(self._states) > self.max_states:
             self._reset()
         out: list[int] = []
-        state, moves = 0, self._moves
+        bits, mask, get, step = self._bits, (1 << self._bits) - 1, self._moves.get, self._step
+        state, ends = 0, [-1]  # ends: the token that ends after so many bytes
         for byte in piece:
-            move = moves[state].get(byte) or self._step(state, byte)
-            state = move[0]
-            if move[1]:
-                out += move[1]
-        # the hypothesis at the root has finished all bytes
-        out += next(pending for pending, _, node in self._states[state] if node == 0)
-        return out
+            move = get(state << 8 | byte)
+            if move is None:
+                move = step(state, byte)
+            state = move >> bits
+            ends.append(move & mask)
+            if len(ends) > LOOK_BACK:
+                k = self._decided(ends, state)
+                out += self._back(ends, k)
+                ends = [-1, *ends[k + 1 :]]
+        return out + self._back(ends, len(ends) - 1)
+
+    def _back(self, ends: list[int], at: int) -> list[int]:
+        tokens = []
+        while at > 0:
+            tokens.append(ends[at])
+            at -= self.lengths[ends[at]]
+        tokens.reverse()
+        return tokens
 
 
 # --- decoding -----------------------------------------------------------------------------------------------
@@ -232,7 +289,7 @@ class _Pieces(dict):
         self.transducer = transducer
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.transducer.encode(piece.encode()), np.int32).tobytes()
+        ids = array("i", self.transducer.encode(piece.encode())).tobytes()
         if len(piece) <= MAX_CACHED_PIECE:
             if len(self) >= MAX_PIECES:
                 self.clear()
