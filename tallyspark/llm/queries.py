@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import byte_bpe, exact_dedup, language_id, mixing, quality_classifier, quality_rules, simhash, url_filter
+from tallyspark.llm import byte_bpe, exact_dedup, html_extraction, language_id, mixing, pii, quality_classifier, quality_rules, simhash, url_filter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -57,6 +57,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "op6_mix_sources": op6_mix_sources,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
