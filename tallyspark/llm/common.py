@@ -62,6 +62,14 @@ def crc_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
+def unused_name(df: DataFrame, wanted: str) -> str:
+    """wanted, with underscores before it until df has no such column, whatever the case."""
+    names = {c.lower() for c in df.columns}
+    while wanted.lower() in names:
+        wanted = "_" + wanted
+    return wanted
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, as a lambda variable."""
     return F.transform(F.array(value), body)[0]

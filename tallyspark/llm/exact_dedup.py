@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, ship_package
+from tallyspark.llm.common import materialize, ship_package, unused_name
 
 #: Distinct digests that a shard holds on average; its memory is about 100 bytes for each.
 SHARD_KEYS = 40_000
@@ -171,5 +171,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all columns."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = unused_name(docs, "kept_id")
+    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

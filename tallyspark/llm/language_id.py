@@ -81,7 +81,8 @@ def score_texts(texts: list[str | None], model: Model, memory: _Remembered) -> t
     names, scores = [], []
     for t in texts:
         words = find(t.lower()) if t else []
-        if not words or not model.languages:
+        # digits such as fractions and superscripts pass for letters in the pattern
+        if not model.languages or not any(c.isalpha() for w in words for c in w):
             names.append(UNDETERMINED)
             scores.append(0.0)
             continue

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, words_of
+from tallyspark.llm.common import materialize, unused_name, words_of
 
 #: Rows of a key range, on average.
 RANGE_ROWS = 2_000
@@ -83,6 +83,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all columns. Texts without words are left out."""
-    copies = mix(docs, **how).filter("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    chosen = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, times, each = (unused_name(docs, c) for c in ("mixed_id", "copies", "copy"))
+    copies = mix(docs, **how).filter("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
+    chosen = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)))
+    return chosen.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -78,4 +78,61 @@ QUERIES: dict[str, Query] = {
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express; a word is as in common.WORD.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP4_SQL = """
+WITH hashed AS (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents),
+  grouped AS (SELECT h, max(doc_id) AS keep_id, count(*) AS n FROM hashed GROUP BY h)
+SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM hashed JOIN grouped USING (h)
+"""
+
+OP6_SQL = f"""
+WITH sized AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+  per AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(3 * sum(size) AS DOUBLE) AS cap,
+      ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+    FROM sized GROUP BY source),
+  levels AS (
+    SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+    FROM per WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  final AS (SELECT level FROM levels WHERE level * weight <= cap ORDER BY cap / weight, source NULLS LAST LIMIT 1),
+  targets AS (SELECT source, source_size, coalesce(least(cap, (SELECT level FROM final) * weight), cap) AS target FROM per),
+  placed AS (
+    SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs,
+      coalesce(sum(size) OVER (PARTITION BY sized.source ORDER BY substr(md5('mix:' || doc_id), 1, 8), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+    FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, floor(target + 0.5) - epochs * source_size - earlier)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+def _op8_sql() -> str:
+    stop = ", ".join(f"'{w}'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws.split()}))
+    kept = " AND ".join(f"(n_words < {r.from_words} OR " + " AND ".join([f"{r.measure} >= {r.least}"] * (r.least is not None) + [f"{r.measure} <= {r.most}"] * (r.most is not None)) + ")" for r in quality_rules.RULES)
+    return rf"""
+WITH split AS (
+    SELECT doc_id, row_number() OVER () AS id, coalesce(text, '') AS t, {_WORDS} AS w,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+    FROM documents),
+  counted AS (
+    SELECT doc_id, id, w, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, len(ls) AS n_lines,
+      len(list_filter(ls, lambda x: length(x) < 10)) AS n_short, len(list_filter(w, lambda x: lower(x) IN ({stop}))) AS n_stop
+    FROM split),
+  grams AS (SELECT id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM split)),
+  again AS (SELECT id, i FROM grams QUALIFY count(*) OVER (PARTITION BY id, g) > 1),
+  spans AS (SELECT id, least(5, coalesce(lead(i) OVER (PARTITION BY id ORDER BY i) - i, 5)) AS n FROM again),
+  repeats AS (SELECT id, CAST(sum(n) AS BIGINT) AS n FROM spans GROUP BY id),
+  judged AS (
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n, 0) AS n_repeat_words, word_chars / greatest(n_words, 1) AS mean_word_chars,
+      n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_short / greatest(n_lines, 1) AS short_line_ratio, n_stop / greatest(n_words, 1) AS stop_word_ratio
+    FROM counted LEFT JOIN repeats USING (id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {kept} AS kept
+FROM judged
+"""
+
+
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op8_quality_rules": _op8_sql()}

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, ship_package
+from tallyspark.llm.common import materialize, ship_package, unused_name
 
 #: Length, generator polynomial and covering radius of the binary Golay code.
 BLOCK, GENERATOR, RADIUS = 23, 0b110001110101, 3
@@ -289,5 +289,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One row of each component, the one with the smallest doc_id, with all columns."""
-    kept = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    name = unused_name(docs, "kept_id")
+    kept = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
