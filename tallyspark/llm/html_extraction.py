@@ -4,7 +4,7 @@ Tokens of a page are its tags, told apart by their path of tags and classes, and
 articles. Tokens with the same occurrence vector, that is as often as each other on every page of the host,
 form an equivalence class. The vectors of a host are compared by sums of a hash of page and count, so no host
 is gathered in one place: counting is a partial aggregation and a host with a third of all pages is one more
-key. Classes that occur on at least half of a host's pages are nested: the class of all pages' own tokens is
+key. Classes that occur on at least half of a host's pages, and on two different ones, are nested: the class of all pages' own tokens is
 the root, and a class is valid if its tokens keep together within one slot of its parent. Because every class
 in question stands on half of the pages, a template has at most twice the tokens of an average page.
 
@@ -179,7 +179,7 @@ def main_text(page: Page, template: frozenset[int]) -> str:
 
 
 def token_statistics(pages: DataFrame) -> DataFrame:
-    """host, token, vector (a hash of its occurrences on all pages), n_pages and place (the mean of the first ones) of pages (page_id, host, html)."""
+    """host, token, vector (a hash of its occurrences on all pages), n_pages, differ (are the pages not all copies of one?) and place (the mean of the first ones) of pages (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -193,10 +193,10 @@ def token_statistics(pages: DataFrame) -> DataFrame:
                     places.append(place)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int32()), pa.array(places, pa.int32())], ["host", "id", "token", "n", "place"])
 
-    seen = pages.select("host", F.xxhash64("page_id", "html").alias("key"), "html").mapInArrow(run, "host string, id long, token long, n int, place int")
+    seen = pages.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(run, "host string, id long, token long, n int, place int")
     # 44 bits of the hash: sums of up to half a million pages stay within a long, and larger ones within a decimal
     vector = F.sum(F.shiftright(F.xxhash64("id", "n"), 20).cast("decimal(38,0)"))
-    return seen.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("n_pages"), F.avg("place").alias("place"))
+    return seen.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("n_pages"), (F.min("id") != F.max("id")).alias("differ"), F.avg("place").alias("place"))
 
 
 def nest(tokens: pd.DataFrame) -> pd.DataFrame:
@@ -217,8 +217,8 @@ def nest(tokens: pd.DataFrame) -> pd.DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """host and tokens, the template of each host that has one, of pages (page_id, host, html)."""
     found = materialize(token_statistics(pages), "template-tokens")
-    sizes = found.filter("token = 0").select("host", F.col("n_pages").alias("host_pages")).filter("host_pages > 1")
-    common = found.join(sizes, "host").filter("2 * n_pages >= host_pages").select("host", "token", "vector", "n_pages", "place")
+    sizes = found.filter("token = 0").select("host", "differ", F.col("n_pages").alias("host_pages")).filter("differ").drop("differ")
+    common = found.join(sizes, "host").filter("differ AND 2 * n_pages >= host_pages").select("host", "token", "vector", "n_pages", "place")
     return common.groupBy("host").applyInPandas(nest, "host string, tokens array<long>")
 
 

@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
     budget = F.floor(F.col("target") + 0.5) - epochs * F.col("source_size")
     before = F.col("offset") + F.col("inner")
     last = F.greatest(F.lit(0), F.least(F.col("size"), budget - before))
-    copies = epochs + ((before + F.col("size") / 2.0 <= budget) & (F.col("size") > 0)).cast("int")
+    copies = F.when(F.col("size") > 0, epochs + (before + F.col("size") / 2.0 <= budget).cast("int")).otherwise(0)
     return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 

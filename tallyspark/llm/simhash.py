@@ -212,7 +212,8 @@ def _links(key: np.ndarray, guest: np.ndarray, fp: np.ndarray) -> tuple[np.ndarr
         left = np.repeat(row, n)
         right = np.repeat(starts[gid], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
         x, y = fp[left], fp[right]
-        near = (np.bitwise_count(x ^ y) <= THRESHOLD) & (x != y)
+        # of signed numbers it would count the bits of the absolute value
+        near = (np.bitwise_count((x ^ y).view(np.uint64)) <= THRESHOLD) & (x != y)
         if near.any():
             u, v = forest(x[near], y[near])
             us.append(u)

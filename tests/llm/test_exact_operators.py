@@ -1,0 +1,309 @@
+"""Operators whose results are fixed: against plain versions, on the driver's smallest tables and on odd rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from tallyspark.llm import byte_bpe, common, exact_dedup, mixing, pii, quality_rules, queries, simhash
+from tests.llm import brute
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, kept_id string, copies int"
+
+LONG = "Ein Wort und noch eins. " * 30_000
+ODD = [
+    (1, None, "en", "a", None, 1, "x", 1),
+    (2, "", "en", "a", 0, 1, "x", 1),
+    (3, "", None, None, 0, 1, "x", 1),
+    (3, "", None, None, 0, 1, "x", 1),
+    (4, " \t\n\x0b", "fr", "b", 4, 1, "x", 1),
+    (5, "one two", "en", "b", 7, 1, "x", 1),
+    (6, "ONE TWO", "en", "b", 7, 1, "x", 1),
+    (7, "the quick brown fox jumps over the lazy dog and runs away from all the other dogs", "en", "hot", 1, 1, "x", 1),
+    (8, "the quick brown fox jumps over the lazy dog and runs away from all the other dogs", "en", "hot", 1, 1, "x", 1),
+    (9, LONG, "de", "hot", 1, 1, "x", 1),
+    (10, "mail me at a.b@c.example.com or +49 (30) 1234-5678, 10.0.0.255 4111 1111 1111 1111", "en", None, 1, 1, "x", 1),
+    (11, "\U0001f600 x@y.de \U0001f600 4111-1111-1111-1111 1.2.3.4.5 999.1.1.1 +1", "en", None, 1, 1, "x", 1),
+    (None, "an id that is missing", "en", None, 1, 1, "x", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def small(spark, sf_dir):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+
+
+# --- near duplicates ----------------------------------------------------------------------------------------
+
+
+def test_op1_against_all_pairs(spark, sf_dir, small):
+    prints = {i: brute.fingerprint(t, 3) for i, t in small}
+    roots = brute.components(prints)
+    got = queries.QUERIES["op1_simhash_near_dedup"](spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == sorted((i, f"{prints[i]:016x}", roots[i]) for i in prints)
+
+
+def test_near_duplicates_of_odd_rows(odd, none):
+    got = simhash.near_duplicates(odd, 3).collect()
+    assert len(got) == len(ODD)
+    by = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in got}
+    assert by[1, "0" * 16] == by[2, "0" * 16] == by[3, "0" * 16] == by[4, "0" * 16] == 1
+    for i, text, *_ in ODD:
+        print_ = f"{brute.fingerprint(text, 3):016x}"
+        assert (i, print_) in by
+    assert {r["component_id"] for r in got if r["doc_id"] in (5, 6)} == {5}
+    assert {r["component_id"] for r in got if r["doc_id"] in (7, 8)} == {7}
+    assert simhash.near_duplicates(none, 3).count() == 0
+    kept = simhash.drop_near_duplicates(odd, 3)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 5, 7, 9, 10, 11]
+
+
+@pytest.mark.parametrize("split", [4096, 3])
+def test_spanning_edges_lose_no_link(spark, monkeypatch, split):
+    """Clusters around few centres, some of many fingerprints, with anchors split over salts or not."""
+    monkeypatch.setattr(simhash, "SPLIT_HOMES", split)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    prints = set()
+    for k, c in enumerate(centres):
+        for _ in range(60 if k < 3 else 8):
+            v = int(c)
+            for b in rng.choice(64, rng.integers(0, 4), replace=False):
+                v ^= 1 << int(b)
+            prints.add(v)
+    values = {v: v for v in prints}
+    want = brute.components({k: v for k, v in enumerate(sorted(values))})
+    signed = {k: int(np.uint64(v).astype(np.int64)) for k, v in enumerate(sorted(values))}
+    fps = spark.createDataFrame([(v,) for v in signed.values()], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.spanning_edges(fps)).collect()}
+    groups: dict[int, set[int]] = {}
+    for k, v in signed.items():
+        groups.setdefault(roots.get(v, v), set()).add(k)
+    expected: dict[int, set[int]] = {}
+    for k, root in want.items():
+        expected.setdefault(root, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (501, 500), (600, 600)], "u long, v long")
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    assert all(roots[k] == 0 for k in range(1, 201)) and roots[501] == 500 and 600 not in roots
+
+
+# --- exact duplicates ---------------------------------------------------------------------------------------
+
+
+def test_minimal_perfect_hash():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 1000):
+        keys = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+        seeds, slots = exact_dedup.build_mph(keys)
+        assert sorted(slots) == list(range(n))
+        assert (exact_dedup.find_slots(seeds, n, keys) == slots).all()
+
+
+def test_op4_against_groups(spark, sf_dir, small):
+    groups: dict[str, list[int]] = {}
+    for i, t in small:
+        groups.setdefault(t or "", []).append(i)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_exact_dedup"](spark, sf_dir).collect()}
+    assert len(got) == len(small)
+    for i, t in small:
+        own, r = groups[t or ""], got[i]
+        assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(own), len(own), i == max(own), hashlib.sha256((t or "").encode()).hexdigest())
+
+
+def test_exact_duplicates_of_odd_rows(odd, none):
+    got = exact_dedup.exact_duplicates(odd).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["keep_id"] == by[2]["keep_id"] == 3 and by[1]["group_size"] == 4 and not by[1]["kept"]
+    assert sum(r["kept"] for r in got if r["doc_id"] == 3) == 2  # the same document twice, with equal answers
+    assert by[7]["keep_id"] == 8 and by[5]["kept"] and by[6]["kept"] and by[None]["kept"] and by[None]["keep_id"] is None
+    assert exact_dedup.exact_duplicates(none).count() == 0
+    kept = exact_dedup.drop_exact_duplicates(odd)
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5, 6, 8, 9, 10, 11, None}
+
+
+# --- byte pairs ---------------------------------------------------------------------------------------------
+
+PATH = public_tokenizers.path(queries.VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def reference():
+    with open(PATH, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_op5_against_the_library(spark, sf_dir, small, reference):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op5_byte_bpe"](spark, sf_dir).collect()}
+    for i, t in small:
+        ids = reference.encode_ordinary(t or "")
+        want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == want
+
+
+def test_byte_bpe_of_odd_texts(odd, none, reference):
+    encoded = byte_bpe.encode_documents(odd, PATH, public_tokenizers.PATTERN)
+    got = {r["doc_id"]: list(r["ids"]) for r in encoded.collect()}
+    for i, text, *_ in ODD:
+        assert got[i] == reference.encode_ordinary(text or "")
+    back = {r["doc_id"]: r["text"] for r in byte_bpe.decode_documents(encoded, PATH, public_tokenizers.PATTERN).collect()}
+    assert all(back[i] == (text or "") for i, text, *_ in ODD)
+    assert byte_bpe.round_trip(none, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_transducer_on_random_pieces(reference):
+    bpe = byte_bpe.codec(PATH, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(3)
+    alphabets = ["ab", "etaoin shrdlu", "äöüß€\U0001f600x", "0123456789", "<|endoftext|>", "   \n\t"]
+    for k in range(300):
+        letters = alphabets[k % len(alphabets)]
+        text = "".join(letters[c] for c in rng.integers(0, len(letters), int(rng.integers(1, 60))))
+        assert bpe.encode(text).tolist() == reference.encode_ordinary(text)
+    for text in ("a" * 20_000, "ab" * 9_000, "\U0001f600" * 5_000):
+        assert bpe.encode(text).tolist() == reference.encode_ordinary(text)
+
+
+def test_few_states_give_the_same_tokens(reference):
+    tight = byte_bpe.Transducer(byte_bpe.read_ranks(PATH), max_states=50)
+    for word in (b" internationalisation", b"xqzjkwv" * 20, "Überraschungsgäste".encode()):
+        assert tight.encode(word) == byte_bpe.codec(PATH, public_tokenizers.PATTERN).pieces.transducer.encode(word)
+
+
+def test_streaming_decoder():
+    bpe = byte_bpe.codec(PATH, public_tokenizers.PATTERN)
+    text = "naïve \U0001f600 – 漢字 x" * 5
+    ids = bpe.encode(text).tolist()
+    bpe.decoder.reset()
+    assert "".join(bpe.decoder.feed([k]) for k in ids) == text
+    bpe.decoder.finish()
+    half = bpe.encode("\U0001f600").tolist()[:1]
+    bpe.decoder.reset()
+    if bpe.vocabulary[half[0]] != "\U0001f600".encode():
+        assert bpe.decoder.feed(half) == ""
+        with pytest.raises(ValueError):
+            bpe.decoder.finish()
+    bpe.decoder.reset()
+
+
+# --- mixing -------------------------------------------------------------------------------------------------
+
+
+def test_op6_targets_and_budgets(spark, sf_dir):
+    rows = queries.QUERIES["op6_mix_sources"](spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text").collect()
+    assert len(rows) == len(docs)
+    sizes: dict[str | None, int] = {}
+    words = {}
+    for d in docs:
+        words[d["doc_id"]] = (d["source"], brute.text_counts(d["text"])[0])
+        sizes[d["source"]] = sizes.get(d["source"], 0) + words[d["doc_id"]][1]
+    want = brute.targets(sizes)
+    taken = dict.fromkeys(sizes, 0)
+    for r in rows:
+        source, n = words[r["doc_id"]]
+        assert r["size"] == n and r["source_size"] == sizes[source] and abs(r["target"] - want[source]) < 1e-6 * max(1, want[source])
+        assert 0 <= r["taken"] <= 3 * n
+        taken[source] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
+    again = queries.QUERIES["op6_mix_sources"](spark, sf_dir).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
+def test_mix_of_a_hot_source_and_odd_rows(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 50)
+    rows = [(k, "w " * (1 + k % 7), "hot" if k % 3 else f"s{k % 4}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("target")).collect()
+    assert all(abs(r["t"] - r["target"]) <= 1 for r in got)
+    found = mixing.mix(odd)
+    assert found.count() == len(ODD) and found.filter("taken > 3 * size OR taken < 0 OR taken IS NULL").count() == 0
+    whole = mixing.mixed_documents(odd)
+    assert whole.columns == odd.columns and whole.filter("text IS NULL OR trim(text) = ''").count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
+
+
+# --- quality rules ------------------------------------------------------------------------------------------
+
+
+def test_op8_against_plain_counts(spark, sf_dir, small, odd, none):
+    texts = dict(small)
+    for r in queries.QUERIES["op8_quality_rules"](spark, sf_dir).collect():
+        want = brute.text_counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    got = quality_rules.quality_rules(odd).collect()
+    assert len(got) == len(ODD)
+    by = {i: brute.text_counts(t) for i, t, *_ in ODD}
+    assert all((r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == by[r["doc_id"]] for r in got)
+    assert quality_rules.quality_rules(none).count() == 0
+
+
+def test_quality_verdicts(spark):
+    fine = "the cat sat on the mat and looked at all of the birds that were in the garden by the old wall"
+    texts = {1: fine, 2: " ".join(["# $ %"] * 40) + fine, 3: "\n".join([fine + str(k % 2) for k in range(8)]), 4: "too short"}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False}
+
+
+# --- personal data ------------------------------------------------------------------------------------------
+
+
+def check_spans(rows, texts):
+    for r in rows:
+        base = brute.personal_data(texts[r["doc_id"]])
+        assert [r[f"n_{k}"] for k in brute.STRICT] == [len(v) for v in base.values()]
+        assert r["base_sha256"] == brute.spans_digest(base)
+        every = [s.split(":") for s in r["spans"].split(",") if s]
+        assert {(k, a, b) for k, at in base.items() for a, b in at} <= {(k, int(a), int(b)) for k, a, b in every}
+        order = [(list(brute.STRICT).index(k), int(a), int(b)) for k, a, b in every]
+        assert order == sorted(order)
+
+
+def test_op10_against_plain_patterns(spark, sf_dir, small, odd, none):
+    check_spans(queries.QUERIES["op10_personal_data"](spark, sf_dir).collect(), dict(small))
+    got = pii.find_personal_data(odd).collect()
+    assert len(got) == len(ODD)
+    check_spans(got, {i: t for i, t, *_ in ODD})
+    assert pii.find_personal_data(none).count() == 0
+
+
+def test_patterns_on_dense_texts(spark):
+    """Runs that plain patterns read far into, adjacent matches, and many matches in one text."""
+    texts = {
+        1: "a" * 5000 + "@" + "b" * 5000, 2: "1.2.3.4.5.6.7.8.9.10.11.12", 3: "1" * 5000, 4: "+1 (2" + " 3" * 3000, 5: "x@y.z@a.b-c.d@e.f",
+        6: " ".join(f"user{k}@mail{k}.example.com, 10.0.{k % 300}.{k % 256}" for k in range(3000)), 7: "4111 1111 1111 1111 4111 1111 1111 1111", 8: "+" * 500 + "1-2-3-4-5-6-7-8-9-0",
+    }
+    check_spans(pii.find_personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+
+
+def test_redact(spark):
+    docs = spark.createDataFrame([(1, "write to a@b.example or +49 30 123456789 now"), (2, "nothing here"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.find_personal_data(docs)).collect()}
+    assert got == {1: "write to [email] or [phone] now", 2: "nothing here", 3: None}
+
+
+def test_unused_name(odd):
+    assert common.unused_name(odd, "kept_id") == "_kept_id" and common.unused_name(odd, "KEPT") == "KEPT"
