@@ -12,6 +12,11 @@ PERIOD_DAYS = {"7d": 7, "30d": 30, "90d": 90}
 RETRY_SECONDS = (30, 60, 120, 240, 480)
 
 
+def moment(at: datetime) -> Column:
+    """A fixed time, read in the session's time zone like the times of the tables."""
+    return F.lit(at.isoformat(" ")).cast("timestamp")
+
+
 def iso_week(ts: Column) -> Column:
     """`2026-W01`: the year is the one that the week belongs to."""
     return F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
@@ -48,9 +53,9 @@ def in_period(ts: Column, period: str, as_of: datetime, rolling: bool = True) ->
     """An ISO week is half open; other periods have only a start."""
     week = week_bounds(period)
     if week:
-        return (ts >= F.lit(week[0])) & (ts < F.lit(week[1]))
+        return (ts >= moment(week[0])) & (ts < moment(week[1]))
     start = (rolling_start if rolling else midnight_start)(period, as_of)
-    return F.lit(True) if start is None else ts >= F.lit(start)
+    return F.lit(True) if start is None else ts >= moment(start)
 
 
 def bucket_key(ts: Column, period: str) -> Column:

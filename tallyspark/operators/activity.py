@@ -34,8 +34,8 @@ def project_pivot(insights: DataFrame, types: list[str]) -> DataFrame:
 
 def activity_feed(sessions: DataFrame, insights: DataFrame, most: int = 7) -> DataFrame:
     """The latest of both."""
-    both = sessions.select(F.lit("session").alias("kind"), "id", F.col("started_at").alias("at")).unionByName(insights.select(F.lit("insight").alias("kind"), "id", F.col("timestamp").alias("at")))
-    return both.orderBy(F.desc("at"), "kind", "id").limit(most)
+    both = sessions.select(F.lit("session").alias("kind"), "id", F.col("started_at").alias("happened")).unionByName(insights.select(F.lit("insight").alias("kind"), "id", F.col("timestamp").alias("happened")))
+    return both.orderBy(F.desc("happened"), "kind", "id").limit(most)
 
 
 def journal_weeks(insights: DataFrame) -> DataFrame:

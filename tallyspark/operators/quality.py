@@ -7,14 +7,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions import costs, texts
+from tallyspark.functions import costs, texts, times
 
 
 def checks(sessions: DataFrame, queue: DataFrame, known_sources: tuple[str, ...], at: datetime, stuck_minutes: int = 10) -> DataFrame:
     """check and count: missing times, unknown tools, queue rows without a session, in work for too long, failed."""
     one = sessions.agg(F.count_if(F.col("started_at").isNull()).alias("missing_time"), F.count_if(~F.col("source_tool").isin(*known_sources)).alias("unknown_tool"))
     orphans = queue.join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_queue"))
-    old = F.col("started_at") < F.lit(at) - F.make_dt_interval(mins=F.lit(stuck_minutes))
+    old = F.col("started_at") < times.moment(at) - F.make_dt_interval(mins=F.lit(stuck_minutes))
     two = queue.agg(F.count_if((F.col("status") == "processing") & old).alias("stuck_queue"), F.count_if(F.col("status") == "failed").alias("failed_queue"))
     # each side is one row
     wide = one.withColumn("_k", F.lit(1)).join(orphans.withColumn("_k", F.lit(1)), "_k").join(two.withColumn("_k", F.lit(1)), "_k")

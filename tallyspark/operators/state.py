@@ -88,7 +88,7 @@ def truncate_messages(messages: DataFrame) -> DataFrame:
 def soft_delete(sessions: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
     """Sessions in ids (id) deleted at a time, unless they already are."""
     gone = ids.select("id").distinct().withColumn("_gone", F.lit(True))
-    return sessions.join(gone, "id", "left").withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("_gone"), F.lit(at)))).select(*sessions.columns)
+    return sessions.join(gone, "id", "left").withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("_gone"), times.moment(at)))).select(*sessions.columns)
 
 
 def restore(sessions: DataFrame, ids: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def is_trivial() -> Column:
 
 
 def prune_trivial(sessions: DataFrame, at: datetime) -> DataFrame:
-    return sessions.withColumn("deleted_at", F.when(is_trivial(), F.lit(at)).otherwise(F.col("deleted_at")))
+    return sessions.withColumn("deleted_at", F.when(is_trivial(), times.moment(at)).otherwise(F.col("deleted_at")))
 
 
 def rename(sessions: DataFrame, session_id: str, title: str) -> DataFrame:
@@ -147,13 +147,13 @@ def enqueue(queue: DataFrame, ids: list[str], at: datetime) -> DataFrame:
     rows = queue.join(F.broadcast(named), "session_id", "full")  # at most 500 rows
     busy = F.col("_wanted") & (F.col("status") == "processing")
     fresh = F.col("_wanted") & ~F.coalesce(busy, F.lit(False))
-    change = {"status": F.lit("pending"), "enqueued_at": F.lit(at), "started_at": F.lit(None).cast("timestamp"), "retry_after": F.lit(None).cast("timestamp"), "attempt_count": F.lit(0).cast("long"), "error_message": F.lit(None).cast("string"), "rerun_requested": F.lit(False), "max_attempts": F.coalesce("max_attempts", F.lit(3))}
+    change = {"status": F.lit("pending"), "enqueued_at": times.moment(at), "started_at": F.lit(None).cast("timestamp"), "retry_after": F.lit(None).cast("timestamp"), "attempt_count": F.lit(0).cast("long"), "error_message": F.lit(None).cast("string"), "rerun_requested": F.lit(False), "max_attempts": F.coalesce("max_attempts", F.lit(3))}
     rows = rows.select(*[F.when(fresh, change[c]).otherwise(F.when(busy, F.lit(True)).otherwise(F.col(c)) if c == "rerun_requested" else F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns])
     return rows
 
 
 def claimable(queue: DataFrame, at: datetime) -> DataFrame:
-    return queue.filter((F.col("status") == "pending") & (F.col("retry_after").isNull() | (F.col("retry_after") <= F.lit(at))))
+    return queue.filter((F.col("status") == "pending") & (F.col("retry_after").isNull() | (F.col("retry_after") <= times.moment(at))))
 
 
 def next_claims(queue: DataFrame, at: datetime, n: int = 1) -> DataFrame:
@@ -167,7 +167,7 @@ def fail(queue: DataFrame, ids: DataFrame, error: str, at: datetime) -> DataFram
     on = F.coalesce(F.col("_hit") & (F.col("status") == "processing"), F.lit(False))
     attempts = F.col("attempt_count") + 1
     last = attempts >= F.col("max_attempts")
-    later = F.lit(at) + F.make_dt_interval(secs=times.retry_delay(attempts).cast("decimal(18,6)"))
+    later = times.moment(at) + F.make_dt_interval(secs=times.retry_delay(attempts).cast("decimal(18,6)"))
     change = {"status": F.when(last, "failed").otherwise("pending"), "attempt_count": attempts, "retry_after": F.when(~last, later), "error_message": texts.redact_error(F.lit(error)), "started_at": F.lit(None).cast("timestamp")}
     return hit.select(*[F.when(on, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns])
 
@@ -182,7 +182,7 @@ def complete(queue: DataFrame, ids: DataFrame) -> DataFrame:
 
 def reset_stale(queue: DataFrame, at: datetime) -> DataFrame:
     """Rows in work for longer than the lease wait again, or have failed if that was the last attempt."""
-    stale = F.coalesce((F.col("status") == "processing") & (F.col("started_at") < F.lit(at) - F.make_dt_interval(mins=F.lit(LEASE_MINUTES))), F.lit(False))
+    stale = F.coalesce((F.col("status") == "processing") & (F.col("started_at") < times.moment(at) - F.make_dt_interval(mins=F.lit(LEASE_MINUTES))), F.lit(False))
     attempts = F.col("attempt_count") + 1
     change = {"status": F.when(attempts >= F.col("max_attempts"), "failed").otherwise("pending"), "attempt_count": attempts, "started_at": F.lit(None).cast("timestamp")}
     return queue.select(*[F.when(stale, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns])
@@ -212,7 +212,12 @@ def campaign_items(sessions: DataFrame, messages: DataFrame, date_from: str, dat
     """Live sessions with messages that start on the days of an inclusive range, numbered by time."""
     day = F.date_format("started_at", "yyyy-MM-dd")
     rows = sessions.filter(F.col("deleted_at").isNull() & day.between(date_from, date_to)).join(messages.select(F.col("session_id").alias("id")), "id", "left_semi")
-    return rows.select("id", "started_at", (F.row_number().over(W.orderBy("started_at", "id")) - 1).cast("long").alias("ordinal"))
+    rows = rows.select("id", "started_at", day.alias("day"))
+    # numbers within a day, and a row for each day to add those before it, so that no task orders all sessions
+    before = F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select("day", before.alias("before"))
+    within = F.row_number().over(W.partitionBy("day").orderBy("started_at", "id")) - 1
+    return rows.withColumn("within", within).join(days, "day").select("id", "started_at", (F.col("before") + F.col("within")).cast("long").alias("ordinal"))
 
 
 def selection_fingerprint(items: DataFrame) -> DataFrame:

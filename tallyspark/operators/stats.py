@@ -49,7 +49,7 @@ def overview(sessions: DataFrame, as_of: datetime) -> DataFrame:
         F.count(F.lit(1)).alias("sessions"),
         total("message_count").alias("messages"),
         F.count_distinct("project_id").alias("projects"),
-        F.round(total("estimated_cost_usd"), 2).alias("cost"),
+        F.round(total("estimated_cost_usd"), 4).alias("cost"),
         total(with_cost(all_tokens())).alias("tokens"),
         F.count("estimated_cost_usd").alias("sessions_with_cost"),
         F.count_if(day == today).alias("today"),
@@ -65,8 +65,21 @@ def source_breakdown(sessions: DataFrame) -> DataFrame:
 
 
 def share_of(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Percentage of the sum over all rows of an aggregated table."""
-    return rows.withColumn(name, F.round(costs.percent(F.col(value), F.sum(value).over(W.partitionBy())), 4))
+    """Percentage of the sum over all rows of an aggregated table, which is a scalar subquery: no row moves for it."""
+    whole = rows.agg(F.sum(value)).scalar()
+    return rows.withColumn(name, F.round(costs.percent(F.col(value), whole), 4))
+
+
+def top_projects(sessions: DataFrame, most: int = 10) -> DataFrame:
+    """Projects with the most sessions, with their cost and share of all sessions."""
+    by = sessions.groupBy("project_id").agg(F.max("project_name").alias("project_name"), F.count(F.lit(1)).alias("sessions"), F.round(total("estimated_cost_usd"), 4).alias("cost"))
+    return share_of(by, "sessions", "percent").orderBy(F.desc("sessions"), "project_id").limit(most)
+
+
+def cost_by(sessions: DataFrame, key: str) -> DataFrame:
+    """Cost of each key and its share."""
+    by = sessions.groupBy(key).agg(F.round(total("estimated_cost_usd"), 4).alias("cost"))
+    return share_of(by, "cost", "percent").withColumn("percent", F.round("percent", 2))
 
 
 def most_frequent(sessions: DataFrame, key: str, value: str) -> DataFrame:
