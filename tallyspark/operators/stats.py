@@ -79,7 +79,7 @@ def top_projects(sessions: DataFrame, most: int = 10) -> DataFrame:
 def cost_by(sessions: DataFrame, key: str) -> DataFrame:
     """Cost of each key and its share."""
     by = sessions.groupBy(key).agg(F.round(total("estimated_cost_usd"), 4).alias("cost"))
-    return share_of(by, "cost", "percent").withColumn("percent", F.round("percent", 2))
+    return share_of(by, "cost", "percent")
 
 
 def most_frequent(sessions: DataFrame, key: str, value: str) -> DataFrame:

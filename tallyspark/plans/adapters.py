@@ -67,7 +67,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("quantity") * 10).alias("total_output_tokens"),
         (F.col("n_tools") * 50).alias("cache_creation_tokens"),
         (F.col("n_tools") * 200).alias("cache_read_tokens"),
-        F.when(F.col("o_orderstatus") != "P", F.round(F.col("o_totalprice") / 10000, 4)).alias("estimated_cost_usd"),
+        F.when(F.col("o_orderstatus") != "P", F.floor("o_totalprice") / 10000).alias("estimated_cost_usd"),
         F.when(k % 7 != 0, pick(MODELS, k)).alias("primary_model"),
         F.lower("c_mktsegment").alias("session_character"),
         F.when(k % 11 == 0, F.concat(F.lit("Custom "), k)).when(k % 13 == 0, F.lit("")).alias("custom_title"),
@@ -83,7 +83,7 @@ SESSIONS_SQL = f"""sessions AS (
     COALESCE(n_user, 0) AS user_message_count, COALESCE(n, 0) - COALESCE(n_user, 0) AS assistant_message_count,
     COALESCE(n_tools, 0) AS tool_call_count, quantity * 100 AS total_input_tokens, quantity * 10 AS total_output_tokens,
     n_tools * 50 AS cache_creation_tokens, n_tools * 200 AS cache_read_tokens,
-    CASE WHEN o_orderstatus <> 'P' THEN round(o_totalprice / 10000, 4) END AS estimated_cost_usd,
+    CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) / 10000 END AS estimated_cost_usd,
     CASE WHEN o_orderkey % 7 <> 0 THEN {_sql_pick(MODELS, "o_orderkey")} END AS primary_model,
     lower(c_mktsegment) AS session_character,
     CASE WHEN o_orderkey % 11 = 0 THEN 'Custom ' || o_orderkey WHEN o_orderkey % 13 = 0 THEN '' END AS custom_title,

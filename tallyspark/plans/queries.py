@@ -135,14 +135,14 @@ def top_projects(t: Tables) -> DataFrame:
 
 
 @query("cost_by_project", "sessions live", """
-SELECT project_id, cost, round(coalesce(cost * 100.0 / nullif(sum(cost) OVER (), 0), 0), 2) AS percent
+SELECT project_id, cost, round(coalesce(cost * 100.0 / nullif(sum(cost) OVER (), 0), 0), 4) AS percent
 FROM (SELECT project_id, round(coalesce(sum(estimated_cost_usd), 0), 4) AS cost FROM live GROUP BY project_id)""")
 def cost_by_project(t: Tables) -> DataFrame:
     return stats.cost_by(t.live, "project_id")
 
 
 @query("cost_by_model", "sessions live", """
-SELECT primary_model, cost, round(coalesce(cost * 100.0 / nullif(sum(cost) OVER (), 0), 0), 2) AS percent
+SELECT primary_model, cost, round(coalesce(cost * 100.0 / nullif(sum(cost) OVER (), 0), 0), 4) AS percent
 FROM (SELECT primary_model, round(coalesce(sum(estimated_cost_usd), 0), 4) AS cost FROM live WHERE primary_model IS NOT NULL GROUP BY primary_model)""")
 def cost_by_model(t: Tables) -> DataFrame:
     return stats.cost_by(t.live.filter("primary_model IS NOT NULL"), "primary_model")
