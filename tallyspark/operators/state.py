@@ -59,6 +59,11 @@ def replace_keyed(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
+def replace_keyed_sessions(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """The messages of the sessions in new replaced, columns by name."""
+    return messages.join(new.select("session_id").distinct(), "session_id", "left_anti").unionByName(new)
+
+
 def replace_snapshot(messages: DataFrame, new: DataFrame) -> DataFrame:
     """The messages of the sessions in new replaced; an id that another session owns is an error when the result is read."""
     sessions = new.select("session_id").distinct()
