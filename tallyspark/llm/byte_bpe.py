@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import ship_package
+from tallyspark.llm.common import give_back, ship_package
 
 #: Entries of the caches of a worker, each of some hundred bytes at most.
-MAX_PIECES = 200_000
-MAX_STATES = 300_000
+MAX_PIECES = 100_000
+MAX_STATES = 120_000
 #: Bytes of a piece after which its decided tokens are emitted.
 LOOK_BACK = 4096
 #: Longer pieces are encoded each time anew.
@@ -385,6 +385,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
                     kept.append(ids)
             out = [b["doc_id"], pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             yield pa.RecordBatch.from_arrays(out + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, names)
+        give_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -52,6 +52,13 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def give_back() -> None:
+    """Return what a task's Arrow batches took: workers are reused, and their pool would keep it for the next task."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order, by a JVM expression; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")

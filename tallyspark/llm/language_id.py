@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import crc_remainder, ship_package
+from tallyspark.llm.common import crc_remainder, give_back, ship_package
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
 #: Memory of a task for words it has already scored.
-MAX_REMEMBERED = 200_000
+MAX_REMEMBERED = 120_000
 #: A word: letters, with the marks that stand within words.
 LETTERS = r"[^\W\d_]+"
 LETTERS_SQL = r"\p{L}+"
@@ -98,7 +98,7 @@ def score_texts(texts: list[str | None], model: Model, memory: _Remembered) -> t
     return names, scores
 
 
-def train(labelled: DataFrame, sample_rows: int = 1500, top_words: int = 20_000, top_grams: int = 20_000) -> Model:
+def train(labelled: DataFrame, sample_rows: int = 1500, top_words: int = 20_000, top_grams: int = 8_000) -> Model:
     """A model from rows (doc_id, text, lang). The bounds of the sample and of the model are the parameters."""
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     # a row for each language; languages beyond the 200 most frequent are not learned
@@ -152,6 +152,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             names, scores = score_texts(b["text"].to_pylist(), shared.value, memory)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
@@ -179,5 +180,6 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
         for b in batches:
             names, scores = score_texts(b["text"].to_pylist(), shared.value, memory)
             yield b.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, schema)

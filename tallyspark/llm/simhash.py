@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, ship_package, unused_name
+from tallyspark.llm.common import give_back, materialize, ship_package, unused_name
 
 #: Length, generator polynomial and covering radius of the binary Golay code.
 BLOCK, GENERATOR, RADIUS = 23, 0b110001110101, 3
@@ -76,6 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             found = np.array([fingerprint(t.as_py() or b"", shingle) for t in b["text"]], np.uint64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -241,6 +242,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
         carry_key = (anchor[-1], salt[-1])
         carry = fp[(changes == changes[-1]) & (guest == 0)]
+    give_back()
 
 
 def spanning_edges(fps: DataFrame) -> DataFrame:
