@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import give_back, ship_package
 
 #: Entries of the caches of a worker, each of some hundred bytes at most.
-MAX_PIECES = 100_000
-MAX_STATES = 120_000
+MAX_PIECES = 200_000
+MAX_STATES = 200_000
 #: Bytes of a piece after which its decided tokens are emitted.
 LOOK_BACK = 4096
 #: Longer pieces are encoded each time anew.
