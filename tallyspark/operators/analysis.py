@@ -12,6 +12,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import nested
 from tallyspark.sources.transcripts import get, items, nonempty, text_of
@@ -26,13 +27,23 @@ def balanced_json(text: str | None) -> str | None:
     tagged = re.search(r"<json>\s*(.*?)\s*</json>", text, re.S | re.I)
     if tagged:
         return tagged[1].strip() or None
-    decoder, first = json.JSONDecoder(), None
-    for m in re.finditer(r"[\[{]", text):
+    first, at = None, 0
+    while m := re.compile(r"[\[{]").search(text, at):
+        depth, end = 0, None
+        for part in re.compile(r'"(?:\\.|[^"\\])*"?|[\[{]|[\]}]', re.S).finditer(text, m.start()):
+            depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(part[0], 0)
+            if not depth:
+                end = part.end()
+                break
+        found = text[m.start() : end].strip()
+        first = found if first is None else first
+        if end is None:  # cut off: the rest is for repair
+            return first
         try:
-            _, end = decoder.raw_decode(text, m.start())
-            return text[m.start() : end]
+            json.loads(found)
+            return found
         except ValueError:
-            first = text[m.start() :] if first is None else first
+            at = end
     return first
 
 
@@ -65,7 +76,7 @@ def repaired_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_payload(answers: pd.Series) -> pd.Series:
     return answers.map(lambda a: repaired_json(balanced_json(a)))
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyspark.functions import costs, texts
 
@@ -51,10 +52,15 @@ def joined(parts: Column, sep: str) -> Column:
     return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), sep)
 
 
+def stripped(c: Column) -> Column:
+    """Without white space, line breaks too, at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """path, name and raw, a row for each file of that name below a folder."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("raw"))
+    rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("raw"))
 
 
 def lines(found: DataFrame) -> DataFrame:
@@ -159,7 +165,7 @@ def turns(events: DataFrame) -> DataFrame:
     ordered = lambda kind, c: F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("position", F.col(c).alias("x"))))), lambda p: p["x"])
     said = rows.filter(~user).groupBy("session_id", "turn").agg(
         F.max("position").alias("position"), F.min_by("id", F.when(F.col("id").isNotNull() & (F.col("kind") == "text"), F.col("position"))).alias("id"),
-        F.trim(F.array_join(ordered("text", "text"), "")).alias("content"), nonempty(F.array_join(ordered("thinking", "text"), "")).alias("thinking"), ordered("tool", "tool").alias("calls"), ordered("result", "result").alias("tool_results"),
+        stripped(F.array_join(ordered("text", "text"), "")).alias("content"), nonempty(F.array_join(ordered("thinking", "text"), "")).alias("thinking"), ordered("tool", "tool").alias("calls"), ordered("result", "result").alias("tool_results"),
         F.max_by("model", F.when(F.col("model").isNotNull(), F.col("position"))).alias("model"), F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("position"))).alias("usage"), F.max("timestamp").alias("timestamp"),
     )
     once = F.aggregate("calls", F.array().cast(CALLS), lambda a, x: F.when(F.exists(a, lambda y: y["id"] == x["id"]), a).otherwise(F.array_append(a, x)))
@@ -243,13 +249,13 @@ def editor_chat_messages(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.select(F.concat(F.lit("copilot-vscode:"), get(v, "$.sessionId")).alias("session_id"), get(v, "$.inputState.selectedModel.metadata.name").alias("chosen"), F.posexplode(items(v, "$.requests")).alias("k", "r")).filter(~F.coalesce(get(r, "$.isCanceled", "boolean"), F.lit(False)))
     answer = items(r, "$.response")
     is_a = lambda x, kind: F.coalesce(get(x, "$.kind"), F.lit("text-value")) == kind
-    said = F.trim(F.array_join(F.transform(F.filter(answer, lambda x: is_a(x, "text-value")), lambda x: text_of(x, "$.value")), ""))
-    thought = nonempty(F.trim(F.array_join(F.transform(F.filter(answer, lambda x: is_a(x, "thinking")), lambda x: text_of(x, "$.value")), "\n")))
+    said = stripped(F.array_join(F.transform(F.filter(answer, lambda x: is_a(x, "text-value")), lambda x: text_of(x, "$.value")), ""))
+    thought = nonempty(stripped(F.array_join(F.transform(F.filter(answer, lambda x: is_a(x, "thinking")), lambda x: text_of(x, "$.value")), "\n")))
     used = F.transform(F.filter(answer, lambda x: is_a(x, "toolInvocationSerialized") & get(x, "$.toolId").isNotNull()), lambda x: _tool(get(x, "$.toolCallId"), get(x, "$.toolId"), F.lit(None).cast("string")))
     rounds = F.flatten(F.transform(items(r, "$.result.metadata.toolCallRounds"), lambda x: F.transform(items(x, "$.toolCalls"), lambda c: _tool(get(c, "$.id"), get(c, "$.name"), get(F.try_parse_json(get(c, "$.arguments")), "$.filePath")))))
     calls = F.concat(used.cast(CALLS), F.filter(rounds.cast(CALLS), lambda c: ~F.exists(used.cast(CALLS), lambda u: u["id"] == c["id"])))
     time = F.timestamp_millis(get(r, "$.timestamp", "long"))
-    both = F.array(*[F.struct(F.lit(k).alias("k2"), F.concat_ws("-", get(r, "$.requestId"), F.lit(kind)).alias("id"), F.lit(kind).alias("type"), F.left(content, F.lit(10_000)).alias("content"), thinking.alias("thinking"), tools.cast(CALLS).alias("tool_calls")) for k, kind, content, thinking, tools in ((0, "user", F.trim(F.coalesce(get(r, "$.message.text"), F.lit(""))), F.lit(None).cast("string"), F.array().cast(CALLS)), (1, "assistant", said, thought, calls))])
+    both = F.array(*[F.struct(F.lit(k).alias("k2"), F.concat_ws("-", get(r, "$.requestId"), F.lit(kind)).alias("id"), F.lit(kind).alias("type"), F.left(content, F.lit(10_000)).alias("content"), thinking.alias("thinking"), tools.cast(CALLS).alias("tool_calls")) for k, kind, content, thinking, tools in ((0, "user", stripped(F.coalesce(get(r, "$.message.text"), F.lit(""))), F.lit(None).cast("string"), F.array().cast(CALLS)), (1, "assistant", said, thought, calls))])
     out = rows.select("session_id", "k", time.alias("timestamp"), F.coalesce("chosen", get(r, "$.modelId")).alias("model"), F.explode(both).alias("m"))
     out = out.select("session_id", (F.col("k") * 2 + F.col("m.k2")).cast("long").alias("position"), "m.id", "m.type", "m.content", "m.thinking", "m.tool_calls", F.array().cast(RESULTS).alias("tool_results"), "model", F.lit(None).cast(USAGE).alias("usage"), "timestamp")
     return out.filter((F.col("content") != "") | (F.size("tool_calls") > 0))
@@ -280,7 +286,7 @@ def rich_text(source: str | None) -> str | None:
     return text or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rich_text(column: pd.Series) -> pd.Series:
     return column.map(rich_text)
 
