@@ -118,8 +118,8 @@ def model_stats(sessions: DataFrame) -> DataFrame:
     return by.select(
         "*",
         F.round(F.col("cost") / F.col("sessions"), 4).alias("cost_per_session"),
-        F.round(mega("input_tokens") * costs.model_price(F.col("model"), 0), 4).alias("input_cost"),
-        F.round(mega("output_tokens") * costs.model_price(F.col("model"), 1), 4).alias("output_cost"),
+        F.round(mega("input_tokens") * costs.model_price(F.col("model"), 0), 8).alias("input_cost"),
+        F.round(mega("output_tokens") * costs.model_price(F.col("model"), 1), 8).alias("output_cost"),
     )
 
 

@@ -179,7 +179,7 @@ by_model AS (SELECT coalesce(primary_model, 'unknown') AS model, count(*) AS ses
     CAST(coalesce(sum(total_input_tokens) FILTER (estimated_cost_usd IS NOT NULL), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(total_output_tokens) FILTER (estimated_cost_usd IS NOT NULL), 0) AS BIGINT) AS output_tokens
   FROM live GROUP BY 1)
 SELECT *, round(sessions * 100.0 / sum(sessions) OVER (), 4) AS session_percent, round(cost * 100.0 / sum(cost) OVER (), 4) AS cost_percent, round(cost / sessions, 4) AS cost_per_session,
-  round(input_tokens / 1000000.0::DOUBLE * {sql_price("model", 0)}, 4) AS input_cost, round(output_tokens / 1000000.0::DOUBLE * {sql_price("model", 1)}, 4) AS output_cost
+  round(input_tokens / 1000000.0::DOUBLE * {sql_price("model", 0)}, 8) AS input_cost, round(output_tokens / 1000000.0::DOUBLE * {sql_price("model", 1)}, 8) AS output_cost
 FROM by_model""")
 def model_stats(t: Tables) -> DataFrame:
     return stats.model_stats(t.live)
