@@ -1,9 +1,9 @@
 """From raw documents to training tokens: five stages, each a table that the next one reads.
 
 Every stage works on all that its predecessor kept. All but the last return the columns of documents.
-The near-duplicate stage uses operator 1 as its contract sets it: shingles of three words, two differing bits.
-SQL has no such fingerprint and no byte pair merges, so there is no ORACLE_SQL; tests/llm compares the rows
-with a brute-force version.
+The near-duplicate stage links texts whose shingles of five words have a Jaccard similarity of 0.8 at least;
+operator 1 keeps its own contract, fingerprints of three words at two differing bits. SQL has no byte pair
+merges, so there is no ORACLE_SQL; tests/llm compares the rows with a brute-force version.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
+from tallyspark.llm import byte_bpe, exact_dedup, language_id, mixing, near_copies
 from tallyspark.llm.common import materialize
 from tallyspark.llm.queries import VOCABULARY
 
@@ -32,8 +32,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the row with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs, shingle=3)
+    """Of each component of linked texts the row with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,151 @@
+"""Near copies by Jaccard similarity: candidates from MinHash bands, each checked exactly.
+
+Texts are sets of word shingles. Texts link when the share of shingles they have in common among all of both is
+at least `similarity`. Fingerprints of 64 bits can't tell this: at a Jaccard similarity of 0.8 two of them differ
+in about ten bits and often in fifteen, which is beyond what anchors reach (operator 1 stays at two bits).
+
+Equal sets are one node from the start. A node has keys, one a band, each made of ROWS minima under random
+hashes; nodes with a key in common are candidates. There are as many bands as leave a pair just at the
+similarity without a common key in one case of MISSED; for more similar pairs it is far rarer.
+
+A bucket of k nodes is first checked as a star, each node against the bucket's smallest, which is the same node
+in most buckets of a cluster; so a cluster of k near copies costs about k checks and not k * k. Only where
+nodes of one bucket are still in different components, and their sizes allow a link, their pairs are checked
+too. So every candidate pair is either checked or already connected: the components are those of all links
+between candidates.
+
+Defined results: as in simhash: a text of fewer words than a shingle has one shingle, all its words; texts
+without words are equal; repeated rows are each returned; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import give_back, materialize, ship_package, unused_name
+from tallyspark.llm.simhash import SEED, components
+
+#: Minima in a key, and the share of pairs at the similarity that may have no key in common.
+ROWS, MISSED = 5, 1e-4
+
+
+def shingles(text: bytes, n: int) -> np.ndarray:
+    """Hashes (uint64) of the distinct shingles of n words of a text in UTF-8, in order."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()  # on bytes, both touch ASCII only
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(n)))) if len(words) >= n else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def node_of(found: np.ndarray) -> int:
+    """A set of shingles as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+
+
+def bands_for(similarity: float) -> int:
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-min(similarity, 0.999999) ** ROWS)))
+
+
+def keys_of(found: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> list[int]:
+    """One key a band of a set of shingles, as signed longs."""
+    from xxhash import xxh64_intdigest
+
+    least = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 2048):
+        least = np.minimum(least, (found[None, at : at + 2048] * factors[:, None] + shifts[:, None]).min(axis=1))
+    return [xxh64_intdigest(least[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, len(least), ROWS)]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    ship_package(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, node, size (of the set) and keys for each row of docs (doc_id, text)."""
+    rng = np.random.default_rng(SEED)
+    n = ROWS * bands_for(similarity)
+    factors = rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1)
+    shifts = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, keys = [], [], []
+            for t in b["text"]:
+                found = shingles(t.as_py() or b"", shingle)
+                nodes.append(node_of(found))
+                sizes.append(len(found))
+                keys.append(keys_of(found, factors, shifts))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "size", "keys"])
+        give_back()
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """node and hashes, its shingles, for each row of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                sets = [shingles(t.as_py() or b"", shingle) for t in b["text"].slice(at, 200)]
+                ends = np.cumsum([0] + [len(s) for s in sets])
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "hashes"])
+        give_back()
+
+    return _texts(docs).mapInArrow(run, "node long, hashes array<long>")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets are similar enough."""
+    each = pairs.join(sets.toDF("v", "hv"), "v").join(sets.toDF("u", "hu"), "u")
+    each = each.select("u", "v", (F.size("hu") + F.size("hv")).alias("both"), F.size(F.array_intersect("hu", "hv")).alias("common"))
+    return each.filter(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select("u", "v")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over links, for each row of docs (doc_id, text)."""
+    rows = materialize(signatures(docs, shingle, similarity), "signatures")
+    firsts = materialize(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys")), "distinct-sets")
+    members = firsts.select("node", "size", F.explode("keys").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("key", "least")
+    shared = materialize(members.join(buckets, "key"), "shared-keys")
+    wanted = shared.select("node").distinct().join(firsts.select("node", "first"), "node")
+    of = docs.select("doc_id", "text").join(wanted.select(F.col("first").alias("_first")).distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    sets = materialize(shingle_sets(of, shingle).groupBy("node").agg(F.first("hashes").alias("hashes")), "shingle-sets")
+
+    star = materialize(shared.filter("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "stars")
+    links = materialize(_linked(star, sets, similarity), "links")
+    roots = components(links)
+    placed = shared.select("key", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("key")
+    open_ = materialize(placed.join(apart, "key"), "open-keys")
+    x, y = open_.toDF("key", "u", "size_u", "root_u"), open_.toDF("key", "v", "size_v", "root_v")
+    fits = F.least("size_u", "size_v") >= F.lit(similarity) * F.greatest("size_u", "size_v")
+    pairs = x.join(y, "key").filter((F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & fits).select("u", "v").distinct()
+    more = materialize(_linked(pairs.join(star, ["u", "v"], "left_anti"), sets, similarity), "links")
+    if not more.isEmpty():
+        roots = components(roots.toDF("u", "v").union(more))
+
+    rooted = firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, with all columns."""
+    name = unused_name(docs, "kept_id")
+    kept = near_copies(docs, shingle, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
