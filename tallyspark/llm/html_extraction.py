@@ -11,7 +11,7 @@ in question stands on half of the pages, a template has at most twice the tokens
 A page is then cut at the template's tokens. What lies between them are slots. Text that is part of the
 template is dropped, and so are slots within menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles and comments, which their elements or class names tell. If the page has an article or a main
-element, the slots within it are extracted; else all slots that have a fair share of the largest one's text.
+element, the slots within it are extracted; else all slots.
 
 Templates travel by broadcast when the tokens of all are few, and by a join on the host otherwise.
 
@@ -39,8 +39,6 @@ from tallyspark.llm.url_filter import split_url
 
 #: Tokens of all templates up to which they are broadcast, about 50 bytes each.
 BROADCAST_TOKENS = 500_000
-#: A slot outside of articles counts if it has this share of the largest slot's characters.
-SLOT_SHARE = 0.25
 
 RAW = "script|style|noscript|template|iframe|svg|math|textarea|title|select|object"
 TOKEN = re.compile(
@@ -158,21 +156,16 @@ def page_tokens(page: Page) -> dict[int, tuple[int, int]]:
 
 def main_text(page: Page, template: frozenset[int]) -> str:
     """The main text of a page: the blocks of the slots that count, in page order."""
-    slots: list[list[tuple[str, bool]]] = [[]]
+    texts: list[str] = []
     has_main = any(block and block[2] and not block[1] for _, block in page.tokens)
     for token, block in page.tokens:
         if block is None:
-            if slots[-1] and token_hash(token) in template:
-                slots.append([])
             continue
         text, side, main = block
         if side or has_main and not main or not main and token_hash(token) in template:
             continue
-        slots[-1].append(text)
-    if not has_main:
-        sizes = [sum(map(len, s)) for s in slots]
-        slots = [s for s, n in zip(slots, sizes) if n >= SLOT_SHARE * max(sizes)]
-    return " ".join(text for s in slots for text in s)
+        texts.append(text)
+    return " ".join(texts)
 
 
 # --- templates ----------------------------------------------------------------------------------------------

@@ -1,0 +1,14 @@
+"""Slots outside of articles: none is dropped for being short beside another."""
+
+from __future__ import annotations
+
+from tallyspark.llm import html_extraction
+from tests.llm.test_learned_operators import PAGES, page
+
+
+def test_short_slots_beside_a_long_one(spark):
+    """Pages with varying numbers of paragraphs, a heading and one very long paragraph keep all of them."""
+    parts = {k: [f"Head {k}", *(f"Short {k} {n}" for n in range(1 + k % 5)), f"long {k} " * 400, f"Last {k}"] for k in range(12)}
+    rows = [page("b.example.com", k, f"<div class='text'><h1>{p[0]}</h1>" + "".join(f"<p>{x}</p>" for x in p[1:]) + "</div>") for k, p in parts.items()]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: " ".join(" ".join(p).split()) for k, p in parts.items()}
