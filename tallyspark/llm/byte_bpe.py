@@ -29,10 +29,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import give_back, ship_package
+from tallyspark.llm.common import give_back, ship_file, ship_package
 
 #: Entries of the caches of a worker, each of some hundred bytes at most.
 MAX_PIECES = 200_000
@@ -343,9 +344,10 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ids, an array of token ids, for each row of docs (doc_id, text); a null text has none."""
     ship_package(docs.sparkSession)
+    file = ship_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe = codec(SparkFiles.get(file), pattern)
         for b in batches:
             ids = [bpe.encode(t.as_py() or "") for t in b["text"]]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -356,9 +358,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text for each row of encoded (doc_id, ids)."""
     ship_package(encoded.sparkSession)
+    file = ship_file(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe = codec(SparkFiles.get(file), pattern)
         for b in batches:
             texts = [bpe.decode(np.array(x.as_py() or [], np.int64)).decode() for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -369,10 +372,11 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256, and ids if asked for, for each row of docs (doc_id, text): encoded, then decoded from the ids."""
     ship_package(docs.sparkSession)
+    file = ship_file(docs.sparkSession, path)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe = codec(SparkFiles.get(file), pattern)
         decimal = [str(k) for k in range(len(bpe.vocabulary))]
         for b in batches:
             n, of_ids, of_text, kept = [], [], [], []

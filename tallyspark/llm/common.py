@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,11 @@ SPACE = r"[\x20\x09-\x0D]"
 #: A word is a longest run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of one key from which a join treats it as hot.
+HOT_ROWS = 2_000
+
 _own_folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +50,50 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package, whatever folder the driver was started in."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    """Hand this package to the Python workers of all executors, once a session, by Spark's own file server."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="tallyspark-")) / "tallyspark.zip"  # read by the driver only
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted((root / "tallyspark").rglob("*.py")):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(app)
+
+
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Hand a file of the driver to all executors; tasks open SparkFiles.get() of the name that is returned."""
+    key = f"{spark.sparkContext.applicationId} {path}"
+    if key not in _shipped:
+        spark.sparkContext.addFile(path)
+        _shipped.add(key)
+    return Path(path).name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written to the shared folder with a number for each row, and the name of that column.
+
+    Written, as numbers made on the fly would change when a lost task is run again. Rows can then be told
+    apart where doc_ids are null or repeat.
+    """
+    name = unused_name(docs, "row_number_")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with table, which has one row a key and in count how many of rows it stands for.
+
+    A key with more than HOT_ROWS rows, and than a ten-thousandth of all, is joined by broadcast: there are
+    fewer than 10,000 of those, however many rows there are. What is left has no hot key.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    bound = max(HOT_ROWS, total // 10_000)
+    hot, rest = table.filter(F.col(count) > bound), table.filter(F.col(count) <= bound)
+    if total <= bound or hot.isEmpty():
+        return rows.join(rest, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
 
 
 def give_back() -> None:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, ship_package, unused_name
+from tallyspark.llm.common import join_counted, materialize, numbered, ship_package
 
 #: Distinct digests that a shard holds on average; its memory is about 100 bytes for each.
 SHARD_KEYS = 40_000
@@ -133,8 +133,8 @@ def _look_up(index: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
 
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
-    """One row for each digest of (digest, doc_id): the winner so far and the number of copies."""
-    return rows.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    """One row for each digest of (digest, locator): the winner so far and the number of copies."""
+    return rows.groupBy("digest").agg(F.max("locator").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
 def _sharded(groups: DataFrame, shards: int) -> DataFrame:
@@ -154,23 +154,33 @@ def look_up(index: DataFrame, incoming: DataFrame, shards: int) -> DataFrame:
     return index.groupBy("shard").cogroup(_sharded(incoming, shards).groupBy("shard")).applyInPandas(lambda a, b: _look_up(a, b), GROUP_SCHEMA)
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text).
+def groups_of(rows: DataFrame) -> DataFrame:
+    """digest, keep_id (the largest locator) and group_size for each digest of rows (digest, locator).
 
-    The history is the half of the rows whose doc_id has an even crc32; the other half is looked up.
+    The history is the half of the rows whose locator has an even crc32; the other half is looked up.
     """
-    ship_package(docs.sparkSession)
-    rows = materialize(docs.select("doc_id", text_digest(F.col("text")).alias("digest")), "exact-digests")
-    historical = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
-    history = distinct_digests(rows.filter(historical))
+    ship_package(rows.sparkSession)
+    historical = F.coalesce(F.crc32(F.col("locator").cast("string").cast("binary")) % 2 == 0, F.lit(False))
     shards = max(1, -(-rows.count() // SHARD_KEYS))
-    index = materialize(build_index(history, shards), "exact-index")
-    groups = look_up(index, distinct_digests(rows.filter(~historical)), shards)
-    return rows.join(groups, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    index = materialize(build_index(distinct_digests(rows.filter(historical)), shards), "exact-index")
+    return materialize(look_up(index, distinct_digests(rows.filter(~historical)), shards), "exact-groups")
+
+
+def exact_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs (doc_id, text)."""
+    rows = materialize(docs.select(F.col("doc_id").alias("locator"), text_digest(F.col("text")).alias("digest")), "exact-digests")
+    found = join_counted(rows, groups_of(rows), "digest", "group_size")
+    return found.select(F.col("locator").alias("doc_id"), "keep_id", "group_size", F.col("locator").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all columns."""
-    name = unused_name(docs, "kept_id")
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+    """Of the rows of docs with equal texts the one with the largest doc_id (null first), with all columns: exactly one, also where doc_ids are null or repeat.
+    """
+    rows, number = numbered(docs)
+    digests = materialize(rows.select(number, "doc_id", text_digest(F.col("text")).alias("digest")), "exact-digests")
+    winners = groups_of(digests.select("digest", F.col("doc_id").alias("locator")))
+    # of rows that share text and doc_id the one with the smallest number stays
+    ties = digests.groupBy("digest", "doc_id").agg(F.min(number).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    ties = join_counted(ties, winners, "digest", "group_size").filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("stays")
+    gone = materialize(digests.select(number).join(ties, F.col(number) == F.col("stays"), "left_anti"), "exact-copies")
+    return rows.join(gone, number, "left_anti").drop(number)

@@ -3,7 +3,7 @@
 Every row gets a hash-random key. Keys are uniform, so equal ranges of the key space hold about equally many
 rows of a source; each source is cut into as many ranges as its row count asks for, which splits a hot source
 over many tasks. Sorted ranges give prefix sums of sizes within a range, and the sums of the ranges before it
-come from a small table of range totals. A row is taken once for each whole epoch that the source's budget
+come from a small table of range totals, summed in two levels. One row a source is all that meets in one task. A row is taken once for each whole epoch that the source's budget
 holds, and then as far as the words before it in the source leave room in the rest of the budget. So the words
 taken meet a source's target to the word; at most one document of a source is cut. mixed_documents() emits
 whole documents: there the cut goes to the nearer end of that one document.
@@ -13,7 +13,7 @@ there and the excess is shared by weight among the others, until none is above.
 sources in the order of cap / weight, those before the level get their cap, the rest weight times the level.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows of equal
-doc_id and size are interchangeable; an empty table gives an empty result; other columns are ignored.
+doc_id and size are interchangeable (mixed_documents() decides each by itself); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, unused_name, words_of
+from tallyspark.llm.common import materialize, numbered, unused_name, words_of
 
 #: Rows of a key range, on average.
 RANGE_ROWS = 2_000
+#: Key ranges in a block of prefix sums: a source of 10 ** 10 rows has 1,221 blocks.
+BLOCK_RANGES = 4_096
 
 
 def hash_key(doc_id: Column, seed: str) -> Column:
@@ -55,22 +57,27 @@ def source_targets(rows: DataFrame, weights: Sequence[float], max_epochs: int) -
     return per.select("source", "n_rows", "source_size", F.coalesce(F.least(F.col("cap"), F.col("final") * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source).
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source), and the columns of carry.
 
     taken: words that the mix takes, repeats counted; copies: whole copies for a mix of whole documents.
     """
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    sized = docs.select("doc_id", *carry, F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
     sized = materialize(sized, "mix-sizes")
     sources = materialize(source_targets(sized, weights, max_epochs), "mix-sources")
     same = sized["source"].eqNullSafe(sources["source"])
-    rows = sized.join(sources, same).select("doc_id", sized["source"].alias("source"), "size", "n_rows", "source_size", "target", hash_key(F.col("doc_id"), seed).alias("key"))
+    rows = sized.join(sources, same).select("doc_id", *carry, sized["source"].alias("source"), "size", "n_rows", "source_size", "target", hash_key(F.col("doc_id"), seed).alias("key"))
     ranges = F.ceil(F.col("n_rows") / RANGE_ROWS)
     rows = rows.withColumn("range", F.floor(F.col("key") * ranges / F.lit(float(1 << 32))))
     totals = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    earlier = F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select(F.col("source").alias("o_source"), F.col("range").alias("o_range"), earlier.alias("offset"))
-    inner = W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    # ranges in blocks, so that a source's prefix sums are made in many tasks: within a block, and of blocks
+    totals = materialize(totals.withColumn("block", F.floor(F.col("range") / BLOCK_RANGES)), "mix-ranges")
+    blocks = totals.groupBy("source", "block").agg(F.sum("range_size").alias("block_size"))
+    blocks = blocks.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), F.coalesce(F.sum("block_size").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("block_offset"))
+    within = F.coalesce(F.sum("range_size").over(W.partitionBy("source", "block").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = totals.withColumn("within", within).join(blocks, totals["source"].eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
+    offsets = offsets.select(F.col("source").alias("o_source"), F.col("range").alias("o_range"), (F.col("within") + F.col("block_offset")).alias("offset"))
+    inner = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(offsets, rows["source"].eqNullSafe(F.col("o_source")) & (rows["range"] == F.col("o_range")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -78,12 +85,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
     before = F.col("offset") + F.col("inner")
     last = F.greatest(F.lit(0), F.least(F.col("size"), budget - before))
     copies = F.when(F.col("size") > 0, epochs + (before + F.col("size") / 2.0 <= budget).cast("int")).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), copies.cast("int").alias("copies"))
+    return rows.select("doc_id", *carry, "size", "source_size", "target", (epochs * F.col("size") + last).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all columns. Texts without words are left out."""
-    key, times, each = (unused_name(docs, c) for c in ("mixed_id", "copies", "copy"))
-    copies = mix(docs, **how).filter("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
-    chosen = docs.join(copies.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(key)))
+    rows, number = numbered(docs)
+    times, each = unused_name(rows, "copies_"), unused_name(rows, "copy_")
+    copies = mix(rows, carry=[number], **how).filter("copies > 0").select(number, F.col("copies").alias(times))
+    chosen = rows.join(copies, number)
     return chosen.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,33 +1,46 @@
 """SimHash near-duplicates by anchor-point covering.
 
-A fingerprint has 64 bits: bit b is 1 if bit b is set in more than half of the hashes of the text's word
-shingles. Fingerprints link when at most two bits differ.
-
-Anchors are the words of a covering code: the product of two perfect Golay codes of 23 bits (covering radius
-3 each, so 6 together) over the lowest 46 bits. Any fingerprint x has one home anchor, the code words within
-radius 3 of its two blocks. If y differs from x in t1 and t2 bits of the blocks, then y lies within 3 + t1 and
-3 + t2 of x's home; so y is replicated to every anchor within the covering radius plus the threshold, the two
-bits dealt over the blocks in all ways, which is about 61 anchors. Each pair meets at the home of either side
-and is compared there over all 64 bits: nothing is missed and nothing is guessed.
-
-Texts with the same fingerprint are one fingerprint from the start, so copies cost nothing here, and a third
-of all rows may share one. An anchor with more than a bounded number of homes is split: its homes are dealt
-over salts and the other side goes to each salt. A task streams over rows sorted by anchor, homes first, and
-keeps no more than one anchor's homes in memory. Of the links found at once it emits a spanning forest, so
-that a cluster of k fingerprints yields k - 1 edges and not k * k pairs; the components stay the same. They
-are joined by alternating large-star and small-star steps on tables, never on the driver.
-
-The number of anchors is 2 ** 24, so a task compares each fingerprint with about 61 * n / 2 ** 24 others.
+A fingerprint bit is 1 if the bit is set in more than half of the hashes of a text's word shingles. Anchors are
+the words of a covering code: each fingerprint has one home anchor, the nearest, and goes as a guest to every
+anchor within the covering radius plus a threshold. Fingerprints are compared at each anchor, homes with homes
+and with guests. The code is made of the perfect binary Golay code of 23 bits, of covering radius 3.
+
+near_duplicates() links fingerprints of 64 bits at two differing bits or fewer. Its anchors are the product of
+two Golay codes over the lowest 46 bits (radius 6). If y differs from x in t1 and t2 bits of the blocks, then
+y lies within 3 + t1 and 3 + t2 of x's home; so y goes to every anchor that far, the two bits dealt over the
+blocks in all ways, which is about 61 anchors. Each pair meets at the home of either side: nothing is missed.
+
+similar_documents() links texts whose sets of shingles have a Jaccard similarity of 0.8 or more. There two
+fingerprints differ in about 15 of 100 bits, which no single anchor code of use covers for certain. So it takes
+longer fingerprints, cut in as many tables of 23 bits (and some more bits matched exactly, where many texts
+would else make long lists at an anchor) as leave at most MISSED of the pairs just at the similarity without a
+common anchor, by a bound that counts one direction only; each table replicates to the anchors within radius
+3 + 1. Pairs that meet are compared over 128 bits, at four standard deviations, and those within are checked by
+their whole sets of shingles. A link is never made of fingerprints alone.
+
+Texts of the same fingerprint (or the same set) are one node from the start, so copies cost nothing here, and a
+third of all rows may share one. An anchor with more than SPLIT_HOMES homes is split: its homes are dealt over
+salts and the other side goes to each salt. A task streams over rows sorted by anchor, homes first, and keeps no
+more than one anchor's homes in memory. Of the links found it emits a spanning forest, shortest first, so that a
+cluster of k nodes yields k - 1 edges and not k * k pairs; the components stay the same. Where the exact check
+then breaks a component up, all pairs between its parts that are within the limit are checked too, so no link
+is lost by the forest. Components are joined by alternating large-star and small-star steps on tables.
+
+The number of anchors of near_duplicates() is 2 ** 24, so it compares each fingerprint with about 61 * n / 2 **
+24 others; similar_documents() takes more exact bits and more tables as n grows and keeps the lists short.
 
 Defined results: words are longest runs of anything but ASCII white space; a null text, or one without words,
-has fingerprint zero and links like any other; a text of fewer words than a shingle has one shingle, all its
-words; repeated rows are each returned; the component of rows whose doc_ids are all null is null; an empty
-table gives an empty result; other columns are ignored.
+has fingerprint zero and the empty set, and links like any other; a text of fewer words than a shingle has one
+shingle, all its words; repeated rows are each returned; the component of rows whose doc_ids are all null is
+null; an empty table gives an empty result; other columns are ignored. drop_near_duplicates() keeps exactly one
+row of each component, the one with the smallest doc_id (null last), also where doc_ids are null or repeat.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import combinations
 
@@ -36,16 +49,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import give_back, materialize, ship_package, unused_name
+from tallyspark.llm.common import give_back, join_counted, materialize, numbered, ship_package
 
 #: Length, generator polynomial and covering radius of the binary Golay code.
 BLOCK, GENERATOR, RADIUS = 23, 0b110001110101, 3
 THRESHOLD = 2
 SEED = 42
-#: An anchor with more homes than this, and than a ten-thousandth of all fingerprints, is split.
+#: An anchor with more homes than this is split.
 SPLIT_HOMES = 4096
 #: Pairs compared at once.
 CHUNK = 2_000_000
+#: Of pairs just at the similarity, the share that may have no anchor in common, by the bound.
+MISSED = 0.02
+#: Homes that an anchor of similar_documents() has on average, at most.
+MEAN_HOMES = 512
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------
@@ -127,12 +144,6 @@ def anchors(fps: np.ndarray, homes_only: bool = False) -> tuple[np.ndarray, np.n
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _salt(fps: np.ndarray, salts: np.ndarray) -> np.ndarray:
-    """A home's salt among so many, by a hash of the fingerprint."""
-    mixed = (fps ^ (fps >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) % salts.astype(np.uint64)).astype(np.int32)
-
-
 def home_anchors(fps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,10 +152,8 @@ def home_anchors(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "anchor long")
 
 
-def replicas(fps: DataFrame, split: dict[int, int]) -> DataFrame:
-    """anchor, salt, guest (0 for the home) and fp for each distinct fingerprint; split: salts of the anchors that have several."""
-    hot = np.array(sorted(split), np.int64)
-    n_salts = np.array([split[k] for k in sorted(split)], np.int64)
+def replicas(fps: DataFrame) -> DataFrame:
+    """anchor, guest (0 at the home) and fp for each distinct fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,109 +161,135 @@ def replicas(fps: DataFrame, split: dict[int, int]) -> DataFrame:
             for at in range(0, len(fp), 4000):
                 part = fp[at : at + 4000]
                 rows, anchor, home = anchors(part)
-                salt = np.zeros(len(rows), np.int32)
-                if len(hot):
-                    k = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
-                    salts = np.where(hot[k] == anchor, n_salts[k], 1)
-                    own = _salt(part[rows], salts)
-                    # a home is also a guest of the other salts of its anchor
-                    times = np.where(salts > 1, salts, 1)
-                    again = np.repeat(np.arange(len(rows)), times)
-                    salt = (np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
-                    home = home[again] & (salt == own[again])
-                    rows, anchor = rows[again], anchor[again]
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(salt), pa.array((~home).astype(np.int8)), pa.array(part[rows].view(np.int64))], ["anchor", "salt", "guest", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "anchor long, salt int, guest byte, fp long")
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), pa.array(part[rows].view(np.int64))], ["anchor", "guest", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "anchor long, guest byte, fp long")
+
+
+def dealt(rows: DataFrame, homes: DataFrame, node: str) -> DataFrame:
+    """rows (anchor, guest, ...) with a salt, dealt by both and sorted; homes: an anchor for each home."""
+    hot = homes.groupBy("anchor").count().filter(F.col("count") > SPLIT_HOMES)
+    hot = materialize(hot.select("anchor", F.ceil(F.col("count") / SPLIT_HOMES).cast("int").alias("salts")), "hot-anchors")
+    if hot.isEmpty():
+        rows = rows.withColumn("salt", F.lit(0))
+    else:
+        # Spark knows the size of this table and chooses the join by it
+        rows = rows.join(hot, "anchor", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64(node), F.col("salts")).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        # a home is also a guest of the other salts of its anchor
+        rows = rows.withColumn("guest", F.when(F.col("salt") == F.col("own"), F.col("guest")).otherwise(1).cast("byte")).drop("salts", "own")
+    return rows.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "guest")
 
 
 # --- comparing ----------------------------------------------------------------------------------------------
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node of its component) with the components of the links u - v."""
-    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = at[: len(u)], at[len(u) :]
-    label = np.arange(len(nodes))
+def joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest one of its component under the links u - v."""
+    label = np.arange(n)
     while True:
-        low = np.minimum(label[a], label[b])
+        low = np.minimum(label[u], label[v])
         new = label.copy()
-        for x in (a, b, label[a], label[b]):
+        for x in (u, v, label[u], label[v]):
             np.minimum.at(new, x, low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
-    others = label != np.arange(len(nodes))
-    return nodes[others], nodes[label[others]]
 
 
-def _links(key: np.ndarray, guest: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between homes and all rows of each run of equal keys (homes first in a run)."""
+def spanning(u: np.ndarray, v: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the links u - v make up a spanning forest, those of few bits first."""
+    order = np.argsort(bits.astype(np.uint8), kind="stable")
+    a, b = u[order], v[order]
+    label = np.arange(int(max(u.max(), v.max())) + 1 if len(u) else 0)
+    keep, live = np.zeros(len(u), bool), np.arange(len(u))
+    while True:
+        x, y = label[a[live]], label[b[live]]
+        apart = x != y
+        live, x, y = live[apart], x[apart], y[apart]
+        if not len(live):
+            return np.sort(order[keep])
+        best = np.full(len(label), len(u))
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        chosen = np.unique(best[best < len(u)])
+        keep[chosen] = True
+        label = joined(len(label), label[a[chosen]], label[b[chosen]])[label]
+
+
+#: The differing bits of pairs of rows, each a list of columns, and whether they may link.
+Compare = Callable[[list[np.ndarray], list[np.ndarray]], tuple[np.ndarray, np.ndarray]]
+
+
+def _links(key: np.ndarray, guest: np.ndarray, columns: list[np.ndarray], compare: Compare, all_links: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows u and v, and differing bits, of links between homes and all rows of each run of equal keys (homes first in a run)."""
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
     homes = np.add.reduceat(guest == 0, starts)
     use = (homes > 0) & (sizes > 1)
     starts, sizes, homes = starts[use], sizes[use], homes[use]
-    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
     bound = np.cumsum(homes)  # all homes in a row, each against its run
     total = int(bound[-1]) if len(bound) else 0
-    at, chunk = 0, 0
+    at = 0
     while at < total:
-        g = int(np.searchsorted(bound, at, side="right"))
         # as many homes as keep the pairs under CHUNK
-        last = at + 1
         ends = np.searchsorted(bound, np.arange(at, min(total, at + 20_000)), side="right")
-        pairs = np.cumsum(sizes[ends])
-        last = at + max(1, int(np.searchsorted(pairs, CHUNK)))
-        gid = ends[: last - at]
+        gid = ends[: max(1, int(np.searchsorted(np.cumsum(sizes[ends]), CHUNK)))]
         row = starts[gid] + (np.arange(at, at + len(gid)) - (bound[gid] - homes[gid]))
         n = sizes[gid]
         left = np.repeat(row, n)
         right = np.repeat(starts[gid], n) + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
-        x, y = fp[left], fp[right]
-        # of signed numbers it would count the bits of the absolute value
-        near = (np.bitwise_count((x ^ y).view(np.uint64)) <= THRESHOLD) & (x != y)
+        bits, near = compare([c[left] for c in columns], [c[right] for c in columns])
         if near.any():
-            u, v = forest(x[near], y[near])
-            us.append(u)
-            vs.append(v)
-        at = at + len(gid)
-    return np.concatenate(us), np.concatenate(vs)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the links in a stream of rows sorted by anchor, salt and guest."""
-    carry = np.zeros(0, np.int64)
-    carry_key: tuple[int, int] | None = None
-    for b in batches:
-        anchor, salt = b["anchor"].to_numpy(), b["salt"].to_numpy().astype(np.int64)
-        guest, fp = b["guest"].to_numpy(), b["fp"].to_numpy()
-        if not len(fp):
-            continue
-        if carry_key == (anchor[0], salt[0]):
-            anchor, salt = np.concatenate([np.full(len(carry), anchor[0]), anchor]), np.concatenate([np.full(len(carry), salt[0]), salt])
-            guest, fp = np.concatenate([np.zeros(len(carry), guest.dtype), guest]), np.concatenate([carry, fp])
-        changes = np.concatenate([[0], np.cumsum((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]))])
-        u, v = _links(changes, guest, fp)
-        if len(u):
-            u, v = forest(u, v)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-        carry_key = (anchor[-1], salt[-1])
-        carry = fp[(changes == changes[-1]) & (guest == 0)]
-    give_back()
+            found = left[near], right[near], bits[near]
+            kept = slice(None) if all_links else spanning(*found)
+            out.append(tuple(x[kept] for x in found))
+        at += len(gid)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def compared(rows: DataFrame, columns: list[str], compare: Compare, all_links: bool = False) -> DataFrame:
+    """u, v: spanning links, or all, of rows (anchor, salt, guest and columns, the first of them the node) as dealt() leaves them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: list[np.ndarray] = []
+        carry_key: tuple[int, int] | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            anchor, salt, guest = (b[c].to_numpy() for c in ("anchor", "salt", "guest"))
+            values = [b[c].to_numpy() for c in columns]
+            if carry_key == (anchor[0], salt[0]):
+                n = len(carry[0])
+                anchor, salt = np.concatenate([np.full(n, anchor[0]), anchor]), np.concatenate([np.full(n, salt[0]), salt])
+                guest, values = np.concatenate([np.zeros(n, guest.dtype), guest]), [np.concatenate(x) for x in zip(carry, values)]
+            changes = np.concatenate([[0], np.cumsum((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]))])
+            u, v, bits = _links(changes, guest, values, compare, all_links)
+            if len(u):
+                nodes, at = np.unique(np.concatenate([values[0][u], values[0][v]]), return_inverse=True)
+                a, b_ = at[: len(u)], at[len(u) :]
+                kept = slice(None) if all_links else spanning(a, b_, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a[kept]]), pa.array(nodes[b_[kept]])], ["u", "v"])
+            carry_key = (anchor[-1], salt[-1])
+            last = (changes == changes[-1]) & (guest == 0)
+            carry = [x[last] for x in values]
+        give_back()
+
+    return rows.mapInArrow(run, "u long, v long")
+
+
+def _two_bits(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    # of signed numbers it would count the bits of the absolute value
+    bits = np.bitwise_count((x[0] ^ y[0]).view(np.uint64))
+    return bits, (bits <= THRESHOLD) & (bits > 0)
 
 
 def spanning_edges(fps: DataFrame) -> DataFrame:
     """u, v: edges whose components are those of all links between the distinct fingerprints fps (fp)."""
-    n = fps.count()
-    bound = max(SPLIT_HOMES, n // 10_000)
-    fps = fps.repartition(max(1, n // 10_000))  # the rows are small, what is made of them isn't
-    # at most 10,000 rows, as each stands for over a ten-thousandth of the fingerprints
-    hot = home_anchors(fps).groupBy("anchor").count().filter(F.col("count") > bound).collect()
-    split = {r["anchor"]: -(-r["count"] // bound) for r in hot}
-    dealt = replicas(fps, split).repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "guest")
-    return dealt.mapInArrow(_compare, "u long, v long")
+    fps = fps.repartition(max(1, fps.count() // 10_000))  # the rows are small, what is made of them isn't
+    return compared(dealt(replicas(fps), home_anchors(fps), "fp"), ["fp"], _two_bits)
 
 
 # --- components ---------------------------------------------------------------------------------------------
@@ -281,17 +316,218 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable, for each row of docs (doc_id, text)."""
     rows = materialize(fingerprints(docs, shingle), "fingerprints")
-    firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    firsts = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
     roots = components(spanning_edges(firsts))
     # a node of the components is its own root if it is the smallest
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    by_fp = materialize(join_counted(rooted, ids, "root", "members").select("fp", "component_id", "copies"), "components-by-fingerprint")
+    return join_counted(rows, by_fp, "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- by similarity of shingle sets --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Cover:
+    """Tables of anchors, exact bits in each, and the most differing bits of 128, for a similarity and a number of texts."""
+
+    tables: int
+    exact_bits: int
+    limit: int
+
+    @staticmethod
+    def of(similarity: float, n: int) -> Cover:
+        # the angle between the sets' vectors gives the share of differing bits
+        p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+        meet = 0.0
+        for w in range(RADIUS + 1):  # bits between x and its home; in a perfect code every pattern is a leader once
+            for kept in range(w + 1):  # of these so many still differ between y and x's home
+                rest = sum(math.comb(BLOCK - w, k) * p**k * (1 - p) ** (BLOCK - w - k) for k in range(RADIUS + 1 - kept + 1))
+                meet += math.comb(BLOCK, w) / 2048 * math.comb(w, kept) * (1 - p) ** kept * p ** (w - kept) * rest
+        exact = max(0, math.ceil(math.log2(max(1, n) / MEAN_HOMES)) - 12)
+        tables = max(1, math.ceil(math.log(MISSED) / math.log1p(-min(0.999999, meet * (1 - p) ** exact))))
+        return Cover(tables, exact, min(127, math.floor(128 * p + 4 * math.sqrt(128 * p * (1 - p)))))
+
+    @property
+    def lanes(self) -> int:
+        return max(2, -(-self.tables * (BLOCK + self.exact_bits) // 64))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each component, the one with the smallest doc_id, with all columns."""
-    name = unused_name(docs, "kept_id")
-    kept = near_duplicates(docs, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes (uint64) of the distinct shingles of a text in UTF-8, in order."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64))
+
+
+def node_of(found: np.ndarray) -> int:
+    """A set of shingles as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+
+
+def long_fingerprint(found: np.ndarray, lanes: int) -> np.ndarray:
+    """The fingerprint of a set of shingles: so many words of 64 bits."""
+    ones = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(found), 20_000):
+        part = found[at : at + 20_000]
+        for k in range(lanes):  # a further lane takes the bits of the hash mixed with its number
+            x = part + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            if k:
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                x ^= x >> np.uint64(31)
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(found), axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _texts(docs: DataFrame, number: str) -> DataFrame:
+    ship_package(docs.sparkSession)
+    return docs.select(F.col(number).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+
+
+def signatures(docs: DataFrame, number: str, shingle: int, lanes: int) -> DataFrame:
+    """row, doc_id, node, size (of the set) and print, the long fingerprint, for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, prints = [], [], []
+            for t in b["text"]:
+                found = shingle_set(t.as_py() or b"", shingle)
+                nodes.append(node_of(found))
+                sizes.append(len(found))
+                prints.append(long_fingerprint(found, lanes).tobytes())
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["row", "doc_id", "node", "size", "print"])
+        give_back()
+
+    return _texts(docs, number).mapInArrow(run, "row long, doc_id long, node long, size long, print binary")
+
+
+def shingle_sets(docs: DataFrame, number: str, shingle: int) -> DataFrame:
+    """node and hashes, its shingles, for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                sets = [shingle_set(t.as_py() or b"", shingle) for t in b["text"].slice(at, 200)]
+                ends = np.cumsum([0] + [len(s) for s in sets])
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "hashes"])
+        give_back()
+
+    return _texts(docs, number).mapInArrow(run, "node long, hashes array<long>")
+
+
+def table_anchors(prints: np.ndarray, cover: Cover, homes_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each table rows of prints (n, lanes), anchors and whether the anchor is the home."""
+    patterns, starts, counts = coset_patterns()
+    width = BLOCK + cover.exact_bits
+    for table in range(cover.tables):
+        lane, shift = divmod(table * width, 64)
+        word = prints[:, lane] >> np.uint64(shift)
+        if shift + width > 64:
+            word = word | prints[:, lane + 1] << np.uint64(64 - shift)
+        word = (word & np.uint64((1 << width) - 1)).astype(np.int64)
+        block, rest = word & ((1 << BLOCK) - 1), (word >> BLOCK << BLOCK) | table << 52
+        syndrome = _remainders(block)
+        for excess in range(1 if homes_only else 2):
+            n = counts[excess][syndrome]
+            rows = np.repeat(np.arange(len(prints)), n)
+            k = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            yield rows, (block[rows] ^ patterns[starts[excess][syndrome][rows] + k]) | rest[rows], np.full(len(rows), excess == 0)
+
+
+def table_replicas(nodes: DataFrame, cover: Cover, homes_only: bool = False) -> DataFrame:
+    """anchor, guest (0 at the home), node, size, root and the first 128 bits for each of nodes (node, size, root, print)."""
+    names = ["anchor", "guest", "node", "size", "root", "p0", "p1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                prints = np.frombuffer(b"".join(b["print"].to_pylist()), np.uint64).reshape(b.num_rows, -1)
+                node, size, root = (b[c].to_numpy() for c in ("node", "size", "root"))
+                p0, p1 = (prints[:, k].view(np.int64) for k in (0, 1))
+                for rows, anchor, home in table_anchors(prints, cover, homes_only):
+                    if homes_only:
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), *(pa.array(x[rows]) for x in (node, size, root, p0, p1))], names)
+
+    return nodes.select("node", "size", "root", "print").mapInArrow(run, "anchor long" if homes_only else "anchor long, guest byte, node long, size long, root long, p0 long, p1 long")
+
+
+def candidates(nodes: DataFrame, cover: Cover, similarity: float, all_links: bool = False) -> DataFrame:
+    """u < v: pairs of nodes of different roots that meet at an anchor, are within the limit and of sizes that allow the similarity; a spanning forest of them, or all."""
+
+    def compare(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) + np.bitwise_count((x[4] ^ y[4]).view(np.uint64))
+        near = bits <= cover.limit
+        near &= (x[2] != y[2]) & (np.minimum(x[1], y[1]) >= similarity * np.maximum(x[1], y[1]))
+        return bits, near
+
+    nodes = nodes.repartition(max(1, nodes.count() // 10_000))
+    found = compared(dealt(table_replicas(nodes, cover), table_replicas(nodes, cover, homes_only=True), "node"), ["node", "size", "root", "p0", "p1"], compare, all_links)
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets are similar enough."""
+    each = pairs.join(sets.toDF("v", "hv"), "v").join(sets.toDF("u", "hu"), "u")
+    each = each.select("u", "v", (F.size("hu") + F.size("hv")).alias("both"), F.size(F.array_intersect("hu", "hv")).alias("common"))
+    return each.filter(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select("u", "v")
+
+
+def _with_roots(edges: DataFrame, name: str) -> DataFrame:
+    """node and its root under edges (u, v), roots included."""
+    roots = components(edges).withColumnRenamed("root", name)
+    return roots.union(roots.select(F.col(name).alias("node"), name).distinct())
+
+
+def _similar(docs: DataFrame, number: str, shingle: int, similarity: float) -> DataFrame:
+    """row, doc_id, component_id and best (the row that stays) for each row of docs."""
+    cover = Cover.of(similarity, docs.count())
+    rows = materialize(signatures(docs, number, shingle, cover.lanes), "signatures")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("print").alias("print"))
+    firsts = materialize(firsts, "distinct-sets")
+    pairs = materialize(candidates(firsts.withColumn("root", F.col("node")), cover, similarity), "candidates")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node").select(F.col("first.row").alias(number))
+    sets = materialize(shingle_sets(docs.join(wanted, number, "left_semi"), number, shingle), "shingle-sets")
+    links = materialize(checked(pairs, sets, similarity), "links")
+    linked = materialize(_with_roots(links, "root"), "linked")
+
+    # where the check broke a component of candidates up, all its pairs are candidates
+    placed = _with_roots(pairs, "group").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialize(placed, "placed")
+    broken = placed.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("group")
+    open_ = materialize(placed.join(broken, "group", "left_semi").join(firsts.drop("first", "copies"), "node"), "open")
+    if not open_.isEmpty():
+        again = candidates(open_, cover, similarity, all_links=True).join(pairs, ["u", "v"], "left_anti")
+        more = materialize(checked(again, sets, similarity), "links")
+        if not more.isEmpty():
+            linked = materialize(_with_roots(links.union(more), "root"), "linked")
+
+    rooted = firsts.join(linked, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"), F.count(F.lit(1)).alias("members"))
+    by_node = materialize(join_counted(rooted, best, "root", "members").select("node", "copies", F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("best")), "components-by-set")
+    return join_counted(rows.select("row", "doc_id", "node"), by_node, "node", "copies").select("row", "doc_id", "component_id", "best")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over texts that are similar enough, for each row of docs (doc_id, text)."""
+    rows, number = numbered(docs.select("doc_id", "text"))
+    return _similar(rows, number, shingle, similarity).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of similar documents, the one with the smallest doc_id, with all columns."""
+    rows, number = numbered(docs)
+    gone = materialize(_similar(rows, number, shingle, similarity).filter("row != best").select(F.col("row").alias(number)), "near-copies")
+    return rows.join(gone, number, "left_anti").drop(number)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from tallyspark.llm import near_copies
+from tallyspark.llm import exact_dedup, simhash
 from tests.llm.brute import LOWER, WORD
 
 
@@ -49,11 +49,42 @@ def test_stage_drops_what_is_similar(spark, planted):
     kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(roots.values()))
-    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()} == roots
-    assert near_copies.near_copies(docs.limit(0)).count() == 0
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == roots
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
 
 
 def test_similarity_is_a_parameter(spark, planted):
     docs = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
     for similarity in (0.6, 0.95):
-        assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs, similarity=similarity).collect()} == roots_of(planted, similarity)
+        assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs, similarity=similarity).collect()} == roots_of(planted, similarity)
+
+
+def test_anchors_over_many_exact_bits(spark, planted, monkeypatch):
+    """More exact bits and tables, as for many texts, and anchors split over salts find the same links."""
+    monkeypatch.setattr(simhash, "MEAN_HOMES", 0.01)
+    monkeypatch.setattr(simhash, "SPLIT_HOMES", 2)
+    docs = spark.createDataFrame(list(planted.items()), "doc_id long, text string")
+    assert simhash.Cover.of(0.8, len(planted)).exact_bits > 0
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == roots_of(planted)
+
+
+def test_components_that_the_check_breaks_up(spark):
+    """A chain of texts, each similar to the next but not to the one after, and texts just below the similarity of its links."""
+    words = [f"w{k}" for k in range(400)]
+    chain = {k: " ".join(words[8 * k : 8 * k + 160]) for k in range(12)}
+    near = {100 + k: " ".join([f"a{k}{x}" if x % 30 == 7 else w for x, w in enumerate(words[:160])]) for k in range(6)}
+    docs = spark.createDataFrame(list((chain | near).items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == roots_of(chain | near)
+
+
+def test_stages_decide_by_row(spark):
+    rows = [(None, "the same text of seven words here", "a"), (None, "the same text of seven words here", "b"), (7, "one two three four five six", "a"), (7, "one two three four five six", "a"), (7, "quite another text of some words", "a"), (8, "", "a"), (9, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Row_Number_ string")
+    for stage in (simhash.drop_near_duplicates, exact_dedup.drop_exact_duplicates):
+        kept = stage(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r["text"] or "") for r in kept.collect()) == ["", "one two three four five six", "quite another text of some words", "the same text of seven words here"]
+        assert stage(docs.limit(0)).count() == 0
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).filter("doc_id > 7").collect()) == [8]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(docs).filter("doc_id > 7").collect()) == [9]
+    assert simhash.drop_near_duplicates(docs).filter("doc_id IS NULL").count() == 1
