@@ -1,9 +1,14 @@
 """From raw documents to training tokens: five stages, each a table that the next one reads.
 
 Every stage works on all that its predecessor kept. All but the last return the columns of documents.
-The near-duplicate stage links texts whose shingles of five words have a Jaccard similarity of 0.8 at least;
-operator 1 keeps its own contract, fingerprints of three words at two differing bits. SQL has no byte pair
-merges, so there is no ORACLE_SQL; tests/llm compares the rows with a brute-force version.
+The near-duplicate stage links texts whose shingles of five words have a Jaccard similarity of 0.8 at least, by
+operator 1's anchors over longer fingerprints and a check of the whole sets; the operator's own query keeps its
+contract, fingerprints of three words at two differing bits. SQL has no byte pair merges, so there is no
+ORACLE_SQL; tests/llm compares the rows with a brute-force version.
+
+Defined results: stages decide row by row, also where doc_ids are null or repeat. A null text, or one without
+letters, goes in the first stage. Of equal texts one row stays, of similar ones one; the mix leaves out texts
+without words and repeats rows of sources that need several epochs. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import byte_bpe, exact_dedup, language_id, mixing, near_copies
+from tallyspark.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
 from tallyspark.llm.common import materialize
 from tallyspark.llm.queries import VOCABULARY
 
@@ -27,13 +32,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays (null first); exactly one row of each."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked texts the row with the smallest doc_id stays."""
-    return near_copies.drop_near_copies(docs, shingle=5, similarity=0.8)
+    """Of each component of similar texts the row with the smallest doc_id stays (null last); exactly one row of each."""
+    return simhash.drop_near_duplicates(docs, shingle=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
