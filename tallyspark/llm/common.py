@@ -81,19 +81,23 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
     """rows joined with table, which has one row a key and in count how many of rows it stands for.
 
-    A key with more than HOT_ROWS rows, and than a ten-thousandth of all, is joined by broadcast: there are
-    fewer than 10,000 of those, however many rows there are. What is left has no hot key.
+    The rows of a key with more than HOT_ROWS of them, and than a ten-thousandth of all, are dealt over salts,
+    and the key's row goes to each. Only the hot keys travel by broadcast, and there are fewer than 10,000 of
+    them, however many rows there are. rows must be a written table, so that a task that is run again deals
+    its rows as before.
     """
     total = table.agg(F.sum(count)).first()[0] or 0
     bound = max(HOT_ROWS, total // 10_000)
-    hot, rest = table.filter(F.col(count) > bound), table.filter(F.col(count) <= bound)
+    hot = table.filter(F.col(count) > bound).select(key, F.ceil(F.col(count) / bound).cast("int").alias("salts_"))
     if total <= bound or hot.isEmpty():
-        return rows.join(rest, key)
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
+        return rows.join(table, key, how)
+    one = F.coalesce("salts_", F.lit(1))
+    rows = rows.join(F.broadcast(hot), key, "left").withColumn("salt_", F.pmod(F.monotonically_increasing_id(), one).cast("int")).drop("salts_")
+    table = table.join(F.broadcast(hot), key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), one - 1))).drop("salts_")
+    return rows.join(table, [key, "salt_"], how).drop("salt_")
 
 
 def give_back() -> None:

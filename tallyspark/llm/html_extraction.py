@@ -1,24 +1,33 @@
 """Main text of web pages by deduced templates of their hosts.
 
-Tokens of a page are its tags, told apart by their path of tags and classes, and the text blocks outside of
-articles. Tokens with the same occurrence vector, that is as often as each other on every page of the host,
-form an equivalence class. The vectors of a host are compared by sums of a hash of page and count, so no host
-is gathered in one place: counting is a partial aggregation and a host with a third of all pages is one more
-key. Classes that occur on at least half of a host's pages, and on two different ones, are nested: the class of all pages' own tokens is
-the root, and a class is valid if its tokens keep together within one slot of its parent. Because every class
-in question stands on half of the pages, a template has at most twice the tokens of an average page.
-
-A page is then cut at the template's tokens. What lies between them are slots. Text that is part of the
-template is dropped, and so are slots within menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments, which their elements or class names tell. If the page has an article or a main
-element, the slots within it are extracted; else all slots.
-
-Templates travel by broadcast when the tokens of all are few, and by a join on the host otherwise.
-
-Defined results: null or empty html has empty text; a page alone on its host has no template and goes by its
-elements only; a null URL, or one without `://`, is of the empty host; broken markup is read as browsers do,
-roughly: what isn't closed ends with its parent; repeated rows give equal results; an empty table gives an
-empty result; other columns are ignored. Text within articles is never dropped as part of the template.
+Tokens of a page are its tags, told apart by their path of tags and class names, and its text blocks, with the
+path they stand in; inside articles as well as outside. Tokens with the same occurrence vector, that is as often
+as each other on every page of the host, form an equivalence class. The vectors of a host are compared by sums of
+a hash of page and count, so no host is gathered in one place: counting is a partial aggregation and a host with a
+third of all pages is one more key. The class of the page itself is the root; the others, those of most pages
+first, are nested: a class is valid if its tokens keep together within one slot of the template so far. A second
+pass over the pages confirms each class that holds text: its tokens must come in the same order, and whole,
+wherever they occur. A class that fails keeps its tags, as an opening and a closing tag are a class by themselves,
+and loses its text.
+
+Tags enter a template from MIN_TAGS of a host's different pages on; tags of elements that are no main text by name
+always do. Text needs half of the pages, and FEW_PAGES of them at least, so that copies of one article on a small
+host are not taken for its template. So a template has at most about 1 / MIN_TAGS times the tags of an average
+page, names of side elements aside.
+
+A page is cut at the tags of the template. What lies between two of them is a slot; a slot goes by the tag it
+follows. Text of the template is dropped. The others are judged slot by slot, by figures summed over all pages of
+the host: its share of characters in links, in elements that are called main text or something else, and whether
+pages differ there. Element names are weights in that sum; without a template a page is one slot. Kept slots are
+extracted whole, with all their blocks, however short.
+
+Templates are joined to the pages on the host; Spark broadcasts them if it finds them small, and the pages of a
+hot host are dealt over salts otherwise.
+
+Defined results: null or empty html has empty text; a page alone on its host is its own template; a page of a
+host with articles that has no text in their slots is judged as if the host had none; a null URL, or one without
+`://`, is of the empty host; broken markup is read as browsers do, roughly: what isn't closed ends with its
+parent; repeated rows give equal results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import materialize, ship_package
+from tallyspark.llm.common import give_back, join_counted, materialize, ship_package
 from tallyspark.llm.url_filter import split_url
 
-#: Tokens of all templates up to which they are broadcast, about 50 bytes each.
-BROADCAST_TOKENS = 500_000
+#: Share of a host's different pages that a tag needs to be part of its template, and that text needs; pages that text needs at least.
+MIN_TAGS, MIN_TEXT, FEW_PAGES = 0.05, 0.5, 4
+#: What adds to a slot's score; it is kept above zero. The shares are of its characters on all pages of the host.
+BASE, MAIN_SHARE, DIFFERS, SIDE_SHARE, LINK_SHARE, OUTSIDE_MAIN = 0.25, 1.0, 0.5, -2.0, -1.0, -1.0
 
 RAW = "script|style|noscript|template|iframe|svg|math|textarea|title|select|object"
 TOKEN = re.compile(
@@ -52,35 +63,38 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An opening tag of these ends an open paragraph.
 NO_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ITEMS = {"li": "li", "dd": "dd", "dt": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
-#: Elements, and words of class, id and role, of what isn't main text.
+#: Elements, and words of class, id and role, of what by name isn't main text; hints that count in a slot's score.
 SIDE = frozenset("nav header footer aside form head menu dialog button".split())
 SIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 MAIN = frozenset(("article", "main"))
 
 
 class Page:
-    """Tokens of one page: tags as (token, None) and blocks as (token, (text, side, in main))."""
+    """Tokens of one page, each with what it is: a tag (whether a side element's), or a block (text, characters in links, side, main)."""
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, tuple[str, bool, bool] | None]] = []
+        self.tokens: list[tuple[str, bool | tuple[str, int, bool, bool]]] = []
         stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, side, main
         open_tags: Counter[str] = Counter()
         buffer: list[str] = []
+        linked = 0
 
         def flush() -> None:
+            nonlocal linked
             if buffer:
                 text = " ".join(entities.unescape("".join(buffer)).split())
                 buffer.clear()
                 if text:
                     _, path, side, main = block[0]
-                    self.tokens.append((f"{path}\x00{text}", (text, side, main)))
+                    self.tokens.append((f"{path}\x00{text}", (text, min(linked, len(text)), side, main)))
+            linked = 0
 
         def close(tag: str) -> None:
             while True:
-                top, path, *_ = stack.pop()
+                top, path, side, _ = stack.pop()
                 open_tags[top] -= 1
                 if top not in INLINE:
-                    self.tokens.append((path + "/", None))
+                    self.tokens.append((path + "/", side))
                 if top == tag:
                     return
 
@@ -89,8 +103,10 @@ class Page:
             text = m["text"]
             if text is not None:
                 if not buffer:
-                    block[0] = stack[-1]
+                    block[0] = next(x for x in reversed(stack) if x[0] not in INLINE)
                 buffer.append(text)
+                if open_tags["a"] > 0:
+                    linked += len(text)
                 continue
             tag = m["tag"]
             if tag is None:
@@ -100,6 +116,8 @@ class Page:
                 flush()
             if m["end"]:
                 if open_tags[tag] > 0:
+                    if tag in INLINE and any(top not in INLINE for top, *_ in stack[stack_at(stack, tag) + 1 :]):
+                        flush()
                     close(tag)
                 continue
             if tag in VOID:
@@ -115,14 +133,18 @@ class Page:
                     names += " " + value
                     role = value if a[1].lower() == "role" else role
             _, path, side, main = stack[-1]
-            path = f"{path}>{tag}{names}" if len(path) < 400 else f"{path[-400:]}>{tag}{names}"
+            if tag not in INLINE:
+                # numbers in names tell elements of one page apart, not kinds of elements
+                path = f"{path[-400:]}>{tag}{re.sub('[0-9]+', '0', names)}"
             side = side or tag in SIDE or bool(names) and not SIDE_WORDS.isdisjoint(re.split("[^a-z0-9]+", names))
             main = main or tag in MAIN or role == "main"
             stack.append((tag, path, side, main))
             open_tags[tag] += 1
             if tag not in INLINE:
-                self.tokens.append((path, None))
+                self.tokens.append((path, side))
         flush()
+        while len(stack) > 1:
+            close(stack[-1][0])
 
     @staticmethod
     def _near(stack: list[tuple[str, str, bool, bool]], tag: str) -> bool:
@@ -135,113 +157,224 @@ class Page:
         return False
 
 
+def stack_at(stack: list[tuple[str, str, bool, bool]], tag: str) -> int:
+    """Where the innermost open element of this tag stands."""
+    return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag)
+
+
 def token_hash(token: str) -> int:
     from xxhash import xxh64_intdigest
 
     return xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 1) - (1 << 63)
 
 
-def page_tokens(page: Page) -> dict[int, tuple[int, int]]:
-    """Count and first place of each token that can be part of a template; token 0 stands for the page itself."""
-    found: dict[int, list[int]] = {0: [1, -1]}
-    for place, (token, block) in enumerate(page.tokens):
-        if block is None or not block[2]:
-            h = token_hash(token)
-            if h in found:
-                found[h][0] += 1
-            else:
-                found[h] = [1, place]
-    return {k: (v[0], v[1]) for k, v in found.items()}
-
-
-def main_text(page: Page, template: frozenset[int]) -> str:
-    """The main text of a page: the blocks of the slots that count, in page order."""
-    texts: list[str] = []
-    has_main = any(block and block[2] and not block[1] for _, block in page.tokens)
-    for token, block in page.tokens:
-        if block is None:
-            continue
-        text, side, main = block
-        if side or has_main and not main or not main and token_hash(token) in template:
-            continue
-        texts.append(text)
-    return " ".join(texts)
+PARSED = "host string, content long, page_id long, url string, tokens array<long>, kinds array<byte>, texts array<string>, links array<int>"
+#: Kinds of tokens: a tag; a tag of a side element; a block, plus what its elements are called.
+TAG, SIDE_TAG, BLOCK, IN_SIDE, IN_MAIN = 0, 1, 4, 1, 2
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """The tokens of each row of pages (page_id, url, host, html), so that later passes need not read the markup again."""
+    names = [x.split()[0] for x in PARSED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                tokens, kinds, texts, links = [], [], [], []
+                for source in b["html"].to_pylist():
+                    page = Page(source or "").tokens
+                    tokens.append([token_hash(t) for t, _ in page])
+                    kinds.append([int(x) if isinstance(x, bool) else BLOCK + IN_SIDE * x[2] + IN_MAIN * x[3] for _, x in page])
+                    texts.append([x[0] for _, x in page if not isinstance(x, bool)])
+                    links.append([x[1] for _, x in page if not isinstance(x, bool)])
+                yield pa.RecordBatch.from_arrays([b["host"], b["content"], b["page_id"], b["url"], pa.array(tokens, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string())), pa.array(links, pa.list_(pa.int32()))], names)
+        give_back()
+
+    return pages.select("host", F.xxhash64("html").alias("content"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, PARSED)
 
 
 # --- templates ----------------------------------------------------------------------------------------------
 
 
 def token_statistics(pages: DataFrame) -> DataFrame:
-    """host, token, vector (a hash of its occurrences on all pages), n_pages, differ (are the pages not all copies of one?) and place (the mean of the first ones) of pages (host, html)."""
+    """host, token, kind, vector (a hash of its occurrences on all different pages), n_pages and place (the mean of the first ones) of parsed pages. Token 0 stands for the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, ids, tokens, counts, places = [], [], [], [], []
-            for i, host, source in zip(b["key"].to_pylist(), b["host"].to_pylist(), b["html"].to_pylist()):
-                for token, (n, place) in page_tokens(Page(source or "")).items():
-                    hosts.append(host)
-                    ids.append(i)
-                    tokens.append(token)
-                    counts.append(n)
-                    places.append(place)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int32()), pa.array(places, pa.int32())], ["host", "id", "token", "n", "place"])
-
-    seen = pages.select("host", F.xxhash64("html").alias("key"), "html").mapInArrow(run, "host string, id long, token long, n int, place int")
+            out = []
+            for k, (tokens, kinds) in enumerate(zip(b["tokens"].to_pylist(), b["kinds"].to_pylist())):
+                found, places, n = np.unique(np.array([0, *tokens], np.int64), return_index=True, return_counts=True)
+                out.append((np.full(len(found), k), found, np.array([TAG, *kinds], np.int8)[places], n, places - 1))
+            if out:
+                row, token, kind, n, place = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([b["host"].take(pa.array(row)), b["content"].take(pa.array(row)), pa.array(token), pa.array(kind), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32))], ["host", "id", "token", "kind", "n", "place"])
+
+    seen = pages.select("host", "content", "tokens", "kinds").mapInArrow(run, "host string, id long, token long, kind byte, n int, place int")
+    # copies of one page count once
+    once = seen.groupBy("host", "token", "id").agg(F.max("kind").alias("kind"), F.max("n").alias("n"), F.min("place").alias("place"))
     # 44 bits of the hash: sums of up to half a million pages stay within a long, and larger ones within a decimal
     vector = F.sum(F.shiftright(F.xxhash64("id", "n"), 20).cast("decimal(38,0)"))
-    return seen.groupBy("host", "token").agg(vector.alias("vector"), F.count(F.lit(1)).alias("n_pages"), (F.min("id") != F.max("id")).alias("differ"), F.avg("place").alias("place"))
+    return once.groupBy("host", "token").agg(F.max("kind").alias("kind"), vector.alias("vector"), F.count(F.lit(1)).alias("n_pages"), F.avg("place").alias("place"))
+
+
+TEMPLATE = "host string, tokens array<long>, kinds array<byte>, classes array<int>, places array<int>"
 
 
 def nest(tokens: pd.DataFrame) -> pd.DataFrame:
-    """The template of one host from its tokens' statistics: the root class, and the classes that keep together in a slot of their parent."""
-    host = tokens["host"].iloc[0]
-    classes = [c.sort_values("place") for _, c in tokens.groupby(tokens["vector"].astype(str), sort=True)]
-    classes.sort(key=lambda c: (-int(c["n_pages"].iloc[0]), -len(c)))
-    borders, chosen = np.zeros(0), []
-    for c in classes:
-        root = bool((c["token"] == 0).any())
-        places = c["place"].to_numpy(np.float64)
-        if root or len(c) > 1 and len(set(np.searchsorted(borders, places))) == 1:
-            chosen += c["token"].tolist()
+    """The template of one host from its tokens' statistics: the root class, valid classes within its slots, and of the others the tags."""
+    classes = [c.sort_values(["place", "token"]) for _, c in tokens.groupby(tokens["vector"].astype(str), sort=True)]
+    classes.sort(key=lambda c: (not (c["token"] == 0).any(), -int(c["n_pages"].iloc[0]), -len(c), int(c["token"].iloc[0])))
+    borders, out = np.zeros(0), []
+    for k, c in enumerate(classes):
+        places, block = c["place"].to_numpy(np.float64), c["kind"].to_numpy() >= BLOCK
+        root = k == 0 and bool((c["token"] == 0).any())
+        valid = root or len(c) > 1 and len(set(np.searchsorted(borders, places))) == 1
+        kept = c[["token", "kind"]][valid | ~block]
+        kept = kept[kept["token"] != 0]
+        out += [(t, kind, k, place) for place, (t, kind) in enumerate(kept.itertuples(index=False))]
+        if valid:
             borders = np.sort(np.concatenate([borders, places]))
-    return pd.DataFrame({"host": [host], "tokens": [[t for t in chosen if t]]})
+    return pd.DataFrame({"host": [tokens["host"].iloc[0]], **{name: [[int(x[k]) for x in out]] for k, name in enumerate(("tokens", "kinds", "classes", "places"))}})
+
+
+class Template:
+    """A host's template: its tokens in order of their hashes, with class and place in the class, and what is settled about text and slots."""
+
+    def __init__(self, tokens, kinds, classes, places, failed=(), kept=(), kept_loosely=()):
+        order = np.argsort(np.array(tokens, np.int64), kind="stable")
+        self.tokens, self.kinds, self.classes, self.places = (np.array(x, np.int64)[order] for x in (tokens, kinds, classes, places))
+        self.block = self.kinds >= BLOCK
+        self.with_text = np.unique(self.classes[self.block])
+        self.sizes = dict(zip(*np.unique(self.classes, return_counts=True)))
+        self.dropped = self.block & ~np.isin(self.classes, np.array(list(failed), np.int64))
+        self.kept, self.kept_loosely = np.array(sorted(kept), np.int64), np.array(sorted(kept_loosely), np.int64)
+
+    def place(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where tokens are in the template, and whether."""
+        if not len(self.tokens):
+            return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return at, self.tokens[at] == tokens
+
+    def cut(self, tokens: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a page's blocks the slots they lie in, and which of them are the template's text."""
+        at, known = self.place(tokens)
+        block = kinds >= BLOCK
+        last = np.maximum.accumulate(np.where(known & ~block, np.arange(len(tokens)), -1)) if len(tokens) else np.zeros(0, np.int64)
+        slots = np.where(last >= 0, tokens[last], 0) if len(tokens) else tokens
+        return slots[block], (known & self.dropped[at] if len(self.tokens) else known)[block]
+
+    def disordered(self, tokens: np.ndarray) -> list[int]:
+        """Classes with text whose tokens don't come whole and in order on this page."""
+        at, known = self.place(tokens)
+        classes, places = self.classes[at[known]], self.places[at[known]]
+        own = ((c, places[classes == c]) for c in self.with_text)
+        return [int(c) for c, p in own if len(p) % self.sizes[c] or (p != np.arange(len(p)) % self.sizes[c]).any()]
+
+
+def _template_columns(b: pa.RecordBatch, more: tuple[str, ...] = ()):
+    """The template of each row of a batch; that of a host is made once."""
+    made: dict[str | None, Template] = {}
+    columns = [b[c] for c in ("tokens_t", "kinds_t", "classes", "places", *more)]
+    for k, host in enumerate(b["host"].to_pylist()):
+        if host not in made:
+            made[host] = Template(*(c[k].as_py() or () for c in columns))
+        yield made[host]
+
+
+def _numbers(b: pa.RecordBatch, name: str, kind) -> Iterator[np.ndarray]:
+    for x in b[name]:
+        yield x.values.to_numpy(zero_copy_only=False).astype(kind) if x.is_valid else np.zeros(0, kind)
+
+
+def slot_statistics(pages: DataFrame) -> DataFrame:
+    """host, slot and its sums over parsed pages with their templates; a class that fails on a page gives a row with slot null."""
+    names = ["host", "slot", "failed", "content", "chars", "links", "side", "main"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            rows = zip(b["host"].to_pylist(), _numbers(b, "tokens", np.int64), _numbers(b, "kinds", np.int64), b["texts"].to_pylist(), b["links"].to_pylist(), _template_columns(b))
+            for host, tokens, kinds, texts, links, template in rows:
+                for c in template.disordered(tokens):
+                    out.append((host, None, c, 0, 0, 0, 0, 0))
+                slots, dropped = template.cut(tokens, kinds)
+                sums: dict[int, list[int]] = {}
+                for slot, kind, text, link in zip(slots[~dropped].tolist(), kinds[kinds >= BLOCK][~dropped].tolist(), (t for t, d in zip(texts, dropped) if not d), (x for x, d in zip(links, dropped) if not d)):
+                    x = sums.setdefault(slot, [0, 0, 0, 0, 0])
+                    x[0] = hash_pair(x[0], text)
+                    for i, v in enumerate((len(text), link, len(text) * (kind & IN_SIDE > 0), len(text) * (kind & IN_MAIN > 0))):
+                        x[i + 1] += v
+                out += [(host, slot, None, *x) for slot, x in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 8, [pa.string()] + [pa.int64()] * 7)], names)
+
+    seen = pages.mapInArrow(run, "host string, slot long, failed long, content long, chars long, links long, side long, main long")
+    sums = [F.sum(c).alias(c) for c in ("chars", "links", "side", "main")]
+    return seen.groupBy("host", "slot", "failed").agg(*sums, (F.min("content") != F.max("content")).alias("differs"))
+
+
+def hash_pair(h: int, text: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass"), h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and tokens, the template of each host that has one, of pages (page_id, host, html)."""
+    """host, pages and the template of each host of parsed pages, with its failed classes and its kept slots."""
     found = materialize(token_statistics(pages), "template-tokens")
-    sizes = found.filter("token = 0").select("host", "differ", F.col("n_pages").alias("host_pages")).filter("differ").drop("differ")
-    common = found.join(sizes, "host").filter("differ AND 2 * n_pages >= host_pages").select("host", "token", "vector", "n_pages", "place")
-    return common.groupBy("host").applyInPandas(nest, "host string, tokens array<long>")
-
-
-def extract_main_text(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    sizes = found.filter("token = 0").select("host", F.col("n_pages").alias("host_pages"))
+    found = found.join(sizes, "host")
+    text = (F.col("n_pages") >= MIN_TEXT * F.col("host_pages")) & (F.col("n_pages") >= FEW_PAGES)
+    tag = (F.col("n_pages") >= MIN_TAGS * F.col("host_pages")) | (F.col("kind") == SIDE_TAG)
+    common = found.filter(F.when(F.col("kind") >= BLOCK, text).otherwise(tag)).select("host", "token", "kind", "vector", "n_pages", "place")
+    nested = common.groupBy("host").applyInPandas(nest, TEMPLATE)
+    rows = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    nested = materialize(with_key(nested).join(with_key(rows).drop("host"), "key").join(with_key(sizes).drop("host"), "key"), "nested")
+
+    slots = materialize(slot_statistics(with_templates(pages, nested)), "slots")
+    failed = slots.filter("failed IS NOT NULL").groupBy("host").agg(F.collect_set("failed").alias("failed"))
+    share = lambda c: F.col(c) / F.greatest("chars", F.lit(1))
+    judged = with_key(slots.filter("failed IS NULL")).join(nested.select("key", "host_pages"), "key")
+    inside = (share("main") >= 0.5) & (share("side") < 0.5)
+    has_main = judged.groupBy("key").agg(F.max(inside).alias("has_main"))
+    loose = BASE + MAIN_SHARE * share("main") + SIDE_SHARE * share("side") + LINK_SHARE * share("links") + F.when(F.col("differs") | (F.col("host_pages") == 1), DIFFERS).otherwise(0.0)
+    judged = judged.join(has_main, "key").withColumn("loose", loose).withColumn("score", F.col("loose") + F.when(F.col("has_main") & (share("main") < 0.5), OUTSIDE_MAIN).otherwise(0.0))
+    kept = judged.groupBy("key").agg(F.collect_list(F.when(F.col("score") > 0, F.col("slot"))).alias("kept"), F.collect_list(F.when(F.col("loose") > 0, F.col("slot"))).alias("kept_loosely"))
+    return nested.join(with_key(failed).drop("host"), "key", "left").join(kept, "key", "left")
+
+
+def with_key(df: DataFrame) -> DataFrame:
+    """df with a key of host that is never null."""
+    return df.withColumn("key", F.coalesce("host", F.lit("")))
+
+
+def with_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Parsed pages, each with the template of its host."""
+    table = found.drop("host").withColumnsRenamed({"tokens": "tokens_t", "kinds": "kinds_t"})
+    return join_counted(with_key(pages), table, "key", "pages")
+
+
+def main_text(tokens: np.ndarray, kinds: np.ndarray, texts: list[str], template: Template) -> str:
+    """The text of the kept slots of a page, in page order."""
+    slots, dropped = template.cut(tokens, kinds)
+    for kept in (template.kept, template.kept_loosely):
+        out = [t for t, take in zip(texts, np.isin(slots, kept) & ~dropped) if take]
+        if out:
+            break
+    return " ".join(out)
+
+
+def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
-    spark = pages.sparkSession
-    ship_package(spark)
-    rows = pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), "html")
+    ship_package(pages.sparkSession)
+    rows = materialize(parsed(pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), "html")), "parsed-pages")
     found = materialize(templates(rows), "templates")
-    schema = "page_id long, url string, text string"
-
-    def texts(b: pa.RecordBatch, of) -> pa.RecordBatch:
-        out = [main_text(Page(source or ""), of(k)) for k, source in enumerate(b["html"].to_pylist())]
-        return pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(out, pa.string())], ["page_id", "url", "text"])
-
-    none: frozenset[int] = frozenset()
-    size = found.agg(F.sum(F.size("tokens") + 1)).first()[0] or 0
-    if size <= broadcast_tokens:
-        shared = spark.sparkContext.broadcast({r["host"]: frozenset(r["tokens"]) for r in found.collect()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hosts = b["host"].to_pylist()
-                yield texts(b, lambda k: shared.value.get(hosts[k], none))
-    else:
-        rows = rows.join(found.hint("shuffle_hash"), "host", "left")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                own = b["tokens"].to_pylist()
-                yield texts(b, lambda k: frozenset(own[k] or ()))
-
-    return rows.mapInArrow(run, schema).withColumn("n_chars", F.length("text").cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = zip(_numbers(b, "tokens", np.int64), _numbers(b, "kinds", np.int64), b["texts"].to_pylist(), _template_columns(b, ("failed", "kept", "kept_loosely")))
+            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array([main_text(*x) for x in each], pa.string())], ["page_id", "url", "text"])
+        give_back()
+
+    return with_templates(rows, found).mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
