@@ -7,6 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,13 +73,17 @@ def ship_file(spark: SparkSession, path: str) -> str:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs written to the shared folder with a number for each row, and the name of that column.
+    """docs with 16 bytes that tell its rows apart, where doc_ids are null or repeat, and the name of that column.
 
-    Written, as numbers made on the fly would change when a lost task is run again. Rows can then be told
-    apart where doc_ids are null or repeat.
+    Rows of files go by file and place, which are the same whenever a task is run again. Other rows are written
+    to the shared folder first, as numbers made on the fly could change.
     """
-    name = unused_name(docs, "row_number_")
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    name = unused_name(docs, "row_key_")
+    key = lambda *parts: F.unhex(F.md5(F.concat_ws(":", *parts).cast("binary")))
+    try:
+        return docs.withColumn(name, key("_metadata.file_path", F.col("_metadata.row_index").cast("string"))), name
+    except AnalysisException:
+        return materialize(docs.withColumn(name, key(F.monotonically_increasing_id().cast("string"))), "numbered"), name
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:

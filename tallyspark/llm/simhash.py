@@ -23,8 +23,7 @@ third of all rows may share one. An anchor with more than SPLIT_HOMES homes is s
 salts and the other side goes to each salt. A task streams over rows sorted by anchor, homes first, and keeps no
 more than one anchor's homes in memory. Of the links found it emits a spanning forest, shortest first, so that a
 cluster of k nodes yields k - 1 edges and not k * k pairs; the components stay the same. Where the exact check
-then breaks a component up, all pairs between its parts that are within the limit are checked too, so no link
-is lost by the forest. Components are joined by alternating large-star and small-star steps on tables.
+then breaks a component up, its parts are compared whole, block by block, so no link is lost by the forest. Components are joined by alternating large-star and small-star steps on tables.
 
 The number of anchors of near_duplicates() is 2 ** 24, so it compares each fingerprint with about 61 * n / 2 **
 24 others; similar_documents() takes more exact bits and more tables as n grows and keeps the lists short.
@@ -60,9 +59,11 @@ SPLIT_HOMES = 4096
 #: Pairs compared at once.
 CHUNK = 2_000_000
 #: Of pairs just at the similarity, the share that may have no anchor in common, by the bound.
-MISSED = 0.02
+MISSED = 0.035
 #: Homes that an anchor of similar_documents() has on average, at most.
 MEAN_HOMES = 512
+#: Nodes of a broken component that a task holds, twice.
+BLOCK_NODES = 1_000
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------
@@ -403,10 +404,10 @@ def signatures(docs: DataFrame, number: str, shingle: int, lanes: int) -> DataFr
                 nodes.append(node_of(found))
                 sizes.append(len(found))
                 prints.append(long_fingerprint(found, lanes).tobytes())
-            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())], ["row", "doc_id", "node", "size", "print"])
+            yield pa.RecordBatch.from_arrays([b["row"], b["doc_id"], pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.binary())], ["row", "doc_id", "node", "size", "print"])
         give_back()
 
-    return _texts(docs, number).mapInArrow(run, "row long, doc_id long, node long, size long, print binary")
+    return _texts(docs, number).mapInArrow(run, "row binary, doc_id long, node long, size int, print binary")
 
 
 def shingle_sets(docs: DataFrame, number: str, shingle: int) -> DataFrame:
@@ -444,36 +445,35 @@ def table_anchors(prints: np.ndarray, cover: Cover, homes_only: bool = False) ->
 
 
 def table_replicas(nodes: DataFrame, cover: Cover, homes_only: bool = False) -> DataFrame:
-    """anchor, guest (0 at the home), node, size, root and the first 128 bits for each of nodes (node, size, root, print)."""
-    names = ["anchor", "guest", "node", "size", "root", "p0", "p1"]
+    """anchor, guest (0 at the home), node, size and the first 128 bits for each of nodes (node, size, print)."""
+    names = ["anchor", "guest", "node", "size", "p0", "p1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 prints = np.frombuffer(b"".join(b["print"].to_pylist()), np.uint64).reshape(b.num_rows, -1)
-                node, size, root = (b[c].to_numpy() for c in ("node", "size", "root"))
+                node, size = b["node"].to_numpy(), b["size"].to_numpy()
                 p0, p1 = (prints[:, k].view(np.int64) for k in (0, 1))
                 for rows, anchor, home in table_anchors(prints, cover, homes_only):
                     if homes_only:
                         yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), *(pa.array(x[rows]) for x in (node, size, root, p0, p1))], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), *(pa.array(x[rows]) for x in (node, size, p0, p1))], names)
 
-    return nodes.select("node", "size", "root", "print").mapInArrow(run, "anchor long" if homes_only else "anchor long, guest byte, node long, size long, root long, p0 long, p1 long")
+    return nodes.select("node", "size", "print").mapInArrow(run, "anchor long" if homes_only else "anchor long, guest byte, node long, size int, p0 long, p1 long")
 
 
-def candidates(nodes: DataFrame, cover: Cover, similarity: float, all_links: bool = False) -> DataFrame:
-    """u < v: pairs of nodes of different roots that meet at an anchor, are within the limit and of sizes that allow the similarity; a spanning forest of them, or all."""
+def candidates(nodes: DataFrame, cover: Cover, similarity: float) -> DataFrame:
+    """u < v: a spanning forest of the pairs of nodes (node, size, print) that meet at an anchor, are within the limit and of sizes that allow the similarity."""
 
     def compare(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) + np.bitwise_count((x[4] ^ y[4]).view(np.uint64))
-        near = bits <= cover.limit
-        near &= (x[2] != y[2]) & (np.minimum(x[1], y[1]) >= similarity * np.maximum(x[1], y[1]))
-        return bits, near
+        bits = np.bitwise_count((x[2] ^ y[2]).view(np.uint64)) + np.bitwise_count((x[3] ^ y[3]).view(np.uint64))
+        near = (bits <= cover.limit) & (x[0] != y[0])
+        return bits, near & (np.minimum(x[1], y[1]) >= similarity * np.maximum(x[1], y[1]))
 
     nodes = nodes.repartition(max(1, nodes.count() // 10_000))
-    found = compared(dealt(table_replicas(nodes, cover), table_replicas(nodes, cover, homes_only=True), "node"), ["node", "size", "root", "p0", "p1"], compare, all_links)
+    found = compared(dealt(table_replicas(nodes, cover), table_replicas(nodes, cover, homes_only=True), "node"), ["node", "size", "p0", "p1"], compare)
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -484,6 +484,58 @@ def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return each.filter(F.col("common") >= F.lit(similarity) * (F.col("both") - F.col("common"))).select("u", "v")
 
 
+def links_between(open_: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v: spanning links between the parts (root) of broken components (group), of nodes open_ (group, node, root, size, print).
+
+    A component's nodes are dealt to blocks of about BLOCK_NODES, and a task compares two blocks: first the
+    long fingerprints, then the sets of the pairs within four standard deviations, nearest first, as long as
+    the two are not connected. No pair leaves a task but as a link.
+    """
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    sizes = materialize(open_.groupBy("group").agg(F.count(F.lit(1)).alias("nodes")), "open-groups")
+    each = join_counted(open_, sizes, "group", "nodes").withColumn("blocks", F.ceil(F.col("nodes") / BLOCK_NODES).cast("int"))
+    each = each.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "size", "print", "hashes")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, root, size, own = (t[c].to_numpy() for c in ("node", "root", "size", "own"))
+        prints = np.frombuffer(b"".join(t["print"].to_pylist()), np.uint64).reshape(len(node), -1)
+        limit = 64 * prints.shape[1] * p + 4 * math.sqrt(64 * prints.shape[1] * p * (1 - p))
+        flat, ends = t["hashes"].chunk(0).values.to_numpy(), t["hashes"].chunk(0).offsets.to_numpy()
+        members = [np.flatnonzero(own == t[c][0].as_py()) for c in ("i", "j")]
+        found = []
+        for at in range(0, len(members[0]), 200):
+            a, b = members[0][at : at + 200], members[1]
+            bits = np.bitwise_count(prints[a][:, None, :] ^ prints[b][None, :, :]).sum(axis=2, dtype=np.int32)
+            near = (bits <= limit) & (root[a][:, None] != root[b][None, :]) & (node[a][:, None] != node[b][None, :])
+            near &= np.minimum(size[a][:, None], size[b][None, :]) >= similarity * np.maximum(size[a][:, None], size[b][None, :])
+            x, y = np.nonzero(near)
+            found.append(np.stack([bits[x, y], a[x], b[y]]))
+        parts = {r: r for r in root.tolist()}
+
+        def part(r: int) -> int:
+            while parts[r] != r:
+                parts[r] = r = parts[parts[r]]
+            return r
+
+        pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        u, v = [], []
+        for _, x, y in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+            a, b = part(root[x].item()), part(root[y].item())
+            if a == b:
+                continue
+            common = len(np.intersect1d(flat[ends[x] : ends[x + 1]], flat[ends[y] : ends[y + 1]], assume_unique=True))
+            if common >= similarity * (int(size[x]) + int(size[y]) - common):
+                parts[max(a, b)] = min(a, b)
+                u.append(node[x].item())
+                v.append(node[y].item())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return each.groupBy("group", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
 def _with_roots(edges: DataFrame, name: str) -> DataFrame:
     """node and its root under edges (u, v), roots included."""
     roots = components(edges).withColumnRenamed("root", name)
@@ -497,20 +549,19 @@ def _similar(docs: DataFrame, number: str, shingle: int, similarity: float) -> D
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     firsts = rows.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("print").alias("print"))
     firsts = materialize(firsts, "distinct-sets")
-    pairs = materialize(candidates(firsts.withColumn("root", F.col("node")), cover, similarity), "candidates")
+    pairs = materialize(candidates(firsts, cover, similarity), "candidates")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(firsts, "node").select(F.col("first.row").alias(number))
     sets = materialize(shingle_sets(docs.join(wanted, number, "left_semi"), number, shingle), "shingle-sets")
     links = materialize(checked(pairs, sets, similarity), "links")
     linked = materialize(_with_roots(links, "root"), "linked")
 
-    # where the check broke a component of candidates up, all its pairs are candidates
+    # where the check broke a component of candidates up, its parts may still be linked
     placed = _with_roots(pairs, "group").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialize(placed, "placed")
     broken = placed.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("group")
     open_ = materialize(placed.join(broken, "group", "left_semi").join(firsts.drop("first", "copies"), "node"), "open")
     if not open_.isEmpty():
-        again = candidates(open_, cover, similarity, all_links=True).join(pairs, ["u", "v"], "left_anti")
-        more = materialize(checked(again, sets, similarity), "links")
+        more = materialize(links_between(open_, sets, similarity), "links")
         if not more.isEmpty():
             linked = materialize(_with_roots(links.union(more), "root"), "linked")
 
