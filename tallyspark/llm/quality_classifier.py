@@ -7,11 +7,11 @@ up and solved once. The raw ridge score of rows that the fit did not see is binn
 adjacent violators over the bins makes the score a probability that never falls as the raw score grows. A
 thousandth of a logistic of the raw score keeps the order of rows within a step.
 
-Training uses a hash sample of at most train_rows labelled rows outside the held-out fold; one in four of them
-is for calibration. All rows are scored, over whole texts.
+Training uses a hash sample of about train_rows labels outside the held-out fold, taken by a threshold on the
+hash of doc_id, so that no partition sends more than its part; one in four is for calibration. All rows are scored, over whole texts.
 
 Defined results: a null text is the empty text, whose statistics are zeros, and is scored like any other;
-repeated rows are scored alike; a document with several labels counts once for each; without labelled rows
+repeated rows are scored alike; a document with several different labels counts once for each; without labelled rows
 every score is 0.5; an empty table gives an empty result; other columns are ignored. Labels, language, source
 and doc_id never enter a score.
 """
@@ -130,8 +130,9 @@ def _summed(rows: DataFrame, width: int, part) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000, waves: int = 256, gamma: float = 0.05, ridge: float = 1e-3) -> Classifier:
     """A classifier from docs (doc_id, text) and labels (doc_id, quality)."""
     ship_package(docs.sparkSession)
-    labels = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label"))
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
+    labels = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
+    share = min(1.0, train_rows / max(1, labels.count()))
+    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
