@@ -11,9 +11,36 @@ SKILL_FRAME = "Base directory for this skill:"
 COMPACT_FRAMES = ("This session is being continued", "Here is a summary of our conversation")
 COMMAND_FRAMES = ("<local-command-caveat>", "<local-command-stdout>")
 WORKFLOW_COMMANDS = (
-    "/compact /clear /reset /new /diff /review /security-review /pr-comments /fork /resume /continue /rewind /checkpoint /export "
-    "/plan /model /btw /add-dir /memory /init /fast /context /cost /rename /simplify /batch /debug /loop /claude-api"
-).split()
+    "/compact",
+    "/clear",
+    "/reset",
+    "/new",
+    "/diff",
+    "/review",
+    "/security-review",
+    "/pr-comments",
+    "/fork",
+    "/resume",
+    "/continue",
+    "/rewind",
+    "/checkpoint",
+    "/export",
+    "/plan",
+    "/model",
+    "/btw",
+    "/add-dir",
+    "/memory",
+    "/init",
+    "/fast",
+    "/context",
+    "/cost",
+    "/rename",
+    "/simplify",
+    "/batch",
+    "/debug",
+    "/loop",
+    "/claude-api",
+)
 MODEL_NAMES = {
     "claude-opus-4": "Opus 4.x", "claude-sonnet-4": "Sonnet 4.x", "claude-haiku": "Haiku", "claude-3-5-sonnet": "Sonnet 3.5", "claude-3-5-haiku": "Haiku 3.5",
     "claude-3-opus": "Opus 3", "claude-3-sonnet": "Sonnet 3", "claude-3-haiku": "Haiku 3", "gpt-4o": "GPT-4o", "gpt-4-turbo": "GPT-4 Turbo",
@@ -24,18 +51,63 @@ ACTION_VERBS = (
     "(?i)^(fix|add|create|build|implement|update|remove|delete|refactor|move|rename|change|modify|setup|configure|install|debug|test|write|make|"
     "get|set|find|search|check|review|analyze|optimize|improve|migrate|convert|integrate)"
 )
-EDIT_TOOLS = "Edit Write replace_string_in_file copilot_replaceString create_file copilot_createFile apply_patch edit write_file patch".split()
-CREATE_TOOLS = "Write create_file copilot_createFile".split()
+EDIT_TOOLS = (
+    "Edit",
+    "Write",
+    "replace_string_in_file",
+    "copilot_replaceString",
+    "create_file",
+    "copilot_createFile",
+    "apply_patch",
+    "edit",
+    "write_file",
+    "patch",
+)
+CREATE_TOOLS = (
+    "Write",
+    "create_file",
+    "copilot_createFile",
+)
 READ_TOOLS = (
-    "Read Grep Glob read_file copilot_readFile grep_search copilot_findTextInFiles copilot_searchCodebase semantic_search file_search "
-    "copilot_findFiles list_dir copilot_listDirectory grep view"
-).split()
+    "Read",
+    "Grep",
+    "Glob",
+    "read_file",
+    "copilot_readFile",
+    "grep_search",
+    "copilot_findTextInFiles",
+    "copilot_searchCodebase",
+    "semantic_search",
+    "file_search",
+    "copilot_findFiles",
+    "list_dir",
+    "copilot_listDirectory",
+    "grep",
+    "view",
+)
+COMMAND_NAME = r"<command-name>(/[^<]+)</command-name>"
+REDACTED_ERRORS = (
+    (r"(?i)(\bBearer\s+)[^\s,;]+", "$1[REDACTED]"),
+    (r"(?i)(\bapi[_-]?key\s*[:=]\s*)[^\s,;]+", "$1[REDACTED]"),
+    (r"\bsk-[A-Za-z0-9._-]+", "[REDACTED]"),
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""),
+)
+FAILURE_CODES = (
+    ("RATE_LIMIT", r"(?i)\b(?:429|rate[ -]?limit|too many requests)\b"),
+    ("AUTHENTICATION", r"(?i)\b(?:401|403|unauthori[sz]ed|forbidden|authentication|invalid api key)\b"),
+    ("AUTHENTICATION", r"(?i)\b(?:requires?|missing|required)\b.{0,24}\b(?:api[ -]?key|credentials?)\b"),
+    ("INPUT_CHANGED", r"(?i)\b(?:input revision|source session changed|changed since analysis)\b"),
+    ("INVALID_MODEL_OUTPUT", r"(?i)\b(?:no_json_found|json_parse_error|invalid_structure)\b"),
+)
+OTHER_FAILURE = "ANALYSIS_FAILED"
+GIT_URL = r"^(?:git@([^:]+):|ssh://git@([^/]+)/|https?://([^/]+)/)(.+)$"
+HAS_ERROR, HAS_FIX = "(?i)error|bug|fix|issue|broken|fail", "(?i)fixed|resolved|working now"
 # End of fixed values.
 
 
 def slash_command(text: Column) -> Column:
     """The command's name, from its frame or from a text of up to two lines that starts with one; null if there is none."""
-    framed = F.regexp_extract(text, r"<command-name>(/[^<]+)</command-name>", 1)
+    framed = F.regexp_extract(text, COMMAND_NAME, 1)
     bare = F.trim(text)
     raw = F.when(bare.rlike(r"^/[a-z]") & (F.size(F.split(bare, "\n")) <= 2), bare)
     found = F.coalesce(F.nullif(framed, F.lit("")), raw)
@@ -121,9 +193,8 @@ def title_score(text: Column) -> Column:
 def normal_git_url(url: Column) -> Column:
     """host/path of the ssh and http forms; others stay."""
     bare = F.regexp_replace(url, r"\.git$", "")
-    form = r"^(?:git@([^:]+):|ssh://git@([^/]+)/|https?://([^/]+)/)(.+)$"
-    host = F.concat(*[F.regexp_extract(bare, form, k) for k in (1, 2, 3)])
-    return F.when(bare.rlike(form), F.concat(host, F.lit("/"), F.regexp_extract(bare, form, 4))).otherwise(bare)
+    host = F.concat(*[F.regexp_extract(bare, GIT_URL, k) for k in (1, 2, 3)])
+    return F.when(bare.rlike(GIT_URL), F.concat(host, F.lit("/"), F.regexp_extract(bare, GIT_URL, 4))).otherwise(bare)
 
 
 def stable_id(remote: Column, path: Column) -> Column:
@@ -132,21 +203,17 @@ def stable_id(remote: Column, path: Column) -> Column:
 
 
 def redact_error(text: Column) -> Column:
-    text = F.regexp_replace(text, r"(?i)(\bBearer\s+)[^\s,;]+", "$1[REDACTED]")
-    text = F.regexp_replace(text, r"(?i)(\bapi[_-]?key\s*[:=]\s*)[^\s,;]+", "$1[REDACTED]")
-    text = F.regexp_replace(text, r"\bsk-[A-Za-z0-9._-]+", "[REDACTED]")
-    return F.left(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), F.lit(1000))
+    for pattern, instead in REDACTED_ERRORS:
+        text = F.regexp_replace(text, pattern, instead)
+    return F.left(text, F.lit(1000))
 
 
 def failure_code(message: Column) -> Column:
     """The first kind of failure whose words the message has."""
-    return (
-        F.when(message.rlike(r"(?i)\b(?:429|rate[ -]?limit|too many requests)\b"), "RATE_LIMIT")
-        .when(message.rlike(r"(?i)\b(?:401|403|unauthori[sz]ed|forbidden|authentication|invalid api key)\b") | message.rlike(r"(?i)\b(?:requires?|missing|required)\b.{0,24}\b(?:api[ -]?key|credentials?)\b"), "AUTHENTICATION")
-        .when(message.rlike(r"(?i)\b(?:input revision|source session changed|changed since analysis)\b"), "INPUT_CHANGED")
-        .when(message.rlike(r"(?i)\b(?:no_json_found|json_parse_error|invalid_structure)\b"), "INVALID_MODEL_OUTPUT")
-        .otherwise("ANALYSIS_FAILED")
-    )
+    code = F.lit(OTHER_FAILURE)
+    for name, pattern in reversed(FAILURE_CODES):
+        code = F.when(message.rlike(pattern), name).otherwise(code)
+    return code
 
 
 #: Categories of credentials that must not leave; shapes are public ones.

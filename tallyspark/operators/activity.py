@@ -65,8 +65,9 @@ def depth_capped(insights: DataFrame, depth: str) -> DataFrame:
 
 def budgeted(insights: DataFrame, key: str, tokens: int = 300, budget: int = 60_000) -> DataFrame:
     """Of each key the most confident insights while their running token cost stays in the budget."""
-    order = W.partitionBy(key).orderBy(F.desc("confidence"), F.desc("timestamp"), "id")
-    return insights.withColumn("spent", F.row_number().over(order) * tokens).filter(F.col("spent") <= budget)
+    # every insight costs the same, so the budget is a rank, which Spark cuts to before it shuffles
+    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("confidence"), F.desc("timestamp"), "id"))
+    return insights.withColumn("rank", rank).filter(F.col("rank") <= budget // tokens).withColumn("spent", F.col("rank") * tokens).drop("rank")
 
 
 def deduplicated_titles(insights: DataFrame, caps: dict[str, int]) -> DataFrame:
@@ -138,12 +139,12 @@ def session_character(features: DataFrame) -> Column:
 def character_features(messages: DataFrame) -> DataFrame:
     """Counts of each session for session_character(); messages have tool_calls, an array of name and path."""
     calls = F.col("tool_calls")
-    edit = F.filter(calls, lambda x: x["name"].isin(texts.EDIT_TOOLS))
-    created = F.filter(edit, lambda x: x["name"].isin(texts.CREATE_TOOLS))
-    rows = messages.select("session_id", "type", "content", F.size(calls).alias("calls"), F.size(edit).alias("e"), F.size(F.filter(calls, lambda x: x["name"].isin(texts.READ_TOOLS))).alias("r"), edit["path"].alias("ep"), created["path"].alias("cp"))
+    edit = F.filter(calls, lambda x: x["name"].isin(*texts.EDIT_TOOLS))
+    created = F.filter(edit, lambda x: x["name"].isin(*texts.CREATE_TOOLS))
+    rows = messages.select("session_id", "type", "content", F.size(calls).alias("calls"), F.size(edit).alias("e"), F.size(F.filter(calls, lambda x: x["name"].isin(*texts.READ_TOOLS))).alias("r"), edit["path"].alias("ep"), created["path"].alias("cp"))
     base = rows.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("message_count"), F.sum("calls").alias("tool_call_count"), F.sum("e").alias("edits"), F.sum("r").alias("reads"),
-        F.coalesce(F.bool_or(F.col("content").rlike("(?i)error|bug|fix|issue|broken|fail")), F.lit(False)).alias("has_error"), F.coalesce(F.bool_or(F.col("content").rlike("(?i)fixed|resolved|working now")), F.lit(False)).alias("has_fix"),
+        F.coalesce(F.bool_or(F.col("content").rlike(texts.HAS_ERROR)), F.lit(False)).alias("has_error"), F.coalesce(F.bool_or(F.col("content").rlike(texts.HAS_FIX)), F.lit(False)).alias("has_fix"),
         F.count_if((F.col("type") == "user") & F.col("content").contains("?")).alias("questions"),
     )
     for paths, name in (("ep", "files_edited"), ("cp", "files_created")):

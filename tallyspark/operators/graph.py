@@ -43,8 +43,18 @@ def group_summary(insights: DataFrame, members: DataFrame) -> DataFrame:
     return size.filter("size >= 2").join(kinds, "group")
 
 
-def bidirectional_links(found: DataFrame) -> DataFrame:
-    """id and its links, sorted, of groups (group, id): everybody else in any group of at least two valid ids."""
+def linked_groups(found: DataFrame) -> DataFrame:
+    """id, group and others, how many an id is linked to there, of groups (group, id) of at least two ids.
+
+    Everybody in a group is linked to everybody else. The members say that in as many rows as there are;
+    written out, a group's links would grow with the square of its size. links_of() looks a few up.
+    """
     members = found.distinct()
-    pairs = members.alias("a").join(members.alias("b"), "group").filter("a.id <> b.id").select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))
-    return pairs.groupBy("id").agg(F.sort_array(F.collect_set("other")).alias("links"))
+    sizes = members.groupBy("group").agg((F.count(F.lit(1)) - 1).alias("others")).filter("others > 0")
+    return members.join(sizes, "group")
+
+
+def links_of(ids: DataFrame, members: DataFrame) -> DataFrame:
+    """id and link for each of ids (id), over linked_groups()."""
+    mine = members.join(ids.select("id").distinct(), "id", "left_semi").select("id", "group")
+    return mine.join(members.select("group", F.col("id").alias("link")), "group").filter("id <> link").select("id", "link").distinct()

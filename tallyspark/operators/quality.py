@@ -37,7 +37,7 @@ def analysis_candidates(sessions: DataFrame, messages: DataFrame, usage: DataFra
     have = usage.groupBy(F.col("session_id").alias("id")).agg(F.bool_or(F.col("analysis_type") == "session").alias("has_session"), F.bool_or(F.col("analysis_type") == "prompt_quality").alias("has_quality"))
     rows = sessions.filter("deleted_at IS NULL").join(messages.select(F.col("session_id").alias("id")), "id", "left_semi").join(have, "id", "left")
     flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("has_session", "has_quality")]
-    return rows.select("id", "started_at", *flags).filter("NOT (has_session AND has_quality)")
+    return rows.select("id", "started_at", *flags).filter("NOT (has_session AND has_quality)").orderBy(F.desc("started_at"), "id")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

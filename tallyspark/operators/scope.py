@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import texts, times
 
+#: Ids of a request that may travel by broadcast.
+MAX_LOOKUP = 500
 DATE_LITERAL = re.compile(r"\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?")
 KNOWN_SOURCES = ("claude-code", "codex-cli", "copilot-cli", "copilot", "cursor")
 
@@ -91,10 +93,11 @@ def resolve_project(projects: DataFrame, name: str, most: int = 3) -> DataFrame:
     low = F.lower("project_name")
     distance = F.levenshtein(low, F.lit(name.lower()))
     rank = F.when(low == name.lower(), 0).when(low.contains(name.lower()), 1).when(distance <= most, 2)
-    return projects.select("project_id", "project_name", rank.alias("rank"), distance.alias("distance")).filter("rank IS NOT NULL")
+    found = projects.select("project_id", "project_name", rank.alias("rank"), distance.alias("distance")).filter("rank IS NOT NULL")
+    return found.orderBy("rank", "distance", "project_name", "project_id")
 
 
 def ordered_lookup(rows: DataFrame, ids: list[str]) -> DataFrame:
     """Rows by a list of ids, with their position in the list."""
     wanted = rows.sparkSession.createDataFrame(list(enumerate(ids)), "position long, id string")
-    return rows.join(F.broadcast(wanted), "id")  # as long as the list in the request
+    return rows.join(F.broadcast(wanted) if len(ids) <= MAX_LOOKUP else wanted, "id")

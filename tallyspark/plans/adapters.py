@@ -19,6 +19,8 @@ INSIGHT_TYPES = ("summary", "decision", "learning", "technique", "prompt_quality
 FRICTION_RAW = ("wrong-approach", "scope-crep", "api-rate-limit", "throttled-by-api", "race-condition", "Knowledge-Gap", "context-loss-in-session", "novel-thing", "agent-shutdown-failure", "tooling-limitatio", "", "documentation-gap")
 PATTERN_RAW = ("structured-planning", "tdd", "context-gatherin", "task-breakdown", "self-correction", "novel-pattern", "schema-first", "systematic-debugging-flow")
 PQ_RAW = ("vague-request", "no-context", "late-requirements", "precise-request", "good-context", "scope-drift", "odd-one")
+#: Messages of failed analyses, one of each code at least.
+ERRORS = ("HTTP 429 rate limit for sk-", "401 Unauthorized: sk-", "missing the API key ", "input revision changed since analysis ", "no_json_found in answer ", "socket closed ")
 SEVERITIES = ("high", "medium", "low")
 ATTRIBUTIONS = ("user-actionable", "ai-capability", None)
 DRIVERS = ("user-driven", "ai-driven", "collaborative", None)
@@ -120,7 +122,7 @@ EVENTS_SQL = """events_s AS (
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One insight a document; it belongs to a session of the orders."""
+    """One insight a document, with its whole text as content; it belongs to a session of the orders. A title is short."""
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select(
         d.cast("string").alias("id"),
@@ -128,7 +130,7 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("project_id"),
         pick(INSIGHT_TYPES, d).alias("type"),
         F.substring("text", 1, 60).alias("title"),
-        F.substring("text", 1, 300).alias("content"),
+        F.col("text").alias("content"),
         (F.pmod(d, F.lit(101)) / 100.0).alias("confidence"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.pmod(d, F.lit(5000)).cast("int"))).alias("timestamp"),
     )
@@ -136,7 +138,7 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSIGHTS_SQL = f"""insights AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, CAST(doc_id // 2 AS VARCHAR) AS session_id, source AS project_id,
-    {_sql_pick(INSIGHT_TYPES, "doc_id")} AS type, substring(text, 1, 60) AS title, substring(text, 1, 300) AS content,
+    {_sql_pick(INSIGHT_TYPES, "doc_id")} AS type, substring(text, 1, 60) AS title, text AS content,
     (doc_id % 101) / 100.0::DOUBLE AS confidence, TIMESTAMP '2024-01-01' + to_hours(CAST(doc_id % 5000 AS INTEGER)) AS timestamp
   FROM documents
 )"""
@@ -189,8 +191,7 @@ def prompt_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = F.to_json(F.struct(F.pmod(d, F.lit(101)).alias("efficiency_score"), findings.alias("findings"), scores.alias("dimension_scores")))
     legacy = F.to_json(F.struct(F.pmod(d, F.lit(101)).alias("efficiencyScore")))
     kind = F.pmod(F.floor(d / 5), F.lit(5))
-    rows = table(spark, sf_dir, "documents").filter(d % 5 == 4)
-    return rows.select(
+    return table(spark, sf_dir, "documents").select(
         d.cast("string").alias("id"), F.floor(d / 2).cast("string").alias("session_id"),
         F.when(kind == 0, legacy).when(kind == 1, F.lit('{"findings":null}')).when((kind == 2) & (d % 2 == 0), F.lit("{broken")).otherwise(full).alias("metadata"),
     )
@@ -202,7 +203,7 @@ _PQ_KIND = "((doc_id // 5) % 5)"
 PROMPT_QUALITY_SQL = f"""pq AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, CAST(doc_id // 2 AS VARCHAR) AS session_id,
     CASE WHEN {_PQ_KIND} = 0 THEN 'legacy' WHEN {_PQ_KIND} = 1 THEN 'null' WHEN {_PQ_KIND} = 2 AND doc_id % 2 = 0 THEN 'broken' ELSE 'full' END AS kind
-  FROM documents WHERE doc_id % 5 = 4
+  FROM documents
 ), pq_findings AS (
   SELECT doc_id, session_id, {_sql_pick(PQ_RAW, "doc_id + i * 3")} AS category, {_sql_pick(("deficit", "strength"), "doc_id + i")} AS type
   FROM pq, generate_series(1, 3) g(i) WHERE kind = 'full' AND i <= doc_id % 3 + 1
@@ -225,6 +226,22 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", c.cast("string"), t.cast("string")).alias("id"), c.cast("string").alias("session_id"), t.alias("position"),
         F.col("role").alias("type"), text.alias("content"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), (F.pmod(c, F.lit(1000)) * 60 + t * 25).cast("int"))).alias("timestamp"),
+        tool_calls(c, t).alias("tool_calls"),
+    )
+
+
+def tool_calls(c: Column, t: Column) -> Column:
+    """Calls of a turn: conversations differ in what they do, so that each character occurs."""
+    call = lambda name, path: F.struct(F.lit(name).alias("name"), path.alias("path"))
+    kind, none = F.pmod(c, F.lit(6)), F.array().cast("array<struct<name:string,path:string>>")
+    file = F.concat(F.lit("f"), t.cast("string"))
+    return (
+        F.when(kind == 1, F.array(call("Write", file)))
+        .when(kind == 2, F.array(call("Read", file), call("Grep", F.lit(None).cast("string"))))
+        .when((kind == 3) & (t < 2), F.array(call("Edit", F.lit("one"))))
+        .when(kind == 4, F.array(*[call("Edit", file)] * 4))
+        .when((kind == 5) & (t == 0), F.array(call("Edit", file)))
+        .otherwise(none)
     )
 
 
@@ -233,7 +250,7 @@ MESSAGES_SQL = """messages AS (
     CASE (conv_id * 3 + turn) % 12 WHEN 0 THEN '<task-notification>done</task-notification>' WHEN 2 THEN '<command-name>/review</command-name> now'
       WHEN 4 THEN '/compact' WHEN 6 THEN 'This session is being continued from before'
       WHEN 8 THEN 'fix the failing test in module ' || conv_id || '?' ELSE text END AS content,
-    TIMESTAMP '2024-01-01' + to_minutes(CAST((conv_id % 1000) * 60 + turn * 25 AS BIGINT)) AS timestamp
+    TIMESTAMP '2024-01-01' + to_minutes(CAST((conv_id % 1000) * 60 + turn * 25 AS BIGINT)) AS timestamp, conv_id, turn
   FROM conversations
 )"""
 
@@ -248,16 +265,16 @@ def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(status == "processing", start + F.expr("INTERVAL 1 HOUR")).alias("started_at"),
         F.when((status == "pending") & (k % 5 == 0), start + F.expr("INTERVAL 2 DAY")).alias("retry_after"),
         F.pmod(k, F.lit(4)).alias("attempt_count"), F.lit(3).cast("long").alias("max_attempts"),
-        F.when(status == "failed", F.concat(F.lit("HTTP 429 rate limit for sk-"), k)).alias("error_message"), (k % 8 == 1).alias("rerun_requested"),
+        F.when(status == "failed", F.concat(pick(ERRORS, F.floor(k / 6)), k)).alias("error_message"), (k % 8 == 1).alias("rerun_requested"),
     )
 
 
-QUEUE_SQL = """queue AS (
+QUEUE_SQL = f"""queue AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS session_id, o_orderkey AS seq, status, o_orderdate AS enqueued_at,
     CASE WHEN status = 'processing' THEN o_orderdate + INTERVAL 1 HOUR END AS started_at,
     CASE WHEN status = 'pending' AND o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 2 DAY END AS retry_after,
     o_orderkey % 4 AS attempt_count, CAST(3 AS BIGINT) AS max_attempts,
-    CASE WHEN status = 'failed' THEN 'HTTP 429 rate limit for sk-' || o_orderkey END AS error_message, o_orderkey % 8 = 1 AS rerun_requested
+    CASE WHEN status = 'failed' THEN {_sql_pick(ERRORS, "o_orderkey // 6")} || o_orderkey END AS error_message, o_orderkey % 8 = 1 AS rerun_requested
   FROM (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' ELSE 'pending' END AS status FROM orders)
 )"""
 
@@ -266,7 +283,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two analysis passes a session, most of them at the current revision."""
     k = F.col("o_orderkey")
     both = F.explode(F.array(F.lit("session"), F.lit("prompt_quality")))
-    rows = table(spark, sf_dir, "orders").filter(k % 4 != 3).select(k, both.alias("analysis_type"))
+    rows = table(spark, sf_dir, "orders").select(k, both.alias("analysis_type"))
     return rows.select(
         k.cast("string").alias("session_id"), "analysis_type",
         F.when((k % 10 != 0) | (F.col("analysis_type") == "session"), F.pmod(k, F.lit(7))).alias("session_message_count"),
@@ -285,5 +302,5 @@ USAGE_SQL = f"""usage AS (
     {_sql_pick(("openai", "anthropic", "ollama", "gemini"), "o_orderkey")} AS provider, {_sql_pick(("gpt-4o", "claude-opus-4-6", "llama3.3", "gemini-1.5-pro"), "o_orderkey")} AS model,
     CASE WHEN o_orderkey % 2 = 0 THEN 'en-US' ELSE 'zh-CN' END AS language, (o_orderkey % 1000) * 37 AS input_tokens,
     (o_orderkey % 500) * 11 AS output_tokens, (o_orderkey % 300) * 5 AS cache_creation_tokens, (o_orderkey % 900) * 7 AS cache_read_tokens
-  FROM orders, (VALUES ('session'), ('prompt_quality')) v(analysis_type) WHERE o_orderkey % 4 <> 3
+  FROM orders, (VALUES ('session'), ('prompt_quality')) v(analysis_type)
 )"""

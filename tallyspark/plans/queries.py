@@ -602,23 +602,25 @@ def clean_titles(t: Tables) -> DataFrame:
     return t.messages.filter("type = 'user'").select("id", texts.clean_title(F.col("content")).alias("title"))
 
 
-@query("session_characters", "messages", """
-SELECT session_id, message_count, questions, CASE WHEN questions >= 3 AND 0 < message_count THEN 'learning' END AS character
-FROM (SELECT session_id, count(*) AS message_count, count(*) FILTER (type = 'user' AND contains(content, '?')) AS questions FROM messages GROUP BY 1)""")
+@query("session_characters", "messages", """+
+per AS (SELECT session_id, conv_id % 6 AS kind, count(*) AS message_count, count(*) FILTER (type = 'user' AND contains(content, '?')) AS questions,
+    bool_or(regexp_matches(content, '(?i)error|bug|fix|issue|broken|fail')) AS has_error, bool_or(regexp_matches(content, '(?i)fixed|resolved|working now')) AS has_fix,
+    count(DISTINCT turn) AS turns, count(*) FILTER (turn < 2) AS early, count(*) FILTER (turn = 0) AS at_start FROM messages GROUP BY 1, 2),
+  counted AS (SELECT *, CASE kind WHEN 1 THEN message_count WHEN 3 THEN early WHEN 4 THEN 4 * message_count WHEN 5 THEN at_start ELSE 0 END AS edits,
+    CASE kind WHEN 1 THEN turns WHEN 3 THEN least(early, 1) WHEN 4 THEN turns WHEN 5 THEN at_start ELSE 0 END AS files_edited, CASE WHEN kind = 1 THEN turns ELSE 0 END AS files_created,
+    CASE WHEN kind = 2 THEN 2 * message_count ELSE 0 END AS reads FROM per)
+SELECT session_id, message_count, questions, CASE WHEN message_count >= 50 AND files_edited BETWEEN 1 AND 3 THEN 'deep_focus' WHEN has_error AND has_fix AND edits > 0 THEN 'bug_hunt'
+  WHEN files_created >= 3 THEN 'feature_build' WHEN reads > 3 * edits AND edits < 5 THEN 'exploration' WHEN edits > 10 AND files_created = 0 THEN 'refactor'
+  WHEN questions >= 3 AND edits + reads < message_count THEN 'learning' WHEN message_count < 10 AND edits > 0 THEN 'quick_task' END AS character FROM counted""")
 def session_characters(t: Tables) -> DataFrame:
-    """No tools are called in these conversations, so most rules can't fit; tests cover them."""
-    rows = t.messages.withColumn("tool_calls", F.array().cast("array<struct<name:string,path:string>>"))
-    found = activity.character_features(rows)
+    found = activity.character_features(t.messages)
     return found.select("session_id", "message_count", "questions", activity.session_character(found).alias("character"))
 
 
 @query("input_hashes", "messages", """
-SELECT session_id, count(*) AS messages FROM messages GROUP BY 1""")
+SELECT session_id, sha256(string_agg(sha256(to_json({'id': id, 'type': type, 'content': content})::VARCHAR), ',' ORDER BY timestamp, position)) AS hash FROM messages GROUP BY 1""")
 def input_hashes(t: Tables) -> DataFrame:
-    """Sessions whose hash is reproduced from their rows in another order, with their size."""
-    again = state.input_hash(t.messages.repartition(3, "position")).withColumnRenamed("hash", "again")
-    same = state.input_hash(t.messages).join(again, "session_id").filter("hash = again").select("session_id")
-    return t.messages.join(same, "session_id", "left_semi").groupBy("session_id").agg(F.count(F.lit(1)).alias("messages"))
+    return state.input_hash(t.messages)
 
 
 # --- queue, usage and state ---------------------------------------------------------------------------------
@@ -680,7 +682,10 @@ def enqueue(t: Tables) -> DataFrame:
     return state.enqueue(t.queue, ["1", "2", "3", "7", "32", "new", "1"], ORDERS_NOW).select(*_QUEUE, "rerun_requested")
 
 
-@query("error_histogram", "queue", "SELECT 'RATE_LIMIT' AS code, count(*) AS count FROM queue WHERE error_message IS NOT NULL")
+@query("error_histogram", "queue", """
+SELECT CASE WHEN contains(error_message, '429') AND contains(error_message, 'rate limit') THEN 'RATE_LIMIT' WHEN contains(error_message, 'Unauthorized') OR contains(error_message, 'missing the API key') THEN 'AUTHENTICATION'
+  WHEN contains(error_message, 'input revision') THEN 'INPUT_CHANGED' WHEN contains(error_message, 'no_json_found') THEN 'INVALID_MODEL_OUTPUT' ELSE 'ANALYSIS_FAILED' END AS code, count(*) AS count
+FROM queue WHERE error_message IS NOT NULL GROUP BY 1""")
 def error_histogram(t: Tables) -> DataFrame:
     return quality.error_histogram(t.queue)
 
@@ -905,10 +910,20 @@ def group_summary(t: Tables) -> DataFrame:
 
 
 @query("bidirectional_links", "", """
-WITH f AS (SELECT DISTINCT doc_id // 4 AS g, CAST(doc_id AS VARCHAR) AS id FROM documents UNION SELECT 1000000 + doc_id // 6, CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id % 3 = 0)
-SELECT a.id, array_to_string(list(DISTINCT b.id ORDER BY b.id), ',') AS links FROM f a JOIN f b ON a.g = b.g AND a.id <> b.id GROUP BY a.id""")
+WITH f AS (SELECT DISTINCT doc_id // 4 AS g, CAST(doc_id AS VARCHAR) AS id FROM documents UNION SELECT 1000000000 + doc_id // 6, CAST(doc_id AS VARCHAR) FROM documents)
+SELECT g AS "group", id, count(*) OVER (PARTITION BY g) - 1 AS others FROM f QUALIFY others > 0""")
 def bidirectional_links(t: Tables) -> DataFrame:
+    return graph.linked_groups(_found_groups(t))
+
+
+@query("links_of_ids", "", """
+WITH f AS (SELECT DISTINCT doc_id // 4 AS g, CAST(doc_id AS VARCHAR) AS id FROM documents UNION SELECT 1000000000 + doc_id // 6, CAST(doc_id AS VARCHAR) FROM documents)
+SELECT DISTINCT a.id, b.id AS link FROM f a JOIN f b ON a.g = b.g AND a.id <> b.id WHERE a.id IN ('1', '7', '12', 'none')""")
+def links_of_ids(t: Tables) -> DataFrame:
+    return graph.links_of(t.spark.createDataFrame([("1",), ("7",), ("12",), ("none",)], "id string"), graph.linked_groups(_found_groups(t)))
+
+
+def _found_groups(t: Tables) -> DataFrame:
     d = F.col("doc_id")
     docs = adapters.table(t.spark, t.sf_dir, "documents")
-    found = docs.select(F.floor(d / 4).alias("group"), d.cast("string").alias("id")).union(docs.filter(d % 3 == 0).select(F.floor(d / 6) + 1000000, d.cast("string")))
-    return graph.bidirectional_links(found).withColumn("links", F.array_join("links", ","))
+    return docs.select(F.floor(d / 4).alias("group"), d.cast("string").alias("id")).union(docs.select(F.floor(d / 6) + 1000000000, d.cast("string")))

@@ -57,8 +57,8 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """path, name and raw, a row for each file of that name below a folder."""
+def files(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    """path, name and raw, a row for each file of that name below a folder, or in a list of files."""
     rows = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("raw"))
 
@@ -88,7 +88,7 @@ def split_virtual(path: Column) -> tuple[Column, Column]:
 # --- transcripts of JSON lines ------------------------------------------------------------------------------
 
 
-def jsonl_entries(spark: SparkSession, path: str) -> DataFrame:
+def jsonl_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """session_id, path, position and v of all well-formed lines; files whose name is no session id are left out."""
     rows = lines(files(spark, path, "*.jsonl")).filter("v IS NOT NULL")
     session = F.regexp_extract("name", r"^([a-f0-9-]+|agent-[a-f0-9]+)\.jsonl$", 1)
@@ -133,7 +133,7 @@ def fold_sessions(messages: DataFrame, classify: bool = True) -> DataFrame:
     user, text = F.col("type") == "user", F.col("content")
     kind = F.when(F.size("tool_results") > 0, "tool-result").otherwise(texts.message_class(text)) if classify else F.lit("human")
     rows = messages.withColumn("class", F.when(user, kind)).withColumn("command", F.when(F.col("class") == "user-compact", "/compact").when(F.col("class") == "slash-command", texts.slash_command(text)))
-    counted = F.col("class").isin("human", "user-compact") | ((F.col("class") == "slash-command") & F.col("command").isin(texts.WORKFLOW_COMMANDS))
+    counted = F.col("class").isin("human", "user-compact") | ((F.col("class") == "slash-command") & F.col("command").isin(*texts.WORKFLOW_COMMANDS))
     tokens = {n: F.sum(f"usage.{n}") for n in ("input", "output", "cache_write", "cache_read")}
     cost = costs.token_cost(F.col("model"), *[F.col(f"usage.{n}") for n in tokens])
     commands = F.sort_array(F.collect_list(F.when(F.col("command").isNotNull(), F.struct("position", "command"))))
@@ -182,7 +182,7 @@ def _result(id_: Column, output: Column) -> Column:
     return F.struct(id_.alias("id"), F.left(output, F.lit(1000)).alias("output"))
 
 
-def cli_event_messages(spark: SparkSession, path: str) -> DataFrame:
+def cli_event_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of `<session>/events.jsonl` logs. A line that isn't JSON fails the read: such a file is a whole snapshot."""
     rows = lines(files(spark, path, "events.jsonl"))
     rows = rows.withColumn("v", F.when(F.col("v").isNull(), F.raise_error(F.concat(F.lit("malformed event in "), "path")).cast("variant")).otherwise(F.col("v")))
@@ -205,7 +205,7 @@ def cli_event_messages(spark: SparkSession, path: str) -> DataFrame:
     return turns(flat.unionByName(asked))
 
 
-def rollout_messages(spark: SparkSession, path: str) -> DataFrame:
+def rollout_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of `rollout-*.jsonl` logs: a truncated last line is passed over, any other broken line fails; replays of a user event count once."""
     rows = lines(files(spark, path, "rollout-*.jsonl"))
     tail = (F.col("position") == F.col("n_lines") - 1) & (F.col("position") > 0) & ~F.col("line").rlike(r"[}\]]\s*$")
@@ -242,7 +242,7 @@ def rollout_messages(spark: SparkSession, path: str) -> DataFrame:
 # --- documents ----------------------------------------------------------------------------------------------
 
 
-def editor_chat_messages(spark: SparkSession, path: str) -> DataFrame:
+def editor_chat_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of `*.json` chats with a list of requests; cancelled requests are left out, as are files without requests."""
     rows = files(spark, path, "*.json").withColumn("v", F.try_parse_json("raw"))
     v, r = F.col("v"), F.col("r")
@@ -329,5 +329,5 @@ READERS = {
     "codex-cli": rollout_messages,
     "copilot-cli": cli_event_messages,
     "copilot": editor_chat_messages,
-    "cursor": lambda spark, path: kv_messages(spark.read.parquet(path)),
+    "cursor": lambda spark, path: kv_messages(spark.read.parquet(*([path] if isinstance(path, str) else path))),
 }

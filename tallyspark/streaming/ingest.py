@@ -1,8 +1,10 @@
 """Incremental ingestion: which files changed, merging them into versioned tables, and a stream of new files.
 
 A file source of Structured Streaming notices new paths only, so files that grow are found by comparing a
-manifest of paths, sizes and times. Tables are folders of versions with a pointer, a Parquet file that is
-written last: a job that dies between leaves the old version in force, and a repeated batch gives the same table.
+manifest of paths, sizes and times. A table is a folder of versions, each with some of the table's buckets, and a
+log of pointers that says which version holds a bucket now. A change rewrites the buckets it touches and nothing
+else. A pointer is written last: a job that dies before leaves the old state in force, and a repeated batch gives
+the same table. A table has one writer at a time; a second one that takes the same number is an error.
 """
 
 from __future__ import annotations
@@ -10,39 +12,64 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyspark.operators import state
+#: Buckets of a table of messages, by session.
+BUCKETS = 64
+#: Files that a sync reads at once: their paths are all that the driver holds.
+MAX_FILES = 10_000
+#: Attempts to read files that change meanwhile.
+ATTEMPTS = 2
 
 # --- versions -----------------------------------------------------------------------------------------------
 
 
-def publish(df: DataFrame, table: str) -> DataFrame:
-    """df as the newest version of the table in that folder; returns what was written."""
-    spark, version = df.sparkSession, uuid.uuid4().hex
-    df.write.parquet(f"{table}/versions/{version}")
-    at = spark.range(1).select(F.lit(version).alias("version"), F.lit(pointer_count(spark, table) + 1).cast("long").alias("number"))
-    at.coalesce(1).write.mode("append").parquet(f"{table}/pointer")
-    return spark.read.schema(df.schema).parquet(f"{table}/versions/{version}")
-
-
-def pointer_count(spark: SparkSession, table: str) -> int:
-    """The number of the newest version; 0 without any."""
+def _exists(df: Callable[[], DataFrame]) -> DataFrame | None:
     try:
-        return spark.read.schema("version string, number long").parquet(f"{table}/pointer").agg(F.max("number")).first()[0] or 0
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        return df()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 0
+        return None
 
 
-def current(spark: SparkSession, table: str) -> DataFrame | None:
-    if not pointer_count(spark, table):
-        return None
-    newest = spark.read.parquet(f"{table}/pointer").agg(F.max_by("version", "number")).first()[0]
-    return spark.read.parquet(f"{table}/versions/{newest}")
+def pointers(spark: SparkSession, table: str) -> DataFrame | None:
+    """number, version and bucket of all that was published; None for a table that isn't there."""
+    return _exists(lambda: spark.read.schema("version string, bucket int, number long").parquet(f"{table}/pointer"))
+
+
+def newest(spark: SparkSession, table: str) -> tuple[int, dict[int, str | None]]:
+    """The number of the newest version, and by bucket the version that holds it: a row a bucket."""
+    log = pointers(spark, table)
+    rows = [] if log is None else log.groupBy("bucket").agg(F.max("number").alias("number"), F.max_by(F.struct("version"), "number").alias("held")).collect()
+    return max((r["number"] for r in rows), default=0), {r["bucket"]: r["held"]["version"] for r in rows}
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def publish(df: DataFrame, table: str, touched: list[int] | None = None) -> DataFrame | None:
+    """df as the newest version; with touched, and a column bucket, of those buckets only. Returns the table."""
+    spark, folder = df.sparkSession, f"{table}/versions/{uuid.uuid4().hex}"
+    number, _ = newest(spark, table)
+    rows = df if "bucket" in df.columns else df.withColumn("bucket", F.lit(0))
+    rows.write.partitionBy("bucket").parquet(folder)
+    written = _exists(lambda: spark.read.schema(rows.schema).parquet(folder))
+    filled = {r["bucket"] for r in written.select("bucket").distinct().collect()}
+    listed = [(folder if b in filled else None, b) for b in touched or [0]]
+    spark.createDataFrame(listed, "version string, bucket int").coalesce(1).write.mode("error").parquet(f"{table}/pointer/number={number + 1}")
+    return current(spark, table)
+
+
+def current(spark: SparkSession, table: str, buckets: list[int] | None = None) -> DataFrame | None:
+    """The table, or some buckets of it, without the column bucket; None if there is nothing."""
+    _, held = newest(spark, table)
+    paths = [f"{v}/bucket={b}" for b, v in sorted(held.items()) if v and (buckets is None or b in buckets)]
+    return spark.read.parquet(*paths) if paths else None
 
 
 # --- manifests ----------------------------------------------------------------------------------------------
@@ -67,32 +94,106 @@ def changed_files(now: DataFrame, before: DataFrame | None) -> DataFrame:
 # --- ingesting ----------------------------------------------------------------------------------------------
 
 
-def merge_messages(spark: SparkSession, new: DataFrame, table: str) -> DataFrame:
-    """The table of messages with the sessions in new replaced whole, so that a batch can be repeated."""
-    old = current(spark, table)
-    return publish(new if old is None else state.replace_keyed_sessions(old, new), table)
-
-
-def sync(spark: SparkSession, path: str, glob: str, read: Callable[[SparkSession, str], DataFrame], table: str, force: bool = False) -> int:
-    """Read what is new or changed below a folder into the table of messages; returns how many files that were."""
+def merge_messages(spark: SparkSession, new: DataFrame, table: str, whole_sessions: bool = True) -> DataFrame | None:
+    """Messages of new in the table: their sessions replaced whole, or message by message (session_id, id).
+
+    The batch is written once and read from there, so that all that follows sees the same rows.
+    """
+    staged = f"{table}/staging/{uuid.uuid4().hex}"
+    new.withColumn("bucket", bucket_of(F.col("session_id"))).write.parquet(staged)
+    new = spark.read.parquet(staged)
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+    if not touched:
+        return current(spark, table)
+    old = current(spark, table, touched)
+    key = ["session_id"] if whole_sessions else ["session_id", "id"]
+    if old is not None:
+        rest = old.join(new.select(*key).distinct(), key, "left_anti").withColumn("bucket", bucket_of(F.col("session_id")))
+        new = rest.unionByName(new)
+    return publish(new, table, touched)
+
+
+Reader = Callable[[SparkSession, list[str]], DataFrame]
+
+
+def stable_read(spark: SparkSession, path: str, glob: str, paths: list[str], read: Reader, staged: str) -> list[str]:
+    """Messages of files written to a folder, and which files were the same before and after: those that changed meanwhile are read again, or left for the next sync."""
+    before = {r["path"]: r for r in manifest(spark, path, glob).filter(F.col("path").isin(paths)).collect()}
+    for attempt in range(ATTEMPTS):
+        read(spark, paths).write.mode("overwrite").parquet(staged)
+        after = {r["path"]: r for r in manifest(spark, path, glob).filter(F.col("path").isin(paths)).collect()}
+        steady = [p for p in paths if before.get(p) == after.get(p) is not None]
+        if len(steady) == len(paths):
+            return steady
+        before, paths = after, [p for p in paths if p in after] if attempt + 1 < ATTEMPTS else steady
+    if paths:
+        read(spark, paths).write.mode("overwrite").parquet(staged)
+    return paths
+
+
+def _sync_some(spark: SparkSession, path: str, glob: str, read: Reader, table: str, force: bool) -> int:
+    """As sync(), of MAX_FILES files at most.
+
+    Only changed files are read, and only their sessions' buckets written. The manifest
+    that is published holds what was read, as it was then; a file that changes during the sync stays due.
+    """
     found = manifest(spark, path, glob)
-    todo = changed_files(found, None if force else current(spark, f"{table}-manifest")).filter("change <> 'gone'")
-    n = todo.count()
-    if n:
-        # the sessions of changed files; a reader reads all files of the folder, and only these are merged
-        messages = read(spark, path)
-        if "path" in messages.columns:
-            messages = messages.join(todo.select("path"), "path", "left_semi")
-        merge_messages(spark, messages, table)
-        publish(found, f"{table}-manifest")
+    staged = f"{table}-staging/{uuid.uuid4().hex}"
+    found.write.parquet(f"{staged}/manifest")
+    found = spark.read.parquet(f"{staged}/manifest")
+    before = None if force else current(spark, f"{table}-manifest")
+    changed_files(found, before).write.parquet(f"{staged}/todo")
+    todo = spark.read.parquet(f"{staged}/todo")
+    due = [r["path"] for r in todo.filter("change <> 'gone'").orderBy("path").limit(MAX_FILES).collect()]
+    gone = todo.filter("change = 'gone'").limit(1).count()
+    done: list[str] = []
+    if due:
+        done = stable_read(spark, path, glob, due, read, f"{staged}/messages")
+        if done:
+            merge_messages(spark, spark.read.parquet(f"{staged}/messages"), table)
+    if done or gone:
+        known = found.join(spark.createDataFrame([(p,) for p in done], "path string"), "path", "left_semi")
+        if before is not None:
+            rest = before.join(todo.filter("change = 'gone'").select("path").union(known.select("path")), "path", "left_anti")
+            known = rest.unionByName(known)
+        publish(known, f"{table}-manifest")
+    return len(done)
+
+
+def sync(spark: SparkSession, path: str, glob: str, read: Reader, table: str, force: bool = False) -> int:
+    """Read what is new or changed below a folder into the table of messages; returns how many files that were."""
+    n = done = _sync_some(spark, path, glob, read, table, force)
+    while done == MAX_FILES:
+        done = _sync_some(spark, path, glob, read, table, False)
+        n += done
     return n
 
 
+def sync_file(spark: SparkSession, path: str, read: Reader, table: str) -> int:
+    """One file into the table, as the hook at a session's end asks for; returns how many messages it has."""
+    staged = f"{table}-staging/{uuid.uuid4().hex}"
+    read(spark, [path]).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    merge_messages(spark, rows, table)
+    return rows.count()
+
+
+def fragments(messages: DataFrame) -> DataFrame:
+    """session_id, fingerprint and messages, a checkpoint for each session that a file or store holds: which of them changed is changed_fragments()."""
+    each = F.xxhash64("id", "type", "content", "timestamp").cast("decimal(38,0)")
+    return messages.groupBy("session_id").agg(F.sum(each).cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("messages"))
+
+
+def changed_fragments(now: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Sessions of now whose fingerprint isn't that of before."""
+    return now if before is None else now.join(before, ["session_id", "fingerprint", "messages"], "left_anti")
+
+
 def stream_files(spark: SparkSession, path: str, table: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Everything new below a folder of JSON lines, once: (path, line) batches are parsed to messages and merged."""
+    """Everything new below a folder of JSON lines, once: (path, line) batches are parsed to messages and merged message by message, so a session may come in many files and batches."""
     lines = spark.readStream.format("text").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
     def batch(df: DataFrame, _: int) -> None:
-        merge_messages(df.sparkSession, parse(df), table)
+        merge_messages(df.sparkSession, parse(df), table, whole_sessions=False)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

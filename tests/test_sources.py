@@ -109,16 +109,57 @@ def test_sync_in_steps(spark, tmp_path):
     write(source, "projects/p/bb.jsonl", claude("user", "three", 3))
     assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 2
     assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["one", "three", "two"]
-    assert ingest.pointer_count(spark, table) == 2
+    assert ingest.newest(spark, table)[0] == 2
+    held = dict(ingest.newest(spark, table)[1])
+    write(source, "projects/p/bb.jsonl", claude("user", "four", 4))
+    assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 1
+    now = ingest.newest(spark, table)[1]
+    assert sum(held[b] != now[b] for b in held) == 1  # only the touched bucket is written
+    (source / "projects/p/aa.jsonl").unlink()
+    assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 0
+    assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["four", "one", "two"]  # what was read stays
+    write(source, "projects/p/aa.jsonl", claude("user", "back", 1))
+    assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 1
+    assert ingest.sync_file(spark, str(source / "projects/p/bb.jsonl"), read, table) == 1
+    assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["back", "four"]
+
+
+def test_a_file_that_changes_while_it_is_read(spark, tmp_path):
+    table, source = (tmp_path / "tables" / "messages").as_uri(), tmp_path / "in"
+    plain = transcripts.READERS["claude-code"]
+    write(source, "aa.jsonl", claude("user", "one", 1))
+    seen = []
+
+    def read(spark, paths):
+        seen.append(len(paths))
+        if len(seen) <= 2:  # somebody writes during both attempts
+            write(source, "aa.jsonl", *[claude("user", f"n{k}", k) for k in range(1, len(seen) + 2)])
+        return plain(spark, paths)
+
+    assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 0
+    assert ingest.current(spark, table) is None
+    assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 1
+    assert ingest.current(spark, table).count() == 3
+
+
+def test_changed_fragments(spark):
+    rows = [("a", "1", "user", "x", "2026-01-01 00:00:00"), ("b", "1", "user", "y", "2026-01-01 00:00:00")]
+    frame = lambda r: spark.createDataFrame(r, "session_id string, id string, type string, content string, timestamp string")
+    before = ingest.fragments(frame(rows))
+    now = ingest.fragments(frame([*rows[:1], ("b", "1", "user", "z", "2026-01-01 00:00:00"), ("c", "1", "user", "x", "2026-01-01 00:00:00")]))
+    assert sorted(r["session_id"] for r in ingest.changed_fragments(now, before).collect()) == ["b", "c"]
 
 
 def test_stream_of_new_files(spark, tmp_path):
+    """One session comes in two files and batches, another in one."""
     table, source = (tmp_path / "t").as_uri(), tmp_path / "in"
-    parse = lambda df: df.select(F.get_json_object("line", "$.s").alias("session_id"), F.get_json_object("line", "$.x").alias("content"))
-    for k in (1, 2):
-        write(source, f"{k}.jsonl", {"s": f"s{k}", "x": f"text {k}"})
+    parse = lambda df: df.select(F.get_json_object("line", "$.s").alias("session_id"), F.get_json_object("line", "$.k").alias("id"), F.get_json_object("line", "$.x").alias("content"))
+    for k in (1, 2, 3):
+        write(source, f"{k}.jsonl", {"s": "s1", "k": str(k % 3), "x": f"text {k}"}, *[{"s": "s2", "k": "0", "x": "other"}] * (k == 2))
         ingest.stream_files(spark, str(source), table, str(tmp_path / "checkpoint"), parse).awaitTermination()
-        assert ingest.current(spark, table).count() == k
+    write(source, "4.jsonl", {"s": "s1", "k": "1", "x": "text 1 again"})
+    ingest.stream_files(spark, str(source), table, str(tmp_path / "checkpoint"), parse).awaitTermination()
+    assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["other", "text 1 again", "text 2", "text 3"]
 
 
 def test_answers_of_a_model(spark):
