@@ -101,3 +101,8 @@ def ordered_lookup(rows: DataFrame, ids: list[str]) -> DataFrame:
     """Rows by a list of ids, with their position in the list."""
     wanted = rows.sparkSession.createDataFrame(list(enumerate(ids)), "position long, id string")
     return rows.join(F.broadcast(wanted) if len(ids) <= MAX_LOOKUP else wanted, "id")
+
+
+def navigable_weeks(weeks: DataFrame, present: str) -> DataFrame:
+    """Weeks (week, sessions) with any session, and the present one."""
+    return weeks.filter((F.col("sessions") > 0) | (F.col("week") == present))

@@ -87,7 +87,44 @@ def input_hash(messages: DataFrame) -> DataFrame:
 
 
 def truncate_messages(messages: DataFrame) -> DataFrame:
-    return messages.withColumn("content", texts.truncate_stored(F.col("content"), CONTENT))
+    """Fields at the sizes that are stored: content, and where there are such columns thinking and the outputs of tools."""
+    out = messages.withColumn("content", texts.truncate_stored(F.col("content"), CONTENT))
+    if "thinking" in messages.columns:
+        out = out.withColumn("thinking", texts.truncate_stored(F.col("thinking"), THINKING))
+    if "tool_results" in messages.columns:
+        out = out.withColumn("tool_results", F.transform("tool_results", lambda r: F.struct(r["id"].alias("id"), texts.truncate_stored(r["output"], RESULT).alias("output"))))
+    return out
+
+
+def upsert_usage(usage: DataFrame, new: DataFrame) -> DataFrame:
+    """Passes by session and kind: a message count that isn't given stays, all else is overwritten, with nulls too."""
+    return merge(usage, new, ["session_id", "analysis_type"], USAGE_POLICY)
+
+
+INSIGHT_TYPES = ("summary", "decision", "learning", "technique", "prompt_quality")
+
+
+def create_insights(insights: DataFrame, new: DataFrame, sessions: DataFrame) -> DataFrame:
+    """insights and those of new that are valid: a known type, a title and content, confidence of 0 to 1, a session that exists, an id that is free."""
+    ok = F.col("type").isin(*INSIGHT_TYPES) & (F.trim("title") != "") & (F.trim("content") != "") & F.col("confidence").between(0, 1)
+    valid = new.filter(F.coalesce(ok, F.lit(False))).join(sessions.select(F.col("id").alias("session_id")), "session_id", "left_semi").join(insights.select("id"), "id", "left_anti")
+    return insights.unionByName(valid.select(*insights.columns))
+
+
+def delete_insights(insights: DataFrame, ids: DataFrame) -> DataFrame:
+    return insights.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def reset(table: DataFrame) -> DataFrame:
+    """An empty table of the same columns; publish() makes it the next generation."""
+    return table.limit(0)
+
+
+def migrate(old: DataFrame, schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """The table in a newer schema: columns that are missing take a default or null, others go."""
+    defaults = defaults or {}
+    wanted = old.sparkSession.createDataFrame([], schema).schema
+    return old.select(*[(F.col(f.name) if f.name in old.columns else defaults.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in wanted])
 
 
 def soft_delete(sessions: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
