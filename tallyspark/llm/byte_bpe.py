@@ -33,7 +33,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import give_back, ship_file, ship_package
+from tallyspark.llm.common import give_back, keep, ship_file, ship_package
 
 #: Entries of the caches of a worker, each of some hundred bytes at most.
 MAX_PIECES = 200_000
@@ -338,6 +338,7 @@ def codec(path: str, pattern: str) -> Codec:
     """The codec of this process, made once."""
     if (path, pattern) not in _codecs:
         _codecs[path, pattern] = Codec(path, pattern)
+        keep("byte_bpe", _codecs.clear)
     return _codecs[path, pattern]
 
 

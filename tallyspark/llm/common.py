@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -105,6 +107,23 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, count: str, how: s
     return rows.join(table, [key, "salt_"], how).drop("salt_")
 
 
+#: What the Python worker that runs this keeps between tasks: by operator a function that forgets it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(operator: str, forget: Callable[[], None]) -> None:
+    _kept[operator] = forget
+
+
+def make_room(operator: str) -> None:
+    """Forget what tasks of other operators left in this worker: workers are reused, stage after stage."""
+    others = [k for k in _kept if k != operator]
+    for k in others:
+        _kept.pop(k)()
+    if others:
+        gc.collect()
+
+
 def give_back() -> None:
     """Return what a task's Arrow batches took: workers are reused, and their pool would keep it for the next task."""
     import pyarrow as pa

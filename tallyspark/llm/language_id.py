@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import crc_remainder, give_back, materialize, ship_package
+from tallyspark.llm.common import crc_remainder, give_back, make_room, materialize, ship_package
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
@@ -232,14 +232,21 @@ def train(labelled: DataFrame, sample_rows: int = 1500, top_entries: int = 20_00
     return Model(languages, levels)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score for each row of docs (doc_id, text)."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("language_id")
         memory = Remembered(shared.value)
-        for b in batches:
+        for b in slices(batches):
             names, scores = score_texts(b["text"].to_pylist(), shared.value, memory)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
         give_back()
@@ -266,8 +273,9 @@ def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("language_id")
         memory = Remembered(shared.value)
-        for b in batches:
+        for b in slices(batches):
             names, scores = score_texts(b["text"].to_pylist(), shared.value, memory)
             yield b.filter(pa.array([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores)], pa.bool_()))
         give_back()

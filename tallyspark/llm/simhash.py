@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import give_back, join_counted, materialize, numbered, ship_package
+from tallyspark.llm.common import give_back, join_counted, make_room, materialize, numbered, ship_package
 
 #: Length, generator polynomial and covering radius of the binary Golay code.
 BLOCK, GENERATOR, RADIUS = 23, 0b110001110101, 3
@@ -397,6 +397,7 @@ def signatures(docs: DataFrame, number: str, shingle: int, lanes: int) -> DataFr
     """row, doc_id, node, size (of the set) and print, the long fingerprint, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("simhash")
         for b in batches:
             nodes, sizes, prints = [], [], []
             for t in b["text"]:
@@ -555,12 +556,16 @@ def _similar(docs: DataFrame, number: str, shingle: int, similarity: float) -> D
     links = materialize(checked(pairs, sets, similarity), "links")
     linked = materialize(_with_roots(links, "root"), "linked")
 
-    # where the check broke a component of candidates up, its parts may still be linked
-    placed = _with_roots(pairs, "group").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed, "placed")
-    broken = placed.groupBy("group").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("group")
-    open_ = materialize(placed.join(broken, "group", "left_semi").join(firsts.drop("first", "copies"), "node"), "open")
-    if not open_.isEmpty():
+    # a pair that failed may leave two parts of what was one component; only their texts are compared further
+    failed = pairs.join(links, ["u", "v"], "left_anti")
+    for c in ("u", "v"):
+        of = linked.toDF(c, f"root_{c}")
+        failed = failed.join(of, c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    parted = materialize(failed.filter("root_u != root_v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v")).distinct(), "parted")
+    if not parted.isEmpty():
+        groups = materialize(_with_roots(parted, "group").withColumnRenamed("node", "root"), "groups")
+        placed = firsts.select("node", "size", "print").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = materialize(placed.join(groups, "root"), "open")
         more = materialize(links_between(open_, sets, similarity), "links")
         if not more.isEmpty():
             linked = materialize(_with_roots(links.union(more), "root"), "linked")

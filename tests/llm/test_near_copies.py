@@ -7,24 +7,7 @@ import numpy as np
 import pytest
 
 from tallyspark.llm import exact_dedup, simhash
-from tests.llm.brute import LOWER, WORD
-
-
-def shingles(text: str | None, n: int = 5) -> frozenset[str]:
-    words = WORD.findall((text or "").translate(LOWER))
-    return frozenset(" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))) if words else frozenset()
-
-
-def roots_of(texts: dict[int, str], similarity: float = 0.8) -> dict[int, int]:
-    sets = {i: shingles(t) for i, t in sorted(texts.items())}
-    root = {i: i for i in sets}
-    for i in sets:
-        for j in sets:
-            common = len(sets[i] & sets[j])
-            if i < j and common >= similarity * (len(sets[i]) + len(sets[j]) - common) and root[i] != root[j]:
-                a, b = sorted((root[i], root[j]))
-                root = {k: a if r == b else r for k, r in root.items()}
-    return root
+from tests.llm.brute import similar_roots as roots_of
 
 
 @pytest.fixture(scope="module")
