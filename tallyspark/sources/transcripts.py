@@ -150,11 +150,11 @@ def fold_sessions(messages: DataFrame, classify: bool = True) -> DataFrame:
 # --- event logs ---------------------------------------------------------------------------------------------
 
 
-def turns(events: DataFrame) -> DataFrame:
+def turns(events: DataFrame, thinking_counts: bool = False) -> DataFrame:
     """Messages from events (session_id, position, kind, id, text, tool, result, usage, model, timestamp).
 
     kind is user, text, thinking, tool, result, boundary or other. A user event is a message by itself; what lies between user events and boundaries is
-    one message of the assistant, if it has text or tools. A tool id counts once in a message.
+    one message of the assistant, if it has text or tools, or (thinking_counts) thinking. A tool id counts once in a message.
     """
     so_far = W.partitionBy("session_id").orderBy("position")
     user, edge = F.col("kind") == "user", F.col("kind") == "boundary"
@@ -169,7 +169,7 @@ def turns(events: DataFrame) -> DataFrame:
         F.max_by("model", F.when(F.col("model").isNotNull(), F.col("position"))).alias("model"), F.max_by("usage", F.when(F.col("usage").isNotNull(), F.col("position"))).alias("usage"), F.max("timestamp").alias("timestamp"),
     )
     once = F.aggregate("calls", F.array().cast(CALLS), lambda a, x: F.when(F.exists(a, lambda y: y["id"] == x["id"]), a).otherwise(F.array_append(a, x)))
-    said = said.withColumn("tool_calls", once).filter((F.col("content") != "") | (F.size("tool_calls") > 0))
+    said = said.withColumn("tool_calls", once).filter((F.col("content") != "") | (F.size("tool_calls") > 0) | (F.lit(thinking_counts) & F.col("thinking").isNotNull()))
     said = said.select("session_id", "position", F.coalesce("id", F.concat_ws(":", "session_id", F.lit("assistant"), "position")).alias("id"), F.lit("assistant").alias("type"), F.left("content", F.lit(10_000)).alias("content"), "thinking", "tool_calls", "tool_results", "model", "usage", "timestamp")
     return own.unionByName(said)
 
@@ -239,6 +239,37 @@ def rollout_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return turns(flat.withColumn("timestamp", latest))
 
 
+def rollout_document_messages(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Messages of `rollout-*.json` documents, an older form: a session and its items, all of them at the session's time. A document without either fails."""
+    rows = files(spark, path, "rollout-*.json").withColumn("v", F.try_parse_json("raw"))
+    v, x = F.col("v"), F.col("x")
+    whole = get(v, "$.session.id").isNotNull() & F.try_variant_get(v, "$.items", "array<variant>").isNotNull()
+    rows = rows.withColumn("v", F.when(F.coalesce(whole, F.lit(False)), v).otherwise(F.raise_error(F.concat(F.lit("invalid document: "), "path")).cast("variant")))
+    rows = rows.select(F.concat(F.lit("codex:"), get(v, "$.session.id")).alias("session_id"), get(v, "$.session.model").alias("model"), F.to_timestamp(get(v, "$.session.timestamp")).alias("timestamp"), F.posexplode(items(v, "$.items")).alias("position", "x"))
+    event = get(x, "$.type")
+    told = F.array_join(F.transform(F.filter(items(x, "$.content"), lambda c: text_of(c, "$.text").isNotNull()), lambda c: text_of(c, "$.text")), "\n")
+    system = F.lit(False)
+    for opening in SYSTEM_OPENINGS:
+        system = system | F.ltrim(told).startswith(opening)
+    thought = nonempty(F.array_join(F.transform(F.filter(items(x, "$.summary"), lambda c: get(c, "$.type") == "summary_text"), lambda c: text_of(c, "$.text")), "\n"))
+    is_user = (event == "message") & (get(x, "$.role") == "user")
+    thinks = (event == "reasoning") & thought.isNotNull()
+    output = F.coalesce(text_of(F.try_parse_json(get(x, "$.output")), "$.output"), get(x, "$.output"), F.lit(""))
+    kind = F.when(is_user, "user").when(thinks, "thinking").when(event == "function_call", "tool").when((event == "function_call_output") & get(x, "$.call_id").isNotNull(), "result").otherwise("other")
+    call = _tool(F.coalesce(get(x, "$.call_id"), get(x, "$.id"), F.concat(F.lit("codex-tool-"), F.col("position"))), get(x, "$.name"), nonempty(get(F.try_parse_json(get(x, "$.arguments")), "$.path")))
+    flat = rows.select("session_id", F.col("position").cast("long").alias("position"), kind.alias("kind"), F.lit(None).cast("string").alias("id"), F.when(is_user, F.when(system, "").otherwise(told)).when(thinks, F.concat(thought, F.lit("\n"))).alias("text"), call.alias("tool"), _result(get(x, "$.call_id"), output).alias("result"),
+        F.lit(None).cast(USAGE).alias("usage"), "model", "timestamp")
+    return turns(flat.filter("kind <> 'other'"), thinking_counts=True)
+
+
+def workspace_values(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """path, key and value of the `key: value` lines of workspace.yaml files; of equal keys the last counts."""
+    rows = files(spark, path, "workspace.yaml").select("path", F.posexplode(F.split("raw", "\n")).alias("position", "line")).filter(F.instr("line", ":") > 0)
+    at = F.instr("line", ":")
+    pairs = rows.select("path", "position", stripped(F.col("line").substr(F.lit(1), at - 1)).alias("key"), stripped(F.col("line").substr(at + 1, F.length("line"))).alias("value"))
+    return pairs.filter("key <> '' AND value <> ''").groupBy("path", "key").agg(F.max_by("value", "position").alias("value"))
+
+
 # --- documents ----------------------------------------------------------------------------------------------
 
 
@@ -327,6 +358,7 @@ def kv_messages(store: DataFrame) -> DataFrame:
 READERS = {
     "claude-code": lambda spark, path: jsonl_messages(jsonl_entries(spark, path)),
     "codex-cli": rollout_messages,
+    "codex-cli-documents": rollout_document_messages,
     "copilot-cli": cli_event_messages,
     "copilot": editor_chat_messages,
     "cursor": lambda spark, path: kv_messages(spark.read.parquet(*([path] if isinstance(path, str) else path))),

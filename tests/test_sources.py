@@ -88,6 +88,27 @@ def test_editor_chats(spark, tmp_path):
     assert [c["name"] for c in got[1]["tool_calls"]] == ["edit", "grep"] and got[1]["thinking"] == "t" and got[1]["model"] == "gpt-4o"
 
 
+def test_rollout_documents_and_workspaces(spark, tmp_path):
+    content = lambda t: [{"type": "input_text", "text": t}]
+    doc = {
+        "session": {"id": "d1", "timestamp": "2025-01-02T03:04:05Z", "model": "gpt-4o"},
+        "items": [
+            {"type": "message", "role": "user", "content": content("do it")}, {"type": "reasoning", "summary": [{"type": "summary_text", "text": "hm"}]},
+            {"type": "function_call", "name": "shell", "call_id": "c1", "arguments": "{\"path\": \"p\"}"}, {"type": "function_call_output", "call_id": "c1", "output": "{\"output\": \"fine\"}"},
+            {"type": "message", "role": "user", "content": content("and then?")}, {"type": "reasoning", "summary": [{"type": "summary_text", "text": "only thought"}]}, {"role": "user"},
+        ],
+    }
+    (tmp_path / "rollout-1.json").write_text(json.dumps(doc))
+    (tmp_path / "workspace.yaml").write_text("cwd: /home/me\nbranch:main\nempty:\ncwd: /home/you\nno colon\n")
+    got = transcripts.READERS["codex-cli-documents"](spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r["type"], r["content"], r["thinking"]) for r in got] == [("user", "do it", None), ("assistant", "", "hm\n"), ("user", "and then?", None), ("assistant", "", "only thought\n")]
+    assert got[1]["tool_calls"][0]["name"] == "shell" and got[1]["tool_results"][0]["output"] == "fine" and got[1]["session_id"] == "codex:d1"
+    assert {r["key"]: r["value"] for r in transcripts.workspace_values(spark, str(tmp_path)).collect()} == {"cwd": "/home/you", "branch": "main"}
+    (tmp_path / "rollout-2.json").write_text("{}")
+    with pytest.raises(Exception, match="invalid document"):
+        transcripts.rollout_document_messages(spark, str(tmp_path)).collect()
+
+
 def test_key_value_stores(spark):
     tree = json.dumps({"root": {"children": [{"type": "paragraph", "children": [{"text": "rich"}]}, {"type": "linebreak"}, {"text": "end"}]}})
     one, two = {"bubbleId": "1", "type": 1, "richText": tree}, {"bubbleId": "2", "type": 2, "text": "reply", "codeBlocks": [{"uri": {"path": "/f"}}], "createdAt": "2026-01-02T03:04:05Z"}
