@@ -1,9 +1,9 @@
 """Quality rules: a table of thresholds compiled into one projection, without user functions.
 
-Statistics are JVM expressions over the words of a row. Windows of five words are compared by a 64-bit hash of
-the hashes of their words, within one text only. The texts of most rows have no repeated window, which one hash
-set over longs shows; only the others sort (hash, position) pairs, whose equal neighbours are the windows that
-count. Work and memory are n log n in the words of a text, and nothing is shuffled.
+Statistics are JVM expressions over the words of a row. The texts of most rows have no repeated window of five
+words, which one hash set over 64-bit hashes shows; only the others sort (words, position) pairs, whose equal
+neighbours are the windows that count. Work and memory are n log n in the words of a text, and nothing is
+shuffled.
 
 Defined results: a null or empty text has zeros everywhere and fails the base rule; windows of fewer than five
 words do not exist; repeated rows are judged alike; an empty table gives an empty result; other columns are
@@ -53,13 +53,15 @@ RULES = (
 def _repeat_words(words: Column) -> Column:
     """Words in windows of WINDOW words that occur twice or more, each word counted once."""
 
+    n = F.size(words)
+    starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
+
     def windows(hashes: Column) -> Column:
-        n = F.size(hashes)
-        starts = F.when(n >= WINDOW, F.sequence(F.lit(0), n - WINDOW)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.xxhash64(*[hashes[i + k] for k in range(WINDOW)]))
 
-    def covered(keys: Column) -> Column:
-        pairs = F.sort_array(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    def covered() -> Column:
+        # words hold no blanks, so the joined words are equal only where all words are
+        pairs = F.sort_array(F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("k"), i.alias("i"))))
 
         def positions(p: Column) -> Column:
             last = F.size(p) - 1
@@ -73,7 +75,7 @@ def _repeat_words(words: Column) -> Column:
         return let(let(pairs, positions), cover)
 
     def count(keys: Column) -> Column:
-        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0).cast("long")).otherwise(covered(keys))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.lit(0).cast("long")).otherwise(covered())
 
     return let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count)
 
