@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import texts, times
 
 LEASE_MINUTES, MAX_BATCH, TRIVIAL = 10, 500, 2
-CONTENT, THINKING, RESULT, INPUT = 10_000, 5_000, 2_000, 1_000
+CONTENT, THINKING, RESULT = 10_000, 5_000, 2_000
 
 # --- merging ------------------------------------------------------------------------------------------------
 

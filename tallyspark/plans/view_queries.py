@@ -7,11 +7,10 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions import formats, markup, texts
+from tallyspark.functions import categories, costs, formats, markup, nested, texts
 from tallyspark.operators import facets, reflect, scope, state, titles, views
 from tallyspark.plans import adapters
 from tallyspark.plans.queries import ORDERS_NOW, Tables, query, sql_category, sql_time, when_text
-from tallyspark.functions import categories, nested
 
 TODAY = date(2024, 3, 1)
 
@@ -268,6 +267,28 @@ def request_tokens(t: Tables) -> DataFrame:
     return by.select("session_id", formats.request_tokens(F.col("c"), 10, 4).alias("tokens"))
 
 
+@query("friendly_models", "sessions", """
+SELECT DISTINCT primary_model, CASE WHEN primary_model LIKE 'claude-opus-4%' THEN 'Opus 4.x' WHEN primary_model LIKE 'claude-sonnet-4%' THEN 'Sonnet 4.x' WHEN primary_model LIKE 'claude-haiku%' THEN 'Haiku'
+  WHEN primary_model LIKE 'gpt-4o%' THEN 'GPT-4o' WHEN primary_model LIKE 'claude-3-opus%' THEN 'Opus 3' END AS name FROM sessions WHERE primary_model IS NOT NULL""")
+def friendly_models(t: Tables) -> DataFrame:
+    return t.sessions.filter("primary_model IS NOT NULL").select("primary_model", texts.friendly_model(F.col("primary_model")).alias("name")).distinct()
+
+
+@query("bounded_scores", "pq", "SELECT id, CAST(greatest(0, least(100, doc_id % 240 - 60)) AS BIGINT) AS score FROM pq")
+def bounded_scores(t: Tables) -> DataFrame:
+    return t.pq.select("id", costs.bounded_score(F.pmod(F.col("id").cast("long"), F.lit(240)) - 60).cast("long").alias("score"))
+
+
+@query("post_parts", "", """
+SELECT CAST(doc_id AS VARCHAR) AS id, 'Post ' || doc_id AS title, 'a' || (doc_id % 3) || ',end' AS tags, '# Head' AS first FROM documents""")
+def post_parts(t: Tables) -> DataFrame:
+    """What is read out of posts that a model wrote: the head's title, tags, and the text without what stands before it."""
+    d = F.col("doc_id").cast("string")
+    post = F.concat(F.lit('---\ntitle: "Post '), d, F.lit('"\n---\nWords &#39; #a'), (F.col("doc_id") % 3).cast("string"), F.lit(" and #end and #end"))
+    said = F.lit("Sure, here it is:\n\n# Head\ntext")
+    return adapters.table(t.spark, t.sf_dir, "documents").select(d.alias("id"), markup.frontmatter(post, "title").alias("title"), F.array_join(markup.hashtags(post), ",").alias("tags"), F.split(markup.without_preamble(said), "\n")[0].alias("first"))
+
+
 # --- facets and reports -------------------------------------------------------------------------------------
 
 

@@ -8,8 +8,8 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.functions import categories, costs, texts, times
-from tallyspark.operators import activity, analysis, graph, state
+from tallyspark.functions import categories, costs, formats, texts, times
+from tallyspark.operators import activity, analysis, graph, scope, state
 from tallyspark.sources import transcripts
 from tallyspark.streaming import ingest
 
@@ -219,6 +219,15 @@ def test_functions_on_odd_values(spark):
     assert one(texts.guard_credentials(F.lit("password = hunter22 and Bearer abcdefghijklmnop1234"))) == "[REDACTED:assignment] and [REDACTED:authorization]"
     assert one(texts.normal_git_url(F.lit("git@h.org:a/b.git"))) == "h.org/a/b" and one(texts.git_branch(F.lit("On branch dev\nclean"))) == "dev"
     assert one(texts.failure_code(F.lit("HTTP 401 unauthorized"))) == "AUTHENTICATION" and one(costs.score_label(F.lit(45))) == "Needs Improvement"
+    assert scope.safe_int(" 12x", 5) == 12 and scope.safe_int(None, 5) == 5 and formats.request_budget(100, 90, 20) == 1
+    assert formats.date_bounds("7d", date(2026, 1, 10)) == ("2026-01-03", None) and formats.date_bounds("all", date(2026, 1, 10)) == (None, None)
+    file, fragment = transcripts.split_virtual(F.lit("a.db#c1"))
+    assert (one(file), one(fragment)) == ("a.db", "c1") and one(transcripts.split_virtual(F.lit("a.db"))[1]) is None
+    # fixed values, written out once more
+    prices = [one(costs.model_price(F.lit(m), side)) for m in ("claude-opus-4-6", "claude-haiku-4-5") for side in (0, 1)]
+    assert prices == [5.0, 25.0, 1.0, 5.0]
+    assert [one(categories.normalize_category(F.lit(c), categories.FRICTION)) for c in ("config-drift", "api-rate-limit", "race-condition")] == ["stale-assumptions", "rate-limit-hit", "wrong-approach"]
+    assert [one(categories.normalize_category(F.lit(c), categories.PATTERN)) for c in ("tdd", "task-decomposition", "backtracking")] == ["verification-workflow", "structured-planning", "self-correction"]
     assert one(times.is_calendar_date(F.lit("2026-02-30"))) is False and one(texts.title_score(F.lit("fix the login page of our app"))) == 80
 
 
