@@ -21,8 +21,8 @@ the host: its share of characters in links, in elements that are called main tex
 pages differ there. Element names are weights in that sum; without a template a page is one slot. Kept slots are
 extracted whole, with all their blocks, however short.
 
-Templates are joined to the pages on the host; Spark broadcasts them if it finds them small, and the pages of a
-hot host are dealt over salts otherwise.
+Templates are joined to the pages on the host, by broadcast up to BROADCAST_TOKENS tokens in all; beyond, the
+pages of a hot host are dealt over salts. Both give the same rows.
 
 Defined results: null or empty html has empty text; a page alone on its host is its own template; a page of a
 host with articles that has no text in their slots is judged as if the host had none; a null URL, or one without
@@ -48,6 +48,8 @@ from tallyspark.llm.url_filter import split_url
 
 #: Share of a host's different pages that a tag needs to be part of its template, and that text needs; pages that text needs at least.
 MIN_TAGS, MIN_TEXT, FEW_PAGES = 0.05, 0.5, 4
+#: Tokens of all templates up to which they are broadcast, at about 20 bytes each.
+BROADCAST_TOKENS = 500_000
 #: What adds to a slot's score; it is kept above zero. The shares are of its characters on all pages of the host.
 BASE, MAIN_SHARE, DIFFERS, SIDE_SHARE, LINK_SHARE, OUTSIDE_MAIN = 0.25, 1.0, 0.5, -2.0, -1.0, -1.0
 
@@ -323,14 +325,15 @@ def hash_pair(h: int, text: str) -> int:
 def templates(pages: DataFrame) -> DataFrame:
     """host, pages and the template of each host of parsed pages, with its failed classes and its kept slots."""
     found = materialize(token_statistics(pages), "template-tokens")
-    sizes = found.filter("token = 0").select("host", F.col("n_pages").alias("host_pages"))
-    found = found.join(sizes, "host")
+    sizes = found.groupBy("host").agg(F.max(F.when(F.col("token") == 0, F.col("n_pages"))).alias("host_pages"), F.count(F.lit(1)).alias("all_tokens"))
+    sizes = materialize(sizes, "hosts")
+    found = join_counted(found, sizes, "host", "all_tokens")
     text = (F.col("n_pages") >= MIN_TEXT * F.col("host_pages")) & (F.col("n_pages") >= FEW_PAGES)
     tag = (F.col("n_pages") >= MIN_TAGS * F.col("host_pages")) | (F.col("kind") == SIDE_TAG)
     common = found.filter(F.when(F.col("kind") >= BLOCK, text).otherwise(tag)).select("host", "token", "kind", "vector", "n_pages", "place")
     nested = common.groupBy("host").applyInPandas(nest, TEMPLATE)
     rows = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    nested = materialize(with_key(nested).join(with_key(rows).drop("host"), "key").join(with_key(sizes).drop("host"), "key"), "nested")
+    nested = materialize(with_key(nested).join(with_key(rows).drop("host"), "key").join(with_key(sizes).drop("host", "all_tokens"), "key"), "nested")
 
     slots = materialize(slot_statistics(with_templates(pages, nested)), "slots")
     failed = slots.filter("failed IS NOT NULL").groupBy("host").agg(F.collect_set("failed").alias("failed"))
@@ -352,6 +355,9 @@ def with_key(df: DataFrame) -> DataFrame:
 def with_templates(pages: DataFrame, found: DataFrame) -> DataFrame:
     """Parsed pages, each with the template of its host."""
     table = found.drop("host").withColumnsRenamed({"tokens": "tokens_t", "kinds": "kinds_t"})
+    size = found.agg(F.sum(F.size("tokens") + 10)).first()[0] or 0
+    if size <= BROADCAST_TOKENS:
+        return with_key(pages).join(F.broadcast(table), "key")
     return join_counted(with_key(pages), table, "key", "pages")
 
 
