@@ -170,30 +170,35 @@ def token_hash(token: str) -> int:
     return xxh64_intdigest(token.encode("utf-8", "surrogatepass"), 1) - (1 << 63)
 
 
-PARSED = "host string, content long, page_id long, url string, tokens array<long>, kinds array<byte>, texts array<string>, links array<int>"
+PARSED = "host string, content long, tokens array<long>, kinds array<byte>, sizes array<int>, links array<int>"
 #: Kinds of tokens: a tag; a tag of a side element; a block, plus what its elements are called.
 TAG, SIDE_TAG, BLOCK, IN_SIDE, IN_MAIN = 0, 1, 4, 1, 2
 
 
+def numbers_of(page: Page) -> tuple[list[int], list[int]]:
+    """Hashes and kinds of a page's tokens."""
+    return [token_hash(t) for t, _ in page.tokens], [int(x) if isinstance(x, bool) else BLOCK + IN_SIDE * x[2] + IN_MAIN * x[3] for _, x in page.tokens]
+
+
 def parsed(pages: DataFrame) -> DataFrame:
-    """The tokens of each row of pages (page_id, url, host, html), so that later passes need not read the markup again."""
+    """The tokens of each row of pages (host, html), and of blocks the characters, so that two passes need not read the markup. Texts stay where they are."""
     names = [x.split()[0] for x in PARSED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                tokens, kinds, texts, links = [], [], [], []
+                tokens, kinds, sizes, links = [], [], [], []
                 for source in b["html"].to_pylist():
-                    page = Page(source or "").tokens
-                    tokens.append([token_hash(t) for t, _ in page])
-                    kinds.append([int(x) if isinstance(x, bool) else BLOCK + IN_SIDE * x[2] + IN_MAIN * x[3] for _, x in page])
-                    texts.append([x[0] for _, x in page if not isinstance(x, bool)])
-                    links.append([x[1] for _, x in page if not isinstance(x, bool)])
-                yield pa.RecordBatch.from_arrays([b["host"], b["content"], b["page_id"], b["url"], pa.array(tokens, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8())), pa.array(texts, pa.list_(pa.string())), pa.array(links, pa.list_(pa.int32()))], names)
+                    page = Page(source or "")
+                    for out, x in zip((tokens, kinds), numbers_of(page)):
+                        out.append(x)
+                    sizes.append([len(x[0]) for _, x in page.tokens if not isinstance(x, bool)])
+                    links.append([x[1] for _, x in page.tokens if not isinstance(x, bool)])
+                yield pa.RecordBatch.from_arrays([b["host"], b["content"], pa.array(tokens, pa.list_(pa.int64())), pa.array(kinds, pa.list_(pa.int8())), pa.array(sizes, pa.list_(pa.int32())), pa.array(links, pa.list_(pa.int32()))], names)
         give_back()
 
-    return pages.select("host", F.xxhash64("html").alias("content"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, PARSED)
+    return pages.select("host", F.xxhash64("html").alias("content"), "html").mapInArrow(run, PARSED)
 
 
 # --- templates ----------------------------------------------------------------------------------------------
@@ -297,16 +302,17 @@ def slot_statistics(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            rows = zip(b["host"].to_pylist(), _numbers(b, "tokens", np.int64), _numbers(b, "kinds", np.int64), b["texts"].to_pylist(), b["links"].to_pylist(), _template_columns(b))
-            for host, tokens, kinds, texts, links, template in rows:
+            rows = zip(b["host"].to_pylist(), _numbers(b, "tokens", np.int64), _numbers(b, "kinds", np.int64), _numbers(b, "sizes", np.int64), _numbers(b, "links", np.int64), _template_columns(b))
+            for host, tokens, kinds, sizes, links, template in rows:
                 for c in template.disordered(tokens):
                     out.append((host, None, c, 0, 0, 0, 0, 0))
                 slots, dropped = template.cut(tokens, kinds)
                 sums: dict[int, list[int]] = {}
-                for slot, kind, text, link in zip(slots[~dropped].tolist(), kinds[kinds >= BLOCK][~dropped].tolist(), (t for t, d in zip(texts, dropped) if not d), (x for x, d in zip(links, dropped) if not d)):
+                left, block = ~dropped, kinds >= BLOCK
+                for slot, kind, token, size, link in zip(*(x.tolist() for x in (slots[left], kinds[block][left], tokens[block][left], sizes[left], links[left]))):
                     x = sums.setdefault(slot, [0, 0, 0, 0, 0])
-                    x[0] = hash_pair(x[0], text)
-                    for i, v in enumerate((len(text), link, len(text) * (kind & IN_SIDE > 0), len(text) * (kind & IN_MAIN > 0))):
+                    x[0] = hash_pair(x[0], token)
+                    for i, v in enumerate((size, link, size * (kind & IN_SIDE > 0), size * (kind & IN_MAIN > 0))):
                         x[i + 1] += v
                 out += [(host, slot, None, *x) for slot, x in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 8, [pa.string()] + [pa.int64()] * 7)], names)
@@ -316,10 +322,10 @@ def slot_statistics(pages: DataFrame) -> DataFrame:
     return seen.groupBy("host", "slot", "failed").agg(*sums, (F.min("content") != F.max("content")).alias("differs"))
 
 
-def hash_pair(h: int, text: str) -> int:
+def hash_pair(h: int, token: int) -> int:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(text.encode("utf-8", "surrogatepass"), h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+    return xxh64_intdigest(token.to_bytes(8, "little", signed=True), h & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -374,13 +380,17 @@ def main_text(tokens: np.ndarray, kinds: np.ndarray, texts: list[str], template:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
     ship_package(pages.sparkSession)
-    rows = materialize(parsed(pages.select("page_id", "url", split_url(F.col("url"))[0].alias("host"), "html")), "parsed-pages")
-    found = materialize(templates(rows), "templates")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), split_url(F.col("url"))[0].alias("host"), "html")
+    found = materialize(templates(materialize(parsed(rows), "parsed-pages")), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = zip(_numbers(b, "tokens", np.int64), _numbers(b, "kinds", np.int64), b["texts"].to_pylist(), _template_columns(b, ("failed", "kept", "kept_loosely")))
-            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array([main_text(*x) for x in each], pa.string())], ["page_id", "url", "text"])
+            texts = []
+            for source, template in zip(b["html"], _template_columns(b, ("failed", "kept", "kept_loosely"))):
+                page = Page(source.as_py() or "")
+                tokens, kinds = (np.array(x, np.int64) for x in numbers_of(page))
+                texts.append(main_text(tokens, kinds, [x[0] for _, x in page.tokens if not isinstance(x, bool)], template))
+            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string())], ["page_id", "url", "text"])
         give_back()
 
     return with_templates(rows, found).mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -263,13 +263,13 @@ def main_texts(pages: list[tuple[int, str | None, str | None]]) -> dict[int, str
                 if isinstance(kind, bool):
                     slot = t if t in tags else slot
                 elif t not in texts_of:
-                    parts.setdefault(slot, []).append(kind)
+                    parts.setdefault(slot, []).append((t, kind))
             for s, blocks in parts.items():
                 x = slots.setdefault(s, [0, 0, 0, 0, set()])
-                for text, links, side, main in blocks:
+                for _, (text, links, side, main) in blocks:
                     for i, v in enumerate((len(text), links, len(text) * side, len(text) * main)):
                         x[i] += v
-                x[4].add(tuple(b[0] for b in blocks))
+                x[4].add(tuple(t for t, _ in blocks))
         share = {s: [v / max(1, x[0]) for v in x[1:4]] for s, x in slots.items()}
         has_main = any(main >= 0.5 and side < 0.5 for _, side, main in share.values())
         score = {s: H.BASE + H.MAIN_SHARE * main + H.SIDE_SHARE * side + H.LINK_SHARE * links + (H.DIFFERS if len(slots[s][4]) > 1 or n == 1 else 0) for s, (links, side, main) in share.items()}
