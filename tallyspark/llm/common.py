@@ -136,6 +136,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def drawn_by(hashed: Column, wanted: int, of: int) -> Column:
+    """Is a row with this hash (a long) in a sample of about wanted of so many rows? 63 bits decide, so a small share of many rows is drawn too."""
+    most = (1 << 63) - 1
+    return hashed.bitwiseAND(F.lit(most)) <= F.lit(min(most, (wanted << 63) // max(1, of)))
+
+
 def crc_remainder(doc_id: Column, divisor: int) -> Column:
     """crc32 of the id written as text, modulo divisor: the fixed folds of the learned operators."""
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor

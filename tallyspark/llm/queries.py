@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm import byte_bpe, exact_dedup, html_extraction, language_id, mixing, pii, quality_classifier, quality_rules, simhash, url_filter
+from tallyspark.llm import byte_bpe, centroids, exact_dedup, html_extraction, language_id, mixing, nearest, pii, prefix_trie, quality_classifier, quality_rules, simhash, url_filter
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -65,6 +65,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_documents(spark, sf_dir))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_language_id": op2_language_id,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_html_extraction": op9_html_extraction,
     "op10_personal_data": op10_personal_data,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
 }
 
 #: DuckDB SQL for the queries that SQL can express; a word is as in common.WORD.
@@ -134,5 +149,59 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM judged
 """
 
+def _op11_sql(clusters: int = 16, rounds: int = 3) -> str:
+    """Each round compares every vector with every centroid."""
+    nearest = """
+  a{k} AS (
+    SELECT id, arg_min(cluster, struct_pack(d, cluster)) AS cluster, min(d) AS d FROM (
+      SELECT q.id, c.cluster, list_sum(list_transform(range(1, 65), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i]))) AS d FROM q, c{k} AS c)
+    GROUP BY id)"""
+    moves = """
+  s{k} AS (SELECT cluster, i, CAST(floor(sum(v[i]) / count(*)) AS BIGINT) AS x FROM a{j} JOIN q USING (id), range(1, 65) AS r(i) GROUP BY cluster, i),
+  c{k} AS (SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{j} AS c LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS v FROM s{k} GROUP BY cluster) AS m USING (cluster))"""
+    steps = [nearest.format(k=0)] + [part for k in range(1, rounds + 1) for part in (moves.format(k=k, j=k - 1), nearest.format(k=k))]
+    return f"""
+WITH q AS (
+    SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+  c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v FROM q ORDER BY cluster LIMIT {clusters}),{",".join(steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN q USING (id) JOIN c{rounds} USING (cluster)
+"""
+
+
+#: Nodes are whole prefixes here, as lists of MD5 sums, and subtrees are asked through the prefixes of each node.
+OP12_SQL = """
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS m,
+      len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+    FROM conversations WHERE conv_id IS NOT NULL),
+  bits AS (SELECT n, list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS t FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))),
+  crc_table AS (SELECT list(t ORDER BY n) AS t FROM bits),
+  convs AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base,
+      xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: xor(a // 256, crc_table.t[CAST(xor(a & 255, b) + 1 AS BIGINT)])), 4294967295) % 4 AS h
+    FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+  parts AS (
+    SELECT c.conv_id, 0 AS own, pos, m, w FROM convs AS c JOIN turns AS t ON t.conv_id = c.base AND pos <= h
+    UNION ALL SELECT c.conv_id, 1, pos, m, w FROM convs AS c JOIN turns AS t ON t.conv_id = c.conv_id AND pos > h),
+  path AS (SELECT conv_id, list(m ORDER BY own, pos) AS ms, list(w ORDER BY own, pos) AS ws FROM parts GROUP BY conv_id),
+  whole AS (SELECT conv_id, coalesce(ms, []) AS ms, coalesce(ws, []) AS ws FROM convs LEFT JOIN path USING (conv_id)),
+  seen AS (SELECT conv_id, unnest(range(0, len(ms) + 1)) AS depth, ms, ws FROM whole),
+  occ AS (SELECT conv_id, depth, md5(array_to_string(ms[1:depth], '')) AS node, md5(array_to_string(ms[1:depth - 1], '')) AS above, depth = len(ms) AS ends, coalesce(ws[depth], 0) AS w FROM seen),
+  node AS (
+    SELECT node, depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+      coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ends FROM occ GROUP BY node, depth),
+  kids AS (SELECT above, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+  full_node AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node AS n LEFT JOIN kids AS k ON k.above = n.node AND k.depth = n.depth),
+  under AS (
+    SELECT o.node, o.depth, sum((n.n_children = 0)::INT) AS n_leaves, sum((n.n_convs - 1) * n.w) AS saved_tokens
+    FROM full_node AS n JOIN occ AS o ON o.conv_id = n.conv_id AND o.depth <= n.depth GROUP BY ALL)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(n.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM full_node AS n JOIN under AS u ON u.node = n.node AND u.depth = n.depth LEFT JOIN node AS p ON n.depth > 0 AND p.node = n.above AND p.depth = n.depth - 1
+"""
+
 
-ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op8_quality_rules": _op8_sql()}
+ORACLES: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op6_mix_sources": OP6_SQL, "op8_quality_rules": _op8_sql(), "op11_centroid_clusters": _op11_sql(), "op12_prefix_trie": OP12_SQL}
