@@ -118,11 +118,12 @@ def _owned_suffixes(seen: DataFrame) -> DataFrame:
     """conv_id, turns, owned_from (past the end if it owns nothing), shared_words (before that) and leaf (1 if its last node is childless and its own)."""
     ends = F.sum((F.col("depth") == F.col("last_depth")).cast("int"))
     owners = seen.groupBy("node").agg(F.min("conv_id").alias("conv_id"), F.min("words_before").alias("words_before"), (ends == F.count(F.lit(1))).alias("childless"))
-    suffix = owners.groupBy("conv_id").agg(F.min(F.struct("node.d", "words_before")).alias("first"), F.max(F.col("childless").cast("long")).alias("leaf"))
+    # words before a turn never fall along a path, so the least are those of the first owned node
+    suffix = owners.groupBy("conv_id").agg(F.min("node.d").alias("first"), F.min("words_before").alias("shared"), F.max(F.col("childless").cast("long")).alias("leaf"))
     convs = seen.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("n_words").alias("words"), F.max("last_depth").alias("last"))
     joined = convs.join(suffix, "conv_id", "left")
     return joined.select(
-        "conv_id", "turns", F.coalesce("first.d", F.col("last") + 1).alias("owned_from"), F.coalesce("first.words_before", "words").alias("shared_words"), F.coalesce("leaf", F.lit(0).cast("long")).alias("leaf"))
+        "conv_id", "turns", F.coalesce("first", F.col("last") + 1).alias("owned_from"), F.coalesce("shared", "words").alias("shared_words"), F.coalesce("leaf", F.lit(0).cast("long")).alias("leaf"))
 
 
 def ends_digests(seen: DataFrame) -> DataFrame:
@@ -180,9 +181,9 @@ def prefix_trie(rows: DataFrame, group: int = 20, heads: int = 3) -> DataFrame:
     below = F.greatest(F.lit(0), F.col("shared_words") - F.col("words_before"))  # words from here on, less those of owned nodes
     owns_next = (F.col("depth") < F.col("last_depth")) & (F.col("depth") + 1 >= F.col("owned_from"))
     nodes = each.groupBy("node").agg(
-        F.min("conv_id").alias("conv_id"), F.min("above").alias("above"), F.count(F.lit(1)).alias("n_convs"),
+        F.min("conv_id").alias("conv_id"), F.min("above.a").alias("a"), F.min("above.b").alias("b"), F.count(F.lit(1)).alias("n_convs"),
         F.sum(owns_next.cast("long")).alias("n_children"), F.sum("leaf").alias("n_leaves"), F.sum(below).alias("saved_tokens"))
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes.withColumn("above", F.struct((F.col("node.d") - 1).alias("d"), "a", "b")).drop("a", "b"), "nodes")
     parents = nodes.select(F.col("node").alias("above"), F.col("conv_id").alias("parent_conv_id"), "n_children").filter("n_children > 0")
     rooted = nodes.filter("node.d = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
     found = join_counted(nodes.filter("node.d > 0"), parents.withColumnRenamed("n_children", "children_"), "above", "children_").drop("children_").unionByName(rooted)
