@@ -34,7 +34,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import let, materialize, words_of
+from tallyspark.llm.common import drawn_by, let, materialize, words_of
 
 #: Kinds with strict patterns, and all.
 BASE = ("email", "ip", "card", "phone")
@@ -96,6 +96,37 @@ def prefix_sums(values: Column, block: int = 32, levels: int = 3) -> Column:
     return let(values, of)
 
 
+def _around(gaps: Column, ms: Column) -> Column:
+    """For each match the CONTEXT characters of the whole text on each side, neighbouring matches included.
+
+    Pieces that reach from one match to the next are joined in twos, three times: eight pieces of a match each,
+    of two characters at least, are CONTEXT characters.
+    """
+    last = F.size(ms) - 1
+    near = F.transform(ms, lambda _, i: F.struct(F.right(gaps[i], F.lit(CONTEXT)).alias("before"), F.left(gaps[i + 1], F.lit(CONTEXT)).alias("after")))
+    first = F.transform(
+        ms,
+        lambda _, i: F.struct(
+            F.right(F.concat(F.when(i > 0, ms[F.greatest(i - 1, F.lit(0))]).otherwise(""), gaps[i]), F.lit(CONTEXT)).alias("before"),
+            F.left(F.concat(gaps[i + 1], F.when(i < last, ms[F.least(i + 1, last)]).otherwise("")), F.lit(CONTEXT)).alias("after"),
+        ),
+    )
+
+    def joined(pieces: Column, step: int) -> Column:
+        return F.transform(
+            pieces,
+            lambda x, i: F.struct(
+                F.right(F.concat(F.when(i >= step, pieces[F.greatest(i - step, F.lit(0))]["before"]).otherwise(""), x["before"]), F.lit(CONTEXT)).alias("before"),
+                F.left(F.concat(x["after"], F.when(i + step <= last, pieces[F.least(i + step, last)]["after"]).otherwise("")), F.lit(CONTEXT)).alias("after"),
+            ),
+        )
+
+    wide = let(first, lambda a: let(joined(a, 1), lambda b: let(joined(b, 2), lambda c: joined(c, 4))))
+    # gaps that are long enough, as most are, hold the context by themselves
+    between = F.slice(gaps, 2, F.greatest(F.size(gaps) - 2, F.lit(0)))
+    return F.when(F.exists(between, lambda g: F.length(g) < CONTEXT), wide).otherwise(near)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches in a text: start, end, m, and the characters before and after."""
 
@@ -103,8 +134,8 @@ def matches(text: Column, pattern: str) -> Column:
         def with_matches(ms: Column) -> Column:
             steps = F.transform(ms, lambda m, i: (F.length(gaps[i]) + F.when(i > 0, F.length(ms[F.greatest(i - 1, F.lit(0))])).otherwise(0)).cast("long"))
             return let(
-                prefix_sums(steps),
-                lambda starts: F.transform(ms, lambda m, i: F.struct(starts[i].alias("start"), (starts[i] + F.length(m)).alias("end"), m.alias("m"), F.right(gaps[i], F.lit(CONTEXT)).alias("before"), F.left(gaps[i + 1], F.lit(CONTEXT)).alias("after"))),
+                F.struct(prefix_sums(steps).alias("starts"), _around(gaps, ms).alias("around")),
+                lambda at: F.transform(ms, lambda m, i: F.struct(at["starts"][i].alias("start"), (at["starts"][i] + F.length(m)).alias("end"), m.alias("m"), at["around"][i]["before"].alias("before"), at["around"][i]["after"].alias("after"))),
             )
 
         return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_matches)
@@ -271,10 +302,13 @@ def planted(docs: DataFrame) -> DataFrame:
         ("secret", False, F.concat(plain(57), plain(58), plain(59), _number("h", 60, 2))),
         ("secret", False, F.concat(_number("h", 61, 4), F.lit("-"), _number("h", 62, 2), F.lit("-"), _number("h", 63, 2), F.lit("T"), _number("h", 64, 6))),
     ]
+    # a number with a neighbour, so that neighbours alone do not decide
+    beside = [("card", True, in_groups(luhn), in_groups(wrong)), ("card", False, in_groups(wrong), in_groups(luhn)), ("phone", True, F.concat(area, sep, mid, sep, end), _number("h", 65, 5))]
+    values = [(*v, None) for v in values] + beside
     say = {"email": ["mail: ", "contact ", "", ""], "ip": ["host ", "ip: ", "", ""], "card": ["card ", "visa: ", "", ""], "phone": ["tel. ", "phone: ", "", ""], "secret": [""]}
     cells = [
-        F.struct(F.lit(kind).alias("kind"), F.lit(good).alias("good"), F.concat(word(80 + k), F.lit(" "), _picked(say[kind], pick(70 + k)) if good else F.lit("")).alias("before"), value.alias("value"), F.concat(F.lit(" "), word(120 + k)).alias("after"))
-        for k, (kind, good, value) in enumerate(values)
+        F.struct(F.lit(kind).alias("kind"), F.lit(good).alias("good"), F.concat(word(80 + k), F.lit(" "), _picked(say[kind], pick(70 + k)) if good else F.lit("")).alias("before"), value.alias("value"), F.concat(F.lit(" "), *([] if neighbour is None else [neighbour, F.lit(" ")]), word(120 + k)).alias("after"))
+        for k, (kind, good, value, neighbour) in enumerate(values)
     ]
     each = rows.select("h", F.explode(F.array(*cells)).alias("x")).select("h", "x.*")
     text = F.concat("before", "value", "after")
@@ -338,8 +372,7 @@ def boost(cells: list[tuple[int, int, int]], rounds: int = 40, rate: float = 0.3
 
 def train(docs: DataFrame, sample_docs: int = 4_000, min_precision: float = 0.95) -> Trees:
     """Trees and thresholds from values planted in a sample of docs (doc_id, text), and its strict matches that failed."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sample = docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    sample = docs.select("doc_id", "text").filter(drawn_by(F.xxhash64(F.lit("personal data"), "doc_id", "text"), sample_docs, docs.count()))
     t = F.coalesce(F.col("text"), F.lit(""))
     refused = lambda k: F.when(NEEDS[k](t), F.transform(F.filter(matches(t, STRICT[k]), lambda c: ~passes(k, c["m"])), lambda c: _cell(k, False)(c)["code"])).otherwise(F.array().cast("array<int>"))
     failed = sample.select(F.xxhash64("doc_id").alias("h"), F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), refused(k).alias("codes")) for k in BASE])).alias("x"))
