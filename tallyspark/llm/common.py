@@ -136,6 +136,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def drawn_share(hashed: Column, share: Column) -> Column:
+    """As drawn_by(), for a share that is a column."""
+    return hashed.bitwiseAND(F.lit((1 << 63) - 1)).cast("double") < share * float(1 << 63)
+
+
 def drawn_by(hashed: Column, wanted: int, of: int) -> Column:
     """Is a row with this hash (a long) in a sample of about wanted of so many rows? 63 bits decide, so a small share of many rows is drawn too."""
     most = (1 << 63) - 1

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import crc_remainder, give_back, make_room, materialize, ship_package
+from tallyspark.llm.common import crc_remainder, drawn_share, give_back, make_room, materialize, ship_package
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 5
@@ -202,7 +202,7 @@ def train(labelled: DataFrame, sample_rows: int = 1500, top_entries: int = 20_00
         return Model([])
     top = max(1, min(top_entries, model_entries // (len(languages) * (LONGEST_GRAM + 1))))
     # Spark knows the size of the table of languages and chooses the join by it
-    sample = labelled.join(sizes, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * sample_rows / F.col("count"))
+    sample = labelled.join(sizes, "lang").filter(drawn_share(F.xxhash64(F.lit("language"), "doc_id", "text"), sample_rows / F.col("count")))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS_SQL), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     words = materialize(words, "language-words")
     grams = words.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("m"))

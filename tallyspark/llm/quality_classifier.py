@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import crc_remainder, materialize, ship_package
+from tallyspark.llm.common import crc_remainder, drawn_by, materialize, ship_package
 from tallyspark.llm.quality_rules import STOP_WORDS
 
 STOP = frozenset(w.encode() for ws in STOP_WORDS.values() for w in ws.split())
@@ -131,8 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 16_000, waves: i
     """A classifier from docs (doc_id, text) and labels (doc_id, quality)."""
     ship_package(docs.sparkSession)
     labels = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("label")).distinct()
-    share = min(1.0, train_rows / max(1, labels.count()))
-    chosen = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    chosen = labels.filter(drawn_by(F.xxhash64(F.lit("quality"), "doc_id"), train_rows, labels.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
