@@ -120,6 +120,28 @@ def test_key_value_stores(spark):
         transcripts.kv_messages(spark.createDataFrame(store[1:2], "key string, value string")).collect()
 
 
+def test_workspace_stores_and_the_shared_one(spark):
+    """A workspace's own values win; conversations it knows by id only, and bubbles it lacks, come from the shared store; roots from absolute minus relative paths."""
+    say = lambda i, text, **more: json.dumps({"bubbleId": i, "type": 1, "text": text, **more})
+    heads = lambda *ids: json.dumps({"fullConversationHeadersOnly": [{"bubbleId": i} for i in ids]})
+    blocks = {"codeBlocks": [{"uri": {"path": "rel/x"}}, {"uri": {"path": "/home/me/app/src/a.py"}}], "relevantFiles": ["b.py", "src/a.py"]}
+    store = [
+        ("w1", "composer.composerData", json.dumps({"allComposers": [{"composerId": "A", "name": "n"}, {"composerId": "B"}, {"composerId": "gone"}]})),
+        ("w1", "composerData:B", heads("1", "2")), ("w1", "bubbleId:B:1", say("1", "own", **blocks)),
+        ("w2", "composerData:B", json.dumps({"conversation": [json.loads(say("9", "of another workspace"))]})),
+    ]
+    shared = [("composerData:A", heads("5")), ("bubbleId:A:5", say("5", "shared")), ("bubbleId:B:1", say("1", "not this")), ("bubbleId:B:2", say("2", "filled in")), ("composerData:Z", heads("7"))]
+    bubbles = transcripts.kv_bubbles(spark.createDataFrame(store, "path string, key string, value string"), spark.createDataFrame(shared, "key string, value string"))
+    got = transcripts.kv_messages(spark.createDataFrame(store, "path string, key string, value string"), spark.createDataFrame(shared, "key string, value string"))
+    assert sorted((r["path"], r["session_id"], r["position"], r["content"]) for r in got.collect()) == [("w1", "cursor:A", 0, "shared"), ("w1", "cursor:B", 0, "own"), ("w1", "cursor:B", 1, "filled in"), ("w2", "cursor:B", 0, "of another workspace")]
+    assert [tuple(r) for r in transcripts.kv_roots(bubbles).collect()] == [("w1", "cursor:B", "/home/me/app")]
+
+
+def contents(spark, table):
+    rows = ingest.messages(spark, table)
+    return [] if rows is None else sorted(r["content"] for r in rows.collect())
+
+
 def test_sync_in_steps(spark, tmp_path):
     table, source = (tmp_path / "tables" / "messages").as_uri(), tmp_path / "in"
     read = transcripts.READERS["claude-code"]
@@ -129,20 +151,98 @@ def test_sync_in_steps(spark, tmp_path):
     write(source, "projects/p/aa.jsonl", claude("user", "one", 1), claude("assistant", "two", 2))
     write(source, "projects/p/bb.jsonl", claude("user", "three", 3))
     assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 2
-    assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["one", "three", "two"]
-    assert ingest.newest(spark, table)[0] == 2
-    held = dict(ingest.newest(spark, table)[1])
+    assert contents(spark, table) == ["one", "three", "two"]
+    before = ingest.newest(spark, table)
+    assert before.number == 2
     write(source, "projects/p/bb.jsonl", claude("user", "four", 4))
     assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 1
-    now = ingest.newest(spark, table)[1]
-    assert sum(held[b] != now[b] for b in held) == 1  # only the touched bucket is written
+    now = ingest.newest(spark, table)
+    assert now.identity == before.identity and sum(before.held[b] != now.held.get(b) for b in before.held) <= 1  # only the touched bucket is written
     (source / "projects/p/aa.jsonl").unlink()
     assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 0
-    assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["four", "one", "two"]  # what was read stays
+    assert contents(spark, table) == ["four", "one", "two"]  # what was read stays
     write(source, "projects/p/aa.jsonl", claude("user", "back", 1))
     assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 1
     assert ingest.sync_file(spark, str(source / "projects/p/bb.jsonl"), read, table) == 1
-    assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["back", "four"]
+    assert contents(spark, table) == ["back", "four"]
+    # a table that was thrown away is read anew, whatever the manifest of the old one says
+    ingest.remove(spark, table)
+    assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 2 and contents(spark, table) == ["back", "four"]
+
+
+def rollout(session, *texts, ids=True):
+    t = lambda k: f"2026-01-02T03:04:{k:02d}Z"
+    return [{"type": "session_meta", "timestamp": t(0), "payload": {"id": session}}, *[{"type": "event_msg", "timestamp": t(k), "payload": {"type": "user_message", "message": x, **({"id": f"{session}-{x}"} if ids else {})}} for k, x in enumerate(texts, 1)]]
+
+
+def test_a_session_in_several_files(spark, tmp_path, monkeypatch):
+    """One file grows, files come in several batches, all is read once more: nothing is lost or doubled, with ids and without."""
+    table, source = (tmp_path / "t").as_uri(), tmp_path / "in"
+    read = lambda spark, paths: transcripts.rollout_messages(spark, paths).withColumn("id", F.when(F.col("content").startswith("no id"), None).otherwise(F.col("id")))
+    monkeypatch.setattr(ingest, "MAX_FILES", 2)
+    write(source, "rollout-1.jsonl", *rollout("s", "a one", "a two"))
+    write(source, "rollout-2.jsonl", *rollout("s", "b one", "no id", "a two"))  # tells one event of the first file again
+    write(source, "rollout-3.jsonl", *rollout("s", "no id"))
+    write(source, "rollout-4.jsonl", *rollout("other", "x"))
+    write(source, "rollout-5 of +%.jsonl", *rollout("other", "y"))
+    assert ingest.sync(spark, str(source), "rollout-*.jsonl", read, table) == 5
+    want = ["a one", "a two", "b one", "no id", "no id", "x", "y"]
+    assert contents(spark, table) == want
+    rows = ingest.messages(spark, table).filter("session_id = 'codex:s'").orderBy("position").collect()
+    assert [r["position"] for r in rows] == [0, 1, 2, 3, 4] and [r["content"] for r in rows] == ["a one", "b one", "no id", "a two", "no id"]
+    write(source, "rollout-2.jsonl", *rollout("s", "b one", "no id", "a two", "b three"))
+    assert ingest.sync(spark, str(source), "rollout-*.jsonl", read, table) == 1
+    assert contents(spark, table) == sorted([*want, "b three"])
+    assert ingest.sync(spark, str(source), "rollout-*.jsonl", read, table, force=True) == 5
+    ingest.sync_file(spark, str(source / "rollout-3.jsonl"), read, table)
+    assert contents(spark, table) == sorted([*want, "b three"])
+
+
+def test_fragments_of_a_store(spark, tmp_path):
+    """Of a store that changed, only the conversations that changed are parsed and written."""
+    table, source = (tmp_path / "t").as_uri(), tmp_path / "in"
+    asked = []
+
+    def read(spark, paths, wanted):
+        asked.append(sorted(r["fragment"] for r in wanted.collect()))
+        return transcripts.READERS["cursor"](spark, paths, wanted)
+
+    def save(**conversations):
+        rows = [(f"composerData:{k}", json.dumps({"fullConversationHeadersOnly": [{"bubbleId": str(n)} for n in range(len(v))]})) for k, v in conversations.items()]
+        rows += [(f"bubbleId:{k}:{n}", json.dumps({"bubbleId": str(n), "type": 1, "text": x})) for k, v in conversations.items() for n, x in enumerate(v)]
+        folder = tmp_path / "made"
+        spark.createDataFrame([*rows, ("history", "x")], "key string, value string").coalesce(1).write.mode("overwrite").parquet(str(folder))
+        source.mkdir(exist_ok=True)
+        (source / "store.parquet").write_bytes(next(folder.glob("*.parquet")).read_bytes())
+
+    once = lambda force=False: ingest.sync(spark, str(source), "*.parquet", read, table, force, lambda spark, paths: transcripts.kv_fingerprints(transcripts.kv_store(spark, paths)))
+    save(A=["a1", "a2"], B=["b1"], C=["c1"])
+    assert once() == 1 and once() == 0 and contents(spark, table) == ["a1", "a2", "b1", "c1"]
+    save(A=["a1", "a2"], B=["b1", "b2"], D=["d1"])
+    assert once() == 1 and asked == [["A", "B", "C"], ["B", "D"]]
+    assert contents(spark, table) == ["a1", "a2", "b1", "b2", "d1"]  # C is no longer in the store
+    assert once(force=True) == 1 and contents(spark, table) == ["a1", "a2", "b1", "b2", "d1"]
+
+
+def test_versions_and_writers(spark, tmp_path, monkeypatch):
+    """Buckets double as a table grows, old versions go, and a writer that started from an older version is refused."""
+    monkeypatch.setattr(ingest, "BUCKET_ROWS", 4)
+    table = (tmp_path / "t").as_uri()
+    frame = lambda lo, hi: ingest.staged(spark.range(lo, hi).select(F.concat(F.lit("f"), F.col("id")).alias("path"), F.col("id").alias("n")), table)
+    none = spark.createDataFrame([], "path string")
+    first = ingest.replace(spark, table, frame(0, 10), none)
+    assert (first.number, first.buckets) == (1, ingest.BUCKETS)
+    grown = ingest.replace(spark, table, frame(10, 100), none)
+    assert grown.buckets == 32 and ingest.current(spark, table).count() == 100 and sum(n for _, n in grown.held.values()) == 100
+    with pytest.raises(ingest.StaleWriter):
+        ingest.replace(spark, table, frame(500, 600), none, first)
+    last = ingest.replace(spark, table, frame(200, 201), spark.createDataFrame([("f3",), ("f4",)], "path string"), grown)
+    assert sorted(r["n"] for r in ingest.current(spark, table).collect()) == sorted([*({*range(100)} - {3, 4}), 200])
+    assert {p.rpartition("number=")[2] for p in ingest.children(spark, f"{table}/pointer")} == {"2", "3"}
+    assert {v.rpartition("/")[2] for v in ingest.children(spark, f"{table}/versions")} >= {v.rpartition("/")[2] for v, _ in last.held.values()}
+    assert len(ingest.children(spark, f"{table}/versions")) <= 2
+    gone = ingest.replace(spark, table, frame(0, 0), ingest.current(spark, table).select("path"))
+    assert gone.held == {} and ingest.current(spark, table) is None and ingest.newest(spark, table).identity == first.identity
 
 
 def test_a_file_that_changes_while_it_is_read(spark, tmp_path):
@@ -163,24 +263,16 @@ def test_a_file_that_changes_while_it_is_read(spark, tmp_path):
     assert ingest.current(spark, table).count() == 3
 
 
-def test_changed_fragments(spark):
-    rows = [("a", "1", "user", "x", "2026-01-01 00:00:00"), ("b", "1", "user", "y", "2026-01-01 00:00:00")]
-    frame = lambda r: spark.createDataFrame(r, "session_id string, id string, type string, content string, timestamp string")
-    before = ingest.fragments(frame(rows))
-    now = ingest.fragments(frame([*rows[:1], ("b", "1", "user", "z", "2026-01-01 00:00:00"), ("c", "1", "user", "x", "2026-01-01 00:00:00")]))
-    assert sorted(r["session_id"] for r in ingest.changed_fragments(now, before).collect()) == ["b", "c"]
-
-
 def test_stream_of_new_files(spark, tmp_path):
-    """One session comes in two files and batches, another in one."""
+    """Sessions in several files and batches; a file that comes again by another name tells its events again."""
     table, source = (tmp_path / "t").as_uri(), tmp_path / "in"
-    parse = lambda df: df.select(F.get_json_object("line", "$.s").alias("session_id"), F.get_json_object("line", "$.k").alias("id"), F.get_json_object("line", "$.x").alias("content"))
-    for k in (1, 2, 3):
-        write(source, f"{k}.jsonl", {"s": "s1", "k": str(k % 3), "x": f"text {k}"}, *[{"s": "s2", "k": "0", "x": "other"}] * (k == 2))
-        ingest.stream_files(spark, str(source), table, str(tmp_path / "checkpoint"), parse).awaitTermination()
-    write(source, "4.jsonl", {"s": "s1", "k": "1", "x": "text 1 again"})
-    ingest.stream_files(spark, str(source), table, str(tmp_path / "checkpoint"), parse).awaitTermination()
-    assert sorted(r["content"] for r in ingest.current(spark, table).collect()) == ["other", "text 1 again", "text 2", "text 3"]
+    for k, rows in enumerate([rollout("s", "one"), rollout("s", "two", "one"), rollout("r", "three")], 1):
+        write(source, f"rollout-{k}.jsonl", *rows)
+        ingest.stream_files(spark, str(source), "*.jsonl", transcripts.rollout_messages, table, str(tmp_path / "checkpoint")).awaitTermination()
+    assert contents(spark, table) == ["one", "three", "two"]
+    # all once more, as after the loss of a checkpoint
+    ingest.stream_files(spark, str(source), "*.jsonl", transcripts.rollout_messages, table, str(tmp_path / "other"), files_a_batch=2).awaitTermination()
+    assert contents(spark, table) == ["one", "three", "two"] and ingest.current(spark, table).count() == 4
 
 
 def test_answers_of_a_model(spark):
