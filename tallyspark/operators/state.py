@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tallyspark.functions import texts, times
 
 LEASE_MINUTES, MAX_BATCH, TRIVIAL = 10, 500, 2
+#: What is said of a run whose lease ended.
+STOPPED = "Worker stopped before analysis completed"
 CONTENT, THINKING, RESULT = 10_000, 5_000, 2_000
 
 # --- merging ------------------------------------------------------------------------------------------------
@@ -115,11 +117,6 @@ def delete_insights(insights: DataFrame, ids: DataFrame) -> DataFrame:
     return insights.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def reset(table: DataFrame) -> DataFrame:
-    """An empty table of the same columns; publish() makes it the next generation."""
-    return table.limit(0)
-
-
 def migrate(old: DataFrame, schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
     """The table in a newer schema: columns that are missing take a default or null, others go."""
     defaults = defaults or {}
@@ -203,31 +200,55 @@ def next_claims(queue: DataFrame, at: datetime, n: int = 1) -> DataFrame:
     return claimable(queue, at).orderBy("enqueued_at", "seq").limit(n)
 
 
-def fail(queue: DataFrame, ids: DataFrame, error: str, at: datetime) -> DataFrame:
-    """Processing rows in ids (session_id): another attempt after a delay, or failed for good after the last."""
-    hit = queue.join(ids.select("session_id").distinct().withColumn("_hit", F.lit(True)), "session_id", "left")
-    on = F.coalesce(F.col("_hit") & (F.col("status") == "processing"), F.lit(False))
-    attempts = F.col("attempt_count") + 1
+def _change(queue: DataFrame, on: Column, change: dict[str, Column]) -> DataFrame:
+    on = F.coalesce(on, F.lit(False))
+    return queue.select(*[F.when(on, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns])
+
+
+def _waiting(at: datetime) -> dict[str, Column]:
+    """A row that newer data asks for: it starts afresh."""
+    none = F.lit(None)
+    return {"status": F.lit("pending"), "enqueued_at": times.moment(at), "started_at": none.cast("timestamp"), "retry_after": none.cast("timestamp"), "attempt_count": F.lit(0).cast("long"), "error_message": none.cast("string"), "rerun_requested": F.lit(False)}
+
+
+def _failed(at: datetime, error: str) -> dict[str, Column]:
+    """A run that failed: afresh if newer data came meanwhile, else again after a delay, or for good after the last attempt."""
+    attempts, again = F.col("attempt_count") + 1, F.col("rerun_requested")
     last = attempts >= F.col("max_attempts")
     later = times.moment(at) + F.make_dt_interval(secs=times.retry_delay(attempts).cast("decimal(18,6)"))
-    change = {"status": F.when(last, "failed").otherwise("pending"), "attempt_count": attempts, "retry_after": F.when(~last, later), "error_message": texts.redact_error(F.lit(error)), "started_at": F.lit(None).cast("timestamp")}
-    return hit.select(*[F.when(on, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns])
+    change = {"status": F.when(last, "failed").otherwise("pending"), "attempt_count": attempts, "retry_after": F.when(~last, later), "error_message": texts.redact_error(F.lit(error))}
+    return {c: F.when(again, v).otherwise(change.get(c, F.lit(None) if c == "started_at" else F.col(c))) for c, v in _waiting(at).items()}
 
 
-def complete(queue: DataFrame, ids: DataFrame) -> DataFrame:
-    """Processing rows in ids (session_id) are done, or wait again if that was asked for meanwhile."""
+def _in_work(queue: DataFrame, ids: DataFrame) -> tuple[DataFrame, Column]:
     hit = queue.join(ids.select("session_id").distinct().withColumn("_hit", F.lit(True)), "session_id", "left")
-    on = F.coalesce(F.col("_hit") & (F.col("status") == "processing"), F.lit(False))
-    change = {"status": F.when(F.col("rerun_requested"), "pending").otherwise("completed"), "rerun_requested": F.lit(False), "started_at": F.lit(None).cast("timestamp")}
-    return hit.select(*[F.when(on, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns])
+    return hit, F.col("_hit") & (F.col("status") == "processing")
+
+
+def fail(queue: DataFrame, ids: DataFrame, error: str, at: datetime) -> DataFrame:
+    """Processing rows in ids (session_id): another attempt after a delay, or failed for good after the last; afresh if newer data came meanwhile."""
+    hit, on = _in_work(queue, ids)
+    return _change(hit, on, _failed(at, error)).select(*queue.columns)
+
+
+def complete(queue: DataFrame, ids: DataFrame, at: datetime) -> DataFrame:
+    """Processing rows in ids (session_id) are done, or wait again from now if newer data came meanwhile."""
+    hit, on = _in_work(queue, ids)
+    done = {"status": F.lit("completed"), "error_message": F.lit(None).cast("string"), "retry_after": F.lit(None).cast("timestamp")}
+    change = {c: F.when(F.col("rerun_requested"), v).otherwise(done.get(c, F.col(c))) for c, v in _waiting(at).items()}
+    return _change(hit, on, change).select(*queue.columns)
 
 
 def reset_stale(queue: DataFrame, at: datetime) -> DataFrame:
-    """Rows in work for longer than the lease wait again, or have failed if that was the last attempt."""
-    stale = F.coalesce((F.col("status") == "processing") & (F.col("started_at") < times.moment(at) - F.make_dt_interval(mins=F.lit(LEASE_MINUTES))), F.lit(False))
-    attempts = F.col("attempt_count") + 1
-    change = {"status": F.when(attempts >= F.col("max_attempts"), "failed").otherwise("pending"), "attempt_count": attempts, "started_at": F.lit(None).cast("timestamp")}
-    return queue.select(*[F.when(stale, change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns])
+    """Rows in work for as long as the lease, or since nobody knows when, have failed that run."""
+    stale = (F.col("status") == "processing") & (F.col("started_at").isNull() | (F.col("started_at") <= times.moment(at) - F.make_dt_interval(mins=F.lit(LEASE_MINUTES))))
+    return _change(queue, stale, _failed(at, STOPPED))
+
+
+def prune_finished(queue: DataFrame, at: datetime, days: int = 7) -> DataFrame:
+    """The queue without completed and failed rows that were asked for longer ago."""
+    old = F.col("status").isin("completed", "failed") & (F.col("enqueued_at") <= times.moment(at) - F.make_dt_interval(days=F.lit(days)))
+    return queue.filter(~F.coalesce(old, F.lit(False)))
 
 
 def retry_failed(queue: DataFrame) -> DataFrame:

@@ -647,9 +647,9 @@ _QUEUE = ("session_id", "status", "attempt_count")
 
 
 @query("fail_backoff", "queue", """
-SELECT session_id, CASE WHEN h THEN CASE WHEN attempt_count + 1 >= max_attempts THEN 'failed' ELSE 'pending' END ELSE status END AS status, attempt_count + CAST(h AS BIGINT) AS attempt_count,
-  CASE WHEN h THEN 'key [REDACTED] refused' ELSE error_message END AS error_message,
-  strftime(CASE WHEN NOT h THEN retry_after WHEN attempt_count + 1 < max_attempts THEN TIMESTAMP '2001-08-02' + to_seconds(([30, 60, 120, 240, 480])[least(attempt_count + 1, 5)]) END, '%Y-%m-%d %H:%M:%S') AS retry_after
+SELECT session_id, CASE WHEN h AND (rerun_requested OR attempt_count + 1 < max_attempts) THEN 'pending' WHEN h THEN 'failed' ELSE status END AS status, CASE WHEN h AND rerun_requested THEN 0 ELSE attempt_count + CAST(h AS BIGINT) END AS attempt_count,
+  CASE WHEN h AND rerun_requested THEN NULL WHEN h THEN 'key [REDACTED] refused' ELSE error_message END AS error_message,
+  strftime(CASE WHEN NOT h THEN retry_after WHEN NOT rerun_requested AND attempt_count + 1 < max_attempts THEN TIMESTAMP '2001-08-02' + to_seconds(([30, 60, 120, 240, 480])[least(attempt_count + 1, 5)]) END, '%Y-%m-%d %H:%M:%S') AS retry_after
 FROM (SELECT *, status = 'processing' AND seq % 4 = 1 AS h FROM queue)""")
 def fail_backoff(t: Tables) -> DataFrame:
     ids = t.queue.filter("seq % 4 = 1").select("session_id")
@@ -657,16 +657,24 @@ def fail_backoff(t: Tables) -> DataFrame:
 
 
 @query("complete_items", "queue", """
-SELECT session_id, CASE WHEN h AND rerun_requested THEN 'pending' WHEN h THEN 'completed' ELSE status END AS status, attempt_count FROM (SELECT *, status = 'processing' AND seq % 4 = 1 AS h FROM queue)""")
+SELECT session_id, CASE WHEN h AND rerun_requested THEN 'pending' WHEN h THEN 'completed' ELSE status END AS status, CASE WHEN h AND rerun_requested THEN 0 ELSE attempt_count END AS attempt_count,
+  strftime(CASE WHEN h AND rerun_requested THEN TIMESTAMP '2001-08-02' ELSE enqueued_at::TIMESTAMP END, '%Y-%m-%d %H:%M:%S') AS enqueued_at FROM (SELECT *, status = 'processing' AND seq % 4 = 1 AS h FROM queue)""")
 def complete_items(t: Tables) -> DataFrame:
-    return state.complete(t.queue, t.queue.filter("seq % 4 = 1").select("session_id")).select(*_QUEUE)
+    return state.complete(t.queue, t.queue.filter("seq % 4 = 1").select("session_id"), ORDERS_NOW).select(*_QUEUE, when_text("enqueued_at"))
 
 
 @query("reset_stale", "queue", """
-SELECT session_id, CASE WHEN h THEN CASE WHEN attempt_count + 1 >= max_attempts THEN 'failed' ELSE 'pending' END ELSE status END AS status, attempt_count + CAST(h AS BIGINT) AS attempt_count
-FROM (SELECT *, coalesce(status = 'processing' AND started_at < TIMESTAMP '1996-06-01' - INTERVAL 10 MINUTE, false) AS h FROM queue)""")
+SELECT session_id, CASE WHEN h AND (rerun_requested OR attempt_count + 1 < max_attempts) THEN 'pending' WHEN h THEN 'failed' ELSE status END AS status, CASE WHEN h AND rerun_requested THEN 0 ELSE attempt_count + CAST(h AS BIGINT) END AS attempt_count,
+  strftime(CASE WHEN NOT h THEN retry_after WHEN NOT rerun_requested AND attempt_count + 1 < max_attempts THEN TIMESTAMP '1996-06-01' + to_seconds(([30, 60, 120, 240, 480])[least(attempt_count + 1, 5)]) END, '%Y-%m-%d %H:%M:%S') AS retry_after,
+  CASE WHEN h AND rerun_requested THEN NULL WHEN h THEN 'Worker stopped before analysis completed' ELSE error_message END AS error_message
+FROM (SELECT *, coalesce(status = 'processing' AND (started_at IS NULL OR started_at <= TIMESTAMP '1996-06-01' - INTERVAL 10 MINUTE), false) AS h FROM queue)""")
 def reset_stale(t: Tables) -> DataFrame:
-    return state.reset_stale(t.queue, datetime(1996, 6, 1)).select(*_QUEUE)
+    return state.reset_stale(t.queue, datetime(1996, 6, 1)).select(*_QUEUE, when_text("retry_after"), "error_message")
+
+
+@query("pruned_queue", "queue", "SELECT session_id, status, attempt_count FROM queue WHERE NOT (status IN ('completed', 'failed') AND enqueued_at <= TIMESTAMP '1996-06-01' - INTERVAL 7 DAY)")
+def pruned_queue(t: Tables) -> DataFrame:
+    return state.prune_finished(t.queue, datetime(1996, 6, 1)).select(*_QUEUE)
 
 
 @query("retry_failed", "queue", "SELECT session_id, CASE WHEN status = 'failed' THEN 'pending' ELSE status END AS status, CASE WHEN status = 'failed' THEN 0 ELSE attempt_count END AS attempt_count FROM queue")

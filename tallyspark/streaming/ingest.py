@@ -270,6 +270,12 @@ def sync_file(spark: SparkSession, path: str, read: Reader, table: str) -> int:
     return rows.count()
 
 
+def reset(spark: SparkSession, table: str) -> None:
+    """Throw the table and what is known of its files away: the next sync reads all, into a table of another identity."""
+    for name in ("", "-manifest", "-fragments", "-staging"):
+        remove(spark, table + name)
+
+
 def messages(spark: SparkSession, table: str) -> DataFrame | None:
     """The table's messages by session: an id that several files of a session have counts once, as the last of them tells it; rows without id are all kept.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from tallyspark.plans import queries, view_queries  # noqa: F401
+from tallyspark.plans import lifecycle_queries, queries, view_queries  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -168,6 +168,10 @@ def test_sync_in_steps(spark, tmp_path):
     # a table that was thrown away is read anew, whatever the manifest of the old one says
     ingest.remove(spark, table)
     assert ingest.sync(spark, str(source), "*.jsonl", read, table) == 2 and contents(spark, table) == ["back", "four"]
+    last = ingest.newest(spark, table)
+    ingest.reset(spark, table)
+    assert contents(spark, table) == [] and ingest.sync(spark, str(source), "*.jsonl", read, table) == 2
+    assert ingest.newest(spark, table).identity not in ("", last.identity)
 
 
 def rollout(session, *texts, ids=True):
