@@ -86,6 +86,6 @@ def request_budget(window: int, reserved: int, margin: int) -> int:
     return max(1, window - reserved - margin)
 
 
-def request_tokens(texts: Column, base: int, per_message: int, chars_per_token: int = 4) -> Column:
-    """Estimated tokens of a request of messages, an array of texts."""
-    return F.aggregate(texts, F.lit(base).cast("long"), lambda a, t: a + per_message + F.ceil(F.length(t) / chars_per_token))
+def request_tokens(text: Column, base: int, per_message: int, chars_per_token: int = 4) -> Column:
+    """Estimated tokens of a request, an aggregate over the texts of its messages."""
+    return F.sum(per_message + F.ceil(F.length(text) / chars_per_token)) + base

@@ -22,6 +22,8 @@ CREDENTIAL_VALUES = (
     r"(?i)\b(?:x[-_]?api[-_]?key|api[-_]?key|authorization|access[-_]?token|refresh[-_]?token)\s*[:=]\s*[^\s,;]+",
 )
 FORMATS = {"deep_focus": "blog", "bug_hunt": "blog", "feature_build": "blog", "exploration": "blog", "refactor": "blog", "learning": "blog", "quick_task": "blog"}
+#: What posts call the types of insights.
+TYPE_LABELS = {"learning": "Learning", "decision": "Decision", "technique": "Technique", "summary": "Summary", "prompt_quality": "Observation"}
 # End of fixed values.
 
 
@@ -89,9 +91,18 @@ def insight_block(number: Column, kind: Column, summary: Column, content: Column
     short = (F.size(F.split(content, " ")) < 40) & (F.size(bullets) > 0)
     lines = F.when(short, F.concat(F.lit("\n"), F.array_join(F.transform(bullets, lambda b: F.concat(F.lit("- "), b)), "\n"))).otherwise("")
     label = F.upper(F.translate(kind, "_", " "))
+    for name, shown in TYPE_LABELS.items():
+        label = F.when(kind == name, shown.upper()).otherwise(label)
     return F.concat(F.lit("["), label, F.lit(" "), number.cast("string"), F.lit("]\nSummary: "), summary, F.lit("\n"), content, lines)
 
 
+def background_block(title: Column, character: Column, summary: Column) -> Column:
+    """A session that insights come from, in the context of a post; null without a summary."""
+    kind = F.when(character != "", F.concat(F.lit(" ("), F.translate(character, "_", " "), F.lit(")"))).otherwise("")
+    head = F.lit("---\n\nSESSION BACKGROUND (1 session contributed these insights):\n\n[Session: \"")
+    return F.concat(head, title, F.lit("\""), F.coalesce(kind, F.lit("")), F.lit("]\n"), summary, F.lit("\n\n"))
+
+
 def frontmatter(post: Column, key: str) -> Column:
     """A value of the head between `---` lines of a post; null without one."""
     head = F.regexp_extract(post, r"(?s)\A---\s*\n(.*?)\n---", 1)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,31 @@ def moment(at: datetime) -> Column:
     return F.lit(at.isoformat(" ")).cast("timestamp")
 
 
+def text_moment(text: str) -> datetime | None:
+    """The moment of the whole seconds that a text bound, `YYYY-MM-DD` and perhaps a time, begins with; null for days that don't exist."""
+    padded = text[:19] + "0000-01-01T00:00:00"[len(text[:19]) :]
+    try:
+        return datetime.fromisoformat(padded)
+    except ValueError:
+        return None
+
+
+def day_start(day: date, zone: str = "UTC") -> datetime:
+    """The UTC moment at which a day begins in a zone; where the clock skips midnight, its first moment."""
+    local = datetime(day.year, day.month, day.day, tzinfo=ZoneInfo(zone))
+    return local.astimezone(timezone.utc).replace(tzinfo=None)
+
+
+def local_day(ts: Column, zone: str = "UTC") -> Column:
+    """The day in a zone, daylight saving included."""
+    return F.to_date(F.from_utc_timestamp(ts, zone))
+
+
+def on_days(ts: Column, first: date, last: date, zone: str = "UTC") -> Column:
+    """From the first moment of a day to the last of another in a zone, as bounds of UTC that reach the scan."""
+    return (ts >= moment(day_start(first, zone))) & (ts < moment(day_start(last + timedelta(days=1), zone)))
+
+
 def iso_week(ts: Column) -> Column:
     """`2026-W01`: the year is the one that the week belongs to."""
     return F.concat(F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
@@ -43,18 +69,19 @@ def rolling_start(period: str, as_of: datetime) -> datetime | None:
     return as_of - timedelta(days=days) if days else None
 
 
-def midnight_start(period: str, as_of: datetime) -> datetime | None:
-    """Midnight so many days before as_of; `today` is today's midnight."""
+def midnight_start(period: str, as_of: datetime, zone: str = "UTC") -> datetime | None:
+    """Midnight in a zone so many days before as_of; `today` is today's midnight."""
     days = {"today": 0, **PERIOD_DAYS}.get(period)
-    return datetime(as_of.year, as_of.month, as_of.day) - timedelta(days=days) if days is not None else None
+    today = as_of.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(zone)).date()
+    return day_start(today - timedelta(days=days), zone) if days is not None else None
 
 
-def in_period(ts: Column, period: str, as_of: datetime, rolling: bool = True) -> Column:
-    """An ISO week is half open; other periods have only a start."""
+def in_period(ts: Column, period: str, as_of: datetime, rolling: bool = True, zone: str = "UTC") -> Column:
+    """An ISO week is half open; other periods have only a start. Weeks and midnights are those of a zone."""
     week = week_bounds(period)
     if week:
-        return (ts >= moment(week[0])) & (ts < moment(week[1]))
-    start = (rolling_start if rolling else midnight_start)(period, as_of)
+        return on_days(ts, week[0].date(), week[1].date() - timedelta(days=1), zone)
+    start = rolling_start(period, as_of) if rolling else midnight_start(period, as_of, zone)
     return F.lit(True) if start is None else ts >= moment(start)
 
 

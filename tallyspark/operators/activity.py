@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,7 +46,8 @@ def journal_weeks(insights: DataFrame) -> DataFrame:
 
 def week_inventory(sessions: DataFrame, facets: DataFrame, monday: str, weeks: int) -> DataFrame:
     """week, sessions and sessions with facets for the weeks up to one, empty weeks too."""
-    s = sessions.withColumn("week", times.iso_monday(F.col("started_at")))
+    last = date.fromisoformat(monday)
+    s = sessions.filter(times.on_days(F.col("started_at"), last - timedelta(days=7 * (weeks - 1)), last + timedelta(days=6))).withColumn("week", times.iso_monday(F.col("started_at")))
     analysed = s.join(facets.select(F.col("session_id").alias("id")).distinct(), "id", "left_semi")
     counts = s.groupBy("week").agg(F.count(F.lit(1)).alias("sessions"))
     with_facets = analysed.groupBy("week").agg(F.count(F.lit(1)).alias("analysed"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions import nested
+from tallyspark.operators import state
 from tallyspark.sources.transcripts import get, items, nonempty, text_of
 
 LEAST_CONFIDENCE, SUMMARY_CHARS, CHUNK_CHARS = 70, 200, 80_000 * 4
@@ -134,10 +135,20 @@ def chunks(transcripts: DataFrame, most_chars: int = CHUNK_CHARS) -> DataFrame:
     return transcripts.select("session_id", F.posexplode(dealt).alias("chunk", "text"))
 
 
+def type_rank(kind: Column) -> Column:
+    """Where a type of insight stands on a page; unknown types come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(x) for x in state.INSIGHT_TYPES]), kind), F.lit(0)), F.lit(len(state.INSIGHT_TYPES) + 1))
+
+
+def write_pages(pages: DataFrame, folder: str, name: str = "id") -> None:
+    """Pages (name, text) as text files, one below a folder of its own for each name: written by the tasks that hold them, nothing passes the driver."""
+    pages.select(F.col(name).alias("page"), F.col("text").alias("value")).repartition("page").sortWithinPartitions("page").write.option("lineSep", "").partitionBy("page").text(folder)
+
+
 def markdown(sessions: DataFrame, insights: DataFrame) -> DataFrame:
     """id and text: a session's page for a knowledge base, its insights by type and time. An exported session's insights meet in one row, as its page does."""
     line = F.concat(F.lit("### "), "title", F.lit("\n\n"), "content")
     grouped = insights.groupBy(F.col("session_id").alias("id"), "type").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp", F.col("id").alias("k"), line.alias("t")))), lambda x: x["t"]), "\n\n").alias("part"))
-    parts = grouped.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("type", "part"))), lambda x: F.concat(F.lit("## "), F.initcap(F.translate(x["type"], "_", " ")), F.lit("\n\n"), x["part"])), "\n\n").alias("body"))
+    parts = grouped.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(type_rank(F.col("type")).alias("rank"), "type", "part"))), lambda x: F.concat(F.lit("## "), F.initcap(F.translate(x["type"], "_", " ")), F.lit("\n\n"), x["part"])), "\n\n").alias("body"))
     head = F.concat(F.lit("# "), "title", F.lit("\n\n"), F.lit("Project: "), "project_name", F.lit("\nDate: "), F.date_format("started_at", "yyyy-MM-dd"))
     return sessions.join(parts, "id").select("id", F.concat(head, F.lit("\n\n"), "body", F.lit("\n")).alias("text"))

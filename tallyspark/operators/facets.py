@@ -122,6 +122,31 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
     return rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def bundle(facets: DataFrame) -> DataFrame:
+    """section, key, count, sessions, mean and example of all that a facets page shows, from one scan and one grouped aggregate.
+
+    Each session's row gives tags: a point of friction its category (or that of a rate limit) and its attribution, a
+    pattern of enough confidence its category and driver, a session its outcome and workflow. mean is the severity
+    of points and the confidence of patterns, example the first description.
+    """
+    array = lambda c: F.coalesce(F.try_variant_get(nested.variant(F.col(c)), "$", "array<variant>"), F.array().cast("array<variant>"))
+    text = nested.text_field
+    tag = lambda section, key, weight, said: F.struct(F.lit(section).alias("section"), key.alias("key"), weight.cast("double").alias("weight"), said.cast("string").alias("said"))
+    none = F.lit(None)
+    points = F.transform(F.filter(array("friction_points"), lambda e: F.trim(text(e, "$.category")) != ""), lambda e: F.array(tag("friction", text(e, "$.category"), severity(text(e, "$.severity")), text(e, "$.description")), tag("attribution", F.coalesce(text(e, "$.attribution"), F.lit("unattributed")), severity(text(e, "$.severity")), none)))
+    sure = lambda e: nested.number_field(e, "$.confidence")
+    kept = F.filter(array("effective_patterns"), lambda e: (F.trim(text(e, "$.category")) != "") & (sure(e) >= LEAST_CONFIDENCE))
+    patterns = F.transform(kept, lambda e: F.array(tag("pattern", text(e, "$.category"), sure(e), text(e, "$.description")), tag("driver", F.concat_ws("\x01", text(e, "$.category"), F.coalesce(text(e, "$.driver"), F.lit("unlabeled"))), sure(e), none)))
+    own = F.array(tag("outcome", F.col("outcome_satisfaction"), none, none), tag("workflow", F.col("workflow_pattern"), none, none), tag("sessions", F.lit("all"), none, none))
+    rows = facets.select("session_id", F.explode(F.concat(F.flatten(points), F.flatten(patterns), own)).alias("x")).select("session_id", "x.*").filter("key IS NOT NULL")
+    # raw categories are few, so they are counted by session first and named after
+    section, key = F.col("section"), F.col("key")
+    pattern, driver = F.substring_index(key, "\x01", 1), F.substring_index(key, "\x01", -1)
+    named = F.when(section == "friction", C.normalize_category(key, C.FRICTION)).when(section == "pattern", C.normalize_category(key, C.PATTERN)).when(section == "driver", F.concat_ws(":", C.normalize_category(pattern, C.PATTERN), driver)).otherwise(key)
+    rows = rows.withColumn("key", named).withColumn("section", F.when((section == "friction") & is_rate_limit(F.col("key")), "rate_limit").otherwise(section))
+    return rows.groupBy("section", "key").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("session_id").alias("sessions"), F.round(F.avg("weight"), 4).alias("mean"), F.min("said").alias("example"))
+
+
 def missing_facets(sessions: DataFrame, insights: DataFrame, facets: DataFrame) -> DataFrame:
     """Sessions that have insights and no facets."""
     analysed = sessions.select("id").join(insights.select(F.col("session_id").alias("id")), "id", "left_semi")

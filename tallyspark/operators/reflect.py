@@ -48,9 +48,14 @@ def store_snapshot(snapshots: DataFrame, new: DataFrame) -> DataFrame:
 def stale(facet_rows: DataFrame, sessions: DataFrame, snapshots: DataFrame) -> DataFrame:
     """period and stale: were facets of a session of the window extracted after the report was made? snapshots: period, window_start, window_end, generated_at."""
     rows = facet_rows.select(F.col("session_id").alias("id"), "extracted_at").join(sessions.filter("deleted_at IS NULL").select("id", "started_at"), "id")
+    # windows are told by the months they touch, so that the two sides meet by equal keys; a month's facets are few numbers by then
+    month = lambda c: F.date_trunc("month", c)
+    windows = snapshots.filter("window_start < window_end").withColumn("month", F.explode(F.sequence(month("window_start"), month("window_end"), F.expr("INTERVAL 1 MONTH"))))
+    by_second = rows.groupBy(month("started_at").alias("month"), "started_at").agg(F.max("extracted_at").alias("extracted_at"))
     inside = (F.col("started_at") >= F.col("window_start")) & (F.col("started_at") < F.col("window_end"))
-    latest = snapshots.join(rows, inside, "left").groupBy("period", "generated_at").agg(F.max("extracted_at").alias("latest"))
-    return latest.select("period", F.coalesce(F.col("latest") > F.col("generated_at"), F.lit(False)).alias("stale"))
+    latest = windows.join(by_second, "month").filter(inside).groupBy("period", "generated_at").agg(F.max("extracted_at").alias("latest"))
+    told = snapshots.select("period", "generated_at").distinct().join(latest, ["period", "generated_at"], "left")
+    return told.select("period", F.coalesce(F.col("latest") > F.col("generated_at"), F.lit(False)).alias("stale"))
 
 
 def _elements(text: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +21,11 @@ def live(sessions: DataFrame) -> DataFrame:
     return sessions.filter("deleted_at IS NULL")
 
 
-def scoped(sessions: DataFrame, period: str = "all", project: str | None = None, source: str | None = None, as_of: datetime | None = None, rolling: bool = True) -> DataFrame:
+def scoped(sessions: DataFrame, period: str = "all", project: str | None = None, source: str | None = None, as_of: datetime | None = None, rolling: bool = True, zone: str = "UTC") -> DataFrame:
     """Live sessions of a period, project and source: one conjunction of predicates that reaches the scan."""
     keep: Column = F.col("deleted_at").isNull()
     if as_of is not None:
-        keep = keep & times.in_period(F.col("started_at"), period, as_of, rolling)
+        keep = keep & times.in_period(F.col("started_at"), period, as_of, rolling, zone)
     if project:
         keep = keep & (F.col("project_id") == project)
     if source:
@@ -55,6 +55,20 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def from_text(ts: Column, bound: str) -> Column:
+    """Is a time, as text, at or after a text bound? A comparison of timestamps, so that it reaches the scan."""
+    at = times.text_moment(bound)
+    return iso_text(ts) >= bound if at is None else ts >= times.moment(at)
+
+
+def upto_text(ts: Column, bound: str) -> Column:
+    """Is a time, as text, at or before a text bound? A bound that is no whole text of a second leaves its last unit out."""
+    at = times.text_moment(bound)
+    if at is None:
+        return iso_text(ts) <= bound
+    return ts < times.moment(at + timedelta(seconds=1) if len(bound) == 20 and bound.endswith("Z") else at)
+
+
 def session_list(sessions: DataFrame, query: str | None = None, date_from: str | None = None, date_to: str | None = None, **scope) -> DataFrame:
     """Live sessions by text in any of four columns and by text bounds of the start: a bare end date leaves out its own day."""
     rows = scoped(sessions, **scope)
@@ -64,9 +78,9 @@ def session_list(sessions: DataFrame, query: str | None = None, date_from: str |
             found = found | F.coalesce(texts.like_literal(F.col(c), query), F.lit(False))
         rows = rows.filter(found)
     if date_from:
-        rows = rows.filter(iso_text(F.col("started_at")) >= check_date(date_from))
+        rows = rows.filter(from_text(F.col("started_at"), check_date(date_from)))
     if date_to:
-        rows = rows.filter(iso_text(F.col("started_at")) <= check_date(date_to))
+        rows = rows.filter(upto_text(F.col("started_at"), check_date(date_to)))
     return rows
 
 

@@ -6,7 +6,7 @@ old one and moves a pointer.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -271,10 +271,10 @@ def next_wake(queue: DataFrame) -> DataFrame:
 # --- campaigns ----------------------------------------------------------------------------------------------
 
 
-def campaign_items(sessions: DataFrame, messages: DataFrame, date_from: str, date_to: str) -> DataFrame:
-    """Live sessions with messages that start on the days of an inclusive range, numbered by time."""
+def campaign_items(sessions: DataFrame, messages: DataFrame, date_from: str, date_to: str, zone: str = "UTC") -> DataFrame:
+    """Live sessions with messages that start on the days of an inclusive range in a zone, numbered by time."""
     day = F.date_format("started_at", "yyyy-MM-dd")
-    rows = sessions.filter(F.col("deleted_at").isNull() & day.between(date_from, date_to)).join(messages.select(F.col("session_id").alias("id")), "id", "left_semi")
+    rows = sessions.filter(F.col("deleted_at").isNull() & times.on_days(F.col("started_at"), date.fromisoformat(date_from), date.fromisoformat(date_to), zone)).join(messages.select(F.col("session_id").alias("id")), "id", "left_semi")
     rows = rows.select("id", "started_at", day.alias("day"))
     # numbers within a day, and a row for each day to add those before it, so that no task orders all sessions
     before = F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

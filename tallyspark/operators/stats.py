@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -151,18 +152,27 @@ def peak(points: DataFrame) -> DataFrame:
     return points.orderBy(F.desc("cost"), "bucket").limit(1)
 
 
+def local_days(sessions: DataFrame, first: date, last: date, zone: str) -> DataFrame:
+    """day, sessions, cost and minutes of the days of a range in a zone, empty days too."""
+    rows = sessions.filter(times.on_days(F.col("started_at"), first, last, zone))
+    by = rows.groupBy(times.local_day(F.col("started_at"), zone).alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.round(total("estimated_cost_usd"), 4).alias("cost"), F.round(F.sum(times.minutes_between(F.col("started_at"), F.col("ended_at"))), 2).alias("minutes"))
+    days = sessions.sparkSession.range((last - first).days + 1).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("day"))
+    return days.join(by, "day", "left").select("day", F.coalesce("sessions", F.lit(0)).alias("sessions"), F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("minutes", F.lit(0.0)).alias("minutes"))
+
+
 def days_in_period(sessions: DataFrame) -> DataFrame:
     """Days that all sessions span, at least one."""
     span = (F.unix_micros(F.max("started_at")) - F.unix_micros(F.min("started_at"))) / 86_400_000_000
     return sessions.agg(F.greatest(F.lit(1), F.ceil(span) + 1).cast("long").alias("days"))
 
 
-def streak(sessions: DataFrame, as_of: datetime) -> DataFrame:
-    """Days in a row with sessions that end today or yesterday."""
-    days = sessions.select(F.to_date("started_at").alias("day")).filter(F.col("day") <= F.lit(as_of.date())).distinct()
+def streak(sessions: DataFrame, as_of: datetime, zone: str = "UTC") -> DataFrame:
+    """Days in a row in a zone with sessions that end today or yesterday."""
+    today = as_of.replace(tzinfo=timezone.utc).astimezone(ZoneInfo(zone)).date()
+    days = sessions.filter(F.col("started_at") < times.moment(times.day_start(today + timedelta(days=1), zone))).select(times.local_day(F.col("started_at"), zone).alias("day")).distinct()
     # one row for each day that has sessions, whatever the number of sessions
     numbered = days.withColumn("rank", F.row_number().over(W.orderBy(F.desc("day")))).withColumn("last", F.max("day").over(W.partitionBy()))
-    run = numbered.filter(F.col("day") == F.date_sub("last", F.col("rank") - 1)).filter(F.col("last") >= F.date_sub(F.lit(as_of.date()), 1))
+    run = numbered.filter(F.col("day") == F.date_sub("last", F.col("rank") - 1)).filter(F.col("last") >= F.date_sub(F.lit(today), 1))
     return run.agg(F.count(F.lit(1)).alias("streak"))
 
 

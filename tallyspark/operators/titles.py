@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import texts
@@ -47,9 +48,10 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
 
 def user_candidates(messages: DataFrame) -> DataFrame:
     """session_id and best, the first of a session's first user texts that makes a title."""
-    asked = messages.filter("type = 'user'").select("session_id", F.struct("timestamp", "position", candidate(trimmed(F.col("content"))).alias("c")).alias("m"))
-    three = asked.groupBy("session_id").agg(F.slice(F.array_sort(F.collect_list("m")), 1, FIRST_TEXTS).alias("ms"))
-    return three.select("session_id", F.get(F.filter("ms", lambda m: m["c"].isNotNull()), F.lit(0))["c"].alias("best"))
+    first = F.row_number().over(W.partitionBy("session_id").orderBy("timestamp", "position"))
+    asked = messages.filter("type = 'user'").select("session_id", "timestamp", "position", "content").withColumn("nth", first).filter(F.col("nth") <= FIRST_TEXTS)
+    rows = asked.select("session_id", "nth", candidate(trimmed(F.col("content"))).alias("c"))
+    return rows.groupBy("session_id").agg(F.min(F.when(F.col("c").isNotNull(), F.struct("nth", "c")))["c"].alias("best"))
 
 
 def primary_files(messages: DataFrame) -> DataFrame:
@@ -61,12 +63,12 @@ def primary_files(messages: DataFrame) -> DataFrame:
 
 
 def subjects(messages: DataFrame) -> DataFrame:
-    """session_id, topic and bug that the user texts name. A session's user texts meet in one row, as its prompt does."""
-    asked = messages.filter("type = 'user'").select("session_id", F.struct("timestamp", "position", "content").alias("m"))
-    by = asked.groupBy("session_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    whole = F.lower(F.array_join(F.transform("ms", lambda m: m["content"]), " "))
-    bug = F.get(F.filter("ms", lambda m: m["content"].rlike(BUG)), F.lit(0))["content"]
-    return by.select("session_id", first_match(whole, TOPICS).alias("topic"), first_match(bug, (BUG,)).alias("bug"))
+    """session_id, topic and bug that the user texts name: of each pattern the first text that has it, so no session's texts are gathered."""
+    at = F.struct("timestamp", "position")
+    named = {f"topic{k}": first_match(F.lower("content"), (p,)) for k, p in enumerate(TOPICS)} | {"bug": first_match(F.col("content"), (BUG,))}
+    rows = messages.filter("type = 'user'").select("session_id", "timestamp", "position", *[v.alias(n) for n, v in named.items()])
+    by = rows.groupBy("session_id").agg(*[F.min(F.when(F.col(n).isNotNull(), F.struct(at.alias("at"), n)))[n].alias(n) for n in named])
+    return by.select("session_id", F.coalesce(*[f"topic{k}" for k in range(len(TOPICS))]).alias("topic"), "bug")
 
 
 def generated_titles(sessions: DataFrame, messages: DataFrame) -> DataFrame:

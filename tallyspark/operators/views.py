@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import formats, markup, nested, texts
+from tallyspark.operators import scope
 
 EXPORTED, PROMPT_MESSAGES, BACKGROUNDS = 100, 500, 4
 
@@ -45,9 +46,8 @@ def filter_sessions(sessions: DataFrame, outcomes: DataFrame, analysed: DataFram
     if query:
         title = texts.display_title(F.col("custom_title"), F.col("generated_title"), F.col("summary"), blanks_count=False)
         rows = rows.filter(F.lower(title).contains(query.lower()) | F.lower("project_name").contains(query.lower()))
-    start = F.date_format("started_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    for bound, keep in zip(bounds, (lambda b: start >= b, lambda b: start <= b)):
-        rows = rows.filter(keep(bound)) if bound else rows
+    for bound, keep in zip(bounds, (scope.from_text, scope.upto_text)):
+        rows = rows.filter(keep(F.col("started_at"), bound)) if bound else rows
     if outcome:
         rows = rows.join(outcomes.select(F.col("session_id").alias("id"), "outcome"), "id", "left").filter(F.col("outcome").isNull() | (F.col("outcome") == outcome)).drop("outcome")
     return rows
@@ -69,8 +69,9 @@ def latest_session(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("started_at"), "id").limit(1)
 
 
-def exists(rows: DataFrame, condition: Column) -> bool:
-    return not rows.filter(condition).limit(1).isEmpty()
+def present(rows: DataFrame, condition: Column) -> DataFrame:
+    """One row, whether any of rows meets a condition; the scan ends at the first that does."""
+    return rows.filter(condition).limit(1).agg((F.count(F.lit(1)) > 0).alias("present"))
 
 
 def primary_session(insights: DataFrame, sessions: DataFrame, least: int = 2) -> DataFrame:
@@ -126,12 +127,17 @@ def dispatch_prefill(sessions: DataFrame, facets: DataFrame) -> DataFrame:
     return sessions.join(facets.select(F.col("session_id").alias("id"), "effective_patterns", "friction_points"), "id").select("id", title.alias("title"), context.alias("context"))
 
 
-def dispatch_context(insights: DataFrame) -> DataFrame:
-    """session_id and text: a session's insights as numbered blocks. They meet in one row, as a prompt's do."""
+def dispatch_context(insights: DataFrame, context: str, backgrounds: DataFrame | None = None) -> DataFrame:
+    """session_id and text: what the author says, the background of the session, if it has one (id, title, session_character, summary), and its insights as numbered blocks. They meet in one row, as a prompt's do."""
     m = F.struct("timestamp", "id", "type", "summary", "content", "bullets").alias("m")
     by = insights.select("session_id", m).groupBy("session_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    blocks = F.transform("ms", lambda x, k: markup.insight_block(k + 1, x["type"], x["summary"], x["content"], x["bullets"]))
-    return by.select("session_id", F.array_join(blocks, "\n\n").alias("text"))
+    blocks = F.array_join(F.transform("ms", lambda x, k: markup.insight_block(k + 1, x["type"], x["summary"], x["content"], x["bullets"])), "\n\n")
+    told = F.lit(None).cast("string")
+    if backgrounds is not None:
+        by = by.join(backgrounds.select(F.col("id").alias("session_id"), "title", "session_character", F.col("summary").alias("background")), "session_id", "left")
+        told = markup.background_block(F.col("title"), F.col("session_character"), F.col("background"))
+    count = F.concat(F.lit("---\n\nINSIGHTS ("), F.size("ms").cast("string"), F.lit(" selected by author):\n\n"))
+    return by.select("session_id", F.concat(F.lit(f"Context from the author:\n{context}\n\n"), F.coalesce(told, F.lit("")), count, blocks).alias("text"))
 
 
 def merged_ids(a: Column, b: Column) -> Column:

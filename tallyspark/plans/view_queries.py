@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions import categories, costs, formats, markup, nested, texts
-from tallyspark.operators import facets, reflect, scope, state, titles, views
+from tallyspark.functions import categories, costs, formats, markup, nested, texts, times
+from tallyspark.operators import activity, facets, reflect, scope, state, stats, titles, views
 from tallyspark.plans import adapters
-from tallyspark.plans.queries import ORDERS_NOW, Tables, query, sql_category, sql_time, when_text
+from tallyspark.plans.queries import EVENTS_NOW, ORDERS_NOW, Tables, query, sql_category, sql_time, when_text
 
 TODAY = date(2024, 3, 1)
 
@@ -167,13 +167,14 @@ def exported_insights(t: Tables) -> DataFrame:
 @query("session_pages", "sessions live insights", """+
 parts AS (SELECT session_id, type, '## ' || upper(left(replace(type, '_', ' '), 1)) || substring(replace(type, '_', ' '), 2) AS head, string_agg('### ' || title || chr(10) || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY insights.timestamp, id) AS part
   FROM insights WHERE title IS NOT NULL AND content IS NOT NULL GROUP BY 1, 2)
-SELECT live.id, length(string_agg(CASE type WHEN 'prompt_quality' THEN '## Prompt Quality' ELSE head END || chr(10) || chr(10) || part, chr(10) || chr(10) ORDER BY type)) + length('# ' || project_name) + length('Project: ' || project_name) + 22 AS chars
-FROM live JOIN parts ON session_id = live.id GROUP BY live.id, project_name""")
+SELECT live.id, '# ' || project_name || chr(10) || chr(10) || 'Project: ' || project_name || chr(10) || 'Date: ' || strftime(live.started_at, '%Y-%m-%d') || chr(10) || chr(10)
+  || string_agg(CASE type WHEN 'prompt_quality' THEN '## Prompt Quality' ELSE head END || chr(10) || chr(10) || part, chr(10) || chr(10) ORDER BY list_position(['summary', 'decision', 'learning', 'technique', 'prompt_quality'], type)) || chr(10) AS text
+FROM live JOIN parts ON session_id = live.id GROUP BY live.id, project_name, live.started_at""")
 def session_pages(t: Tables) -> DataFrame:
     from tallyspark.operators import analysis
 
     named = t.live.withColumn("title", F.col("project_name"))
-    return analysis.markdown(named, t.insights).select("id", F.length("text").cast("long").alias("chars"))
+    return analysis.markdown(named, t.insights).select("id", "text")
 
 
 @query("dispatch_prefill", "sessions live facets", """+
@@ -184,12 +185,16 @@ def dispatch_prefill(t: Tables) -> DataFrame:
     return views.dispatch_prefill(t.live, t.facets)
 
 
-@query("dispatch_context", "insights", """
-SELECT session_id, string_agg('[' || upper(replace(type, '_', ' ')) || ' ' || r || ']' || chr(10) || 'Summary: ' || title || chr(10) || content || CASE WHEN len(string_split(content, ' ')) < 40 THEN chr(10) || '- one' || chr(10) || '- two' ELSE '' END, chr(10) || chr(10) ORDER BY r) AS text
-FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY insights.timestamp, id) AS r FROM insights WHERE content IS NOT NULL) GROUP BY 1""")
+@query("dispatch_context", "sessions live insights", """+
+blocks AS (SELECT session_id, count(*) AS n, string_agg('[' || CASE type WHEN 'learning' THEN 'LEARNING' WHEN 'decision' THEN 'DECISION' WHEN 'technique' THEN 'TECHNIQUE' WHEN 'summary' THEN 'SUMMARY' WHEN 'prompt_quality' THEN 'OBSERVATION' ELSE upper(replace(type, '_', ' ')) END || ' ' || r || ']' || chr(10) || 'Summary: ' || title || chr(10) || content || CASE WHEN len(string_split(content, ' ')) < 40 THEN chr(10) || '- one' || chr(10) || '- two' ELSE '' END, chr(10) || chr(10) ORDER BY r) AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY insights.timestamp, id) AS r FROM insights WHERE content IS NOT NULL) GROUP BY 1)
+SELECT session_id, 'Context from the author:' || chr(10) || 'for friends' || chr(10) || chr(10) || CASE WHEN id IS NOT NULL THEN '---' || chr(10) || chr(10) || 'SESSION BACKGROUND (1 session contributed these insights):' || chr(10) || chr(10)
+  || '[Session: "' || coalesce(custom_title, generated_title, 'Untitled') || '" (' || session_character || ')]' || chr(10) || summary || chr(10) || chr(10) ELSE '' END || '---' || chr(10) || chr(10) || 'INSIGHTS (' || n || ' selected by author):' || chr(10) || chr(10) || text AS text
+FROM blocks LEFT JOIN (SELECT * FROM live WHERE summary <> '') ON id = session_id""")
 def dispatch_context(t: Tables) -> DataFrame:
     rows = t.insights.filter("content IS NOT NULL").withColumn("summary", F.col("title")).withColumn("bullets", F.array(F.lit("one"), F.lit("two")))
-    return views.dispatch_context(rows)
+    told = t.live.filter("summary <> ''").withColumn("title", F.coalesce("custom_title", "generated_title", F.lit("Untitled")))
+    return views.dispatch_context(rows, "for friends", told)
 
 
 @query("backfill_ids", "sessions live insights facets", """
@@ -263,8 +268,7 @@ def credential_metadata(t: Tables) -> DataFrame:
 
 @query("request_tokens", "messages", "SELECT session_id, CAST(10 + sum(4 + ceil(length(content) / 4.0)) AS BIGINT) AS tokens FROM messages GROUP BY 1")
 def request_tokens(t: Tables) -> DataFrame:
-    by = t.messages.groupBy("session_id").agg(F.collect_list("content").alias("c"))
-    return by.select("session_id", formats.request_tokens(F.col("c"), 10, 4).alias("tokens"))
+    return t.messages.groupBy("session_id").agg(formats.request_tokens(F.col("content"), 10, 4).alias("tokens"))
 
 
 @query("friendly_models", "sessions", """
@@ -333,10 +337,15 @@ def stale_snapshots(t: Tables) -> DataFrame:
     return reflect.stale(t.facets, adapters.events(t.spark, t.sf_dir), _weeks(t))
 
 
-@query("stored_snapshots", "", "SELECT * FROM (VALUES ('w0', 'all', 'all', 9), ('w1', 'all', 'all', 2), ('w2', 'p', 'all', 7)) v(period, project_id, source_scope, facets)")
+@query("stored_snapshots", "sessions live", """
+SELECT period, project_id, source_scope, CAST(coalesce(new_sessions, old_sessions) AS BIGINT) AS sessions, new_sessions IS NOT NULL AS replaced FROM (
+  SELECT strftime(started_at, '%G-W%V') AS period, project_id, source_tool AS source_scope, count(*) FILTER (CAST(id AS BIGINT) % 2 = 0) AS old_n, nullif(count(*) FILTER (CAST(id AS BIGINT) % 3 = 0), 0) AS new_sessions, nullif(old_n, 0) AS old_sessions
+  FROM live GROUP BY 1, 2, 3) WHERE coalesce(new_sessions, old_sessions) IS NOT NULL""")
 def stored_snapshots(t: Tables) -> DataFrame:
-    make = lambda rows: t.spark.createDataFrame(rows, "period string, project_id string, source_scope string, facets int")
-    return reflect.store_snapshot(make([("w0", "all", "all", 1), ("w1", "all", "all", 2)]), make([("w0", "all", "all", 9), ("w2", "p", "all", 7)]))
+    """Reports by week, project and tool, made from half of the sessions, and newer ones from a third."""
+    key = F.col("id").cast("long")
+    made = lambda n, new: t.live.filter(key % n == 0).groupBy(times.iso_week(F.col("started_at")).alias("period"), "project_id", F.col("source_tool").alias("source_scope")).agg(F.count(F.lit(1)).alias("sessions")).withColumn("replaced", F.lit(new))
+    return reflect.store_snapshot(made(2, False), made(3, True))
 
 
 @query("written_facets", "facets", f"""
@@ -411,8 +420,76 @@ def truncated_fields(t: Tables) -> DataFrame:
     return rows.select("id", F.length("thinking").cast("long").alias("thinking"), F.length(F.col("tool_results")[0]["output"]).cast("long").alias("output"))
 
 
-@query("navigable_weeks", "", """
-SELECT week FROM (SELECT 'w' || (k % 5) AS week, sum(CASE WHEN k % 5 < 3 THEN 1 ELSE 0 END) AS n FROM range(10) r(k) GROUP BY 1) WHERE n > 0 OR week = 'w4'""")
+@query("navigable_weeks", "events", """
+SELECT strftime(d, '%G-W%V') AS week FROM generate_series(TIMESTAMP '2024-02-26' - INTERVAL 133 DAY, TIMESTAMP '2024-02-26', INTERVAL 7 DAY) g(d)
+WHERE d = TIMESTAMP '2024-02-26' OR d IN (SELECT date_trunc('week', started_at) FROM ev)""")
 def navigable_weeks(t: Tables) -> DataFrame:
-    weeks = t.spark.range(10).groupBy(F.concat(F.lit("w"), F.col("id") % 5).alias("week")).agg(F.sum(F.when(F.col("id") % 5 < 3, 1).otherwise(0)).alias("sessions"))
-    return scope.navigable_weeks(weeks, "w4").select("week")
+    weeks = activity.week_inventory(t.events, t.facets, "2024-02-26", 20)
+    return scope.navigable_weeks(weeks, "2024-W09").select("week")
+
+
+@query("presence", "sessions queue", """
+SELECT 'deleted' AS "check", EXISTS (SELECT 1 FROM sessions WHERE deleted_at IS NOT NULL) AS present UNION ALL SELECT 'no_start', EXISTS (SELECT 1 FROM sessions WHERE started_at IS NULL)
+UNION ALL SELECT 'failed', EXISTS (SELECT 1 FROM queue WHERE status = 'failed') UNION ALL SELECT 'lost', EXISTS (SELECT 1 FROM queue WHERE status = 'lost')""")
+def presence(t: Tables) -> DataFrame:
+    asked = {"deleted": (t.sessions, F.col("deleted_at").isNotNull()), "no_start": (t.sessions, F.col("started_at").isNull()), "failed": (t.queue, F.col("status") == "failed"), "lost": (t.queue, F.col("status") == "lost")}
+    found = [views.present(*x).select(F.lit(n).alias("check"), "present") for n, x in asked.items()]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+#: A year and some with both changes of the clock: in Berlin it is UTC + 2 from 1997-03-30 to 1997-10-26, at one o'clock UTC.
+_BERLIN = "s + CASE WHEN s >= TIMESTAMP '1997-03-30 01:00:00' AND s < TIMESTAMP '1997-10-26 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END"
+#: Sessions start through the hours of their day.
+_CLOCK = "started_at::TIMESTAMP + to_minutes(CAST(CAST(id AS BIGINT) * 7 % 1440 AS BIGINT))"
+
+
+def _through_the_day(t: Tables) -> DataFrame:
+    minutes = F.make_dt_interval(mins=F.pmod(F.col("id").cast("long") * 7, F.lit(1440)).cast("int"))
+    return t.live.withColumn("started_at", F.col("started_at") + minutes).withColumn("ended_at", F.greatest("ended_at", F.col("started_at")))
+
+
+@query("local_days", "sessions live", f"""+
+told AS (SELECT *, {_CLOCK} AS s FROM live),
+berlin AS (SELECT ({_BERLIN})::DATE AS d, count(*) AS n, sum(estimated_cost_usd) AS cost, sum(epoch(greatest(ended_at::TIMESTAMP, s) - s) / 60) AS minutes FROM told GROUP BY 1)
+SELECT g.d::DATE AS day, coalesce(n, 0) AS sessions, round(coalesce(cost, 0), 4) AS cost, round(coalesce(minutes, 0), 2) AS minutes FROM generate_series(TIMESTAMP '1997-01-15', TIMESTAMP '1998-01-15', INTERVAL 1 DAY) g(d) LEFT JOIN berlin ON berlin.d = g.d::DATE""")
+def local_days(t: Tables) -> DataFrame:
+    return stats.local_days(_through_the_day(t), date(1997, 1, 15), date(1998, 1, 15), "Europe/Berlin")
+
+
+@query("local_campaign", "sessions live messages", f"""+
+told AS (SELECT *, {_CLOCK} AS s FROM live)
+SELECT id, row_number() OVER (ORDER BY s, id) - 1 AS ordinal FROM told WHERE ({_BERLIN})::DATE BETWEEN DATE '1997-03-30' AND DATE '1997-10-26' AND id IN (SELECT session_id FROM messages)""")
+def local_campaign(t: Tables) -> DataFrame:
+    """Campaign items of the days between two changes of the clock."""
+    return state.campaign_items(_through_the_day(t), t.messages, "1997-03-30", "1997-10-26", "Europe/Berlin").select("id", "ordinal")
+
+
+@query("local_today", "sessions live", f"""+
+told AS (SELECT *, {_CLOCK} AS s FROM live)
+SELECT id, {sql_time("s", "started_at")} FROM told WHERE s >= TIMESTAMP '1997-10-24 22:00:00'""")
+def local_today(t: Tables) -> DataFrame:
+    """A day that is 25 hours long: the period starts at a midnight of summer time, two hours before that of UTC."""
+    return scope.scoped(_through_the_day(t), "today", as_of=datetime(1997, 10, 25, 12), rolling=False, zone="Europe/Berlin").select("id", when_text("started_at"))
+
+
+@query("local_streak", "events", """+
+days AS (SELECT DISTINCT (started_at::TIMESTAMP + INTERVAL 9 HOUR)::DATE AS d FROM ev WHERE started_at < TIMESTAMP '2024-01-30 15:00:00'),
+numbered AS (SELECT d, row_number() OVER (ORDER BY d DESC) AS r, max(d) OVER () AS last FROM days)
+SELECT count(*) AS streak FROM numbered WHERE d = last - CAST(r - 1 AS INTEGER) AND last >= DATE '2024-01-29'""")
+def local_streak(t: Tables) -> DataFrame:
+    return stats.streak(t.events, EVENTS_NOW, "Asia/Tokyo")
+
+
+_SEVERITY = "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"
+
+
+@query("facet_bundle", "facets", f"""+
+f AS (SELECT session_id, {sql_category("category", categories.FRICTION)} AS c, coalesce(attribution, 'unattributed') AS a, {_SEVERITY} AS s, description FROM friction WHERE trim(category) <> ''),
+p AS (SELECT session_id, {sql_category("category", categories.PATTERN)} AS c, coalesce(driver, 'unlabeled') AS a, confidence AS s, description FROM patterns WHERE confidence >= 50 AND trim(category) <> ''),
+tagged AS (
+  SELECT 'friction' AS section, c AS key, session_id, s, description FROM f WHERE NOT regexp_matches(c, '(?i)rate.?limit|throttl') UNION ALL SELECT 'rate_limit', c, session_id, s, description FROM f WHERE regexp_matches(c, '(?i)rate.?limit|throttl')
+  UNION ALL SELECT 'attribution', a, session_id, s, NULL FROM f UNION ALL SELECT 'pattern', c, session_id, s, description FROM p UNION ALL SELECT 'driver', c || ':' || a, session_id, s, NULL FROM p
+  UNION ALL SELECT 'outcome', outcome_satisfaction, session_id, NULL, NULL FROM facets UNION ALL SELECT 'workflow', workflow_pattern, session_id, NULL, NULL FROM facets WHERE workflow_pattern IS NOT NULL UNION ALL SELECT 'sessions', 'all', session_id, NULL, NULL FROM facets)
+SELECT section, key, count(*) AS count, count(DISTINCT session_id) AS sessions, round(avg(s), 4) AS mean, min(description) AS example FROM tagged GROUP BY ALL""")
+def facet_bundle(t: Tables) -> DataFrame:
+    return facets.bundle(t.facets)
