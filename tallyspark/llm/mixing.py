@@ -13,7 +13,8 @@ there and the excess is shared by weight among the others, until none is above.
 sources in the order of cap / weight, those before the level get their cap, the rest weight times the level.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows of equal
-doc_id and size are interchangeable (mixed_documents() decides each by itself); an empty table gives an empty result; other columns are ignored.
+doc_id and size are interchangeable (mixed_documents() decides each by itself), and many rows of one id, or
+without one, are spread over the key space by their numbers; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,16 +58,30 @@ def source_targets(rows: DataFrame, weights: Sequence[float], max_epochs: int) -
     return per.select("source", "n_rows", "source_size", F.coalesce(F.least(F.col("cap"), F.col("final") * F.col("weight")), F.col("cap")).alias("target"))
 
 
+def spread(sized: DataFrame, seed: str) -> DataFrame:
+    """sized (doc_id, row_, ...) with key, the hash of the id; rows without id, or of one that more rows have than belong in a range, are spread by their own numbers."""
+    rows = sized.count()
+    bound = max(RANGE_ROWS, rows // 10_000)  # so that fewer than 10,000 ids are broadcast
+    hot = sized.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter(F.col("count") > bound).select("doc_id", F.lit(True).alias("hot_"))
+    hot = materialize(hot, "mix-hot-ids")
+    own = hash_key(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("row_").cast("string")), seed)
+    if not hot.isEmpty():
+        sized = sized.join(F.broadcast(hot), "doc_id", "left")
+        return sized.withColumn("key", F.when(F.col("doc_id").isNull() | F.col("hot_"), own).otherwise(hash_key(F.col("doc_id"), seed))).drop("hot_")
+    return sized.withColumn("key", F.when(F.col("doc_id").isNull(), own).otherwise(hash_key(F.col("doc_id"), seed)))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int = 3, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each row of docs (doc_id, text, source), and the columns of carry.
 
     taken: words that the mix takes, repeats counted; copies: whole copies for a mix of whole documents.
     """
     sized = docs.select("doc_id", *carry, F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size"))
-    sized = materialize(sized, "mix-sizes")
+    # the row's number, as written, tells rows of equal ids apart
+    sized = materialize(sized.withColumn("row_", F.monotonically_increasing_id()), "mix-sizes")
     sources = materialize(source_targets(sized, weights, max_epochs), "mix-sources")
     same = sized["source"].eqNullSafe(sources["source"])
-    rows = sized.join(sources, same).select("doc_id", *carry, sized["source"].alias("source"), "size", "n_rows", "source_size", "target", hash_key(F.col("doc_id"), seed).alias("key"))
+    rows = spread(sized, seed).join(sources, same).select("doc_id", *carry, sized["source"].alias("source"), "size", "row_", "n_rows", "source_size", "target", "key")
     ranges = F.ceil(F.col("n_rows") / RANGE_ROWS)
     rows = rows.withColumn("range", F.floor(F.col("key") * ranges / F.lit(float(1 << 32))))
     totals = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -77,7 +92,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_epochs: int =
     within = F.coalesce(F.sum("range_size").over(W.partitionBy("source", "block").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = totals.withColumn("within", within).join(blocks, totals["source"].eqNullSafe(F.col("b_source")) & (F.col("block") == F.col("b_block")))
     offsets = offsets.select(F.col("source").alias("o_source"), F.col("range").alias("o_range"), (F.col("within") + F.col("block_offset")).alias("offset"))
-    inner = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "range").orderBy("key", "doc_id", "size", *carry, "row_").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(offsets, rows["source"].eqNullSafe(F.col("o_source")) & (rows["range"] == F.col("o_range")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)

@@ -241,6 +241,18 @@ def test_mix_of_a_hot_source_and_odd_rows(spark, odd, none, monkeypatch):
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_of_many_rows_without_ids(spark, monkeypatch):
+    """10,000 rows without id, and as many of one id, lie in many ranges; targets are met."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 500)
+    rows = [(None, "w w", "a")] * 10_000 + [(7, "w w w", "b")] * 10_000 + [(k, "w", "c") for k in range(100, 3_100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sized = common.materialize(docs.select("doc_id").withColumn("row_", F.monotonically_increasing_id()), "sizes")
+    keys = mixing.spread(sized, "mix").groupBy("doc_id").agg(F.count_distinct("key").alias("keys")).filter("doc_id IS NULL OR doc_id = 7").collect()
+    assert len(keys) == 2 and all(r["keys"] > 9_900 for r in keys)
+    got = mixing.mix(docs).agg(F.count(F.lit(1)).alias("n"), F.sum("taken").alias("taken"), F.min("taken").alias("least")).first()
+    assert got["n"] == len(rows) and abs(got["taken"] - (20_000 + 30_000 + 3_000)) <= 3 and got["least"] >= 0
+
+
 # --- quality rules ------------------------------------------------------------------------------------------
 
 
