@@ -102,6 +102,10 @@ def labelled_messages(messages: DataFrame) -> DataFrame:
     return rows.withColumn("label", label)
 
 
+#: Characters of thinking and of a tool's output in a prompt.
+PROMPT_THINKING, PROMPT_OUTPUT = 1_000, 500
+
+
 def hour_breaks(messages: DataFrame) -> DataFrame:
     """Where the author or the hour changes within a session."""
     order = W.partitionBy("session_id").orderBy("timestamp", "position")
@@ -111,9 +115,17 @@ def hour_breaks(messages: DataFrame) -> DataFrame:
 
 
 def transcript(messages: DataFrame) -> DataFrame:
-    """session_id and text: the labelled messages in order. A session's messages meet in one row, as its prompt does."""
+    """session_id and text: the labelled messages in order, with thinking, the names of tools and their outputs where there are such columns, each cut. A session's messages meet in one row, as its prompt does."""
     rows = labelled_messages(messages)
-    part = F.concat(F.lit("### "), F.col("label"), F.lit(":\n"), F.col("content"))
+    note = lambda head, text: F.when(text != "", F.concat(F.lit(f"\n[{head}: "), text, F.lit("]")))
+    said = [F.lit("### "), F.col("label"), F.lit(":\n"), F.col("content")]
+    if "thinking" in messages.columns:
+        said.append(F.coalesce(note("Thinking", F.left("thinking", F.lit(PROMPT_THINKING))), F.lit("")))
+    for head, column, text in (("Tools used", "tool_calls", lambda x: F.coalesce(F.nullif(x["name"], F.lit("")), F.lit("unknown"))), ("Tool results", "tool_results", lambda x: F.left(F.coalesce(x["output"], F.lit("")), F.lit(PROMPT_OUTPUT)))):
+        if column in messages.columns:
+            listed = F.array_join(F.transform(column, text), ", " if column == "tool_calls" else " | ")
+            said.append(F.when(F.size(column) > 0, F.concat(F.lit(f"\n[{head}: "), listed, F.lit("]"))).otherwise(""))
+    part = F.concat(*said)
     return rows.groupBy("session_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp", "position", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("text"))
 
 

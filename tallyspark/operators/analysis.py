@@ -142,7 +142,7 @@ def type_rank(kind: Column) -> Column:
 
 def write_pages(pages: DataFrame, folder: str, name: str = "id") -> None:
     """Pages (name, text) as text files, one below a folder of its own for each name: written by the tasks that hold them, nothing passes the driver."""
-    pages.select(F.col(name).alias("page"), F.col("text").alias("value")).repartition("page").sortWithinPartitions("page").write.option("lineSep", "").partitionBy("page").text(folder)
+    pages.select(F.col(name).alias("page"), F.regexp_replace("text", "\n$", "").alias("value")).repartition("page").sortWithinPartitions("page").write.partitionBy("page").text(folder)
 
 
 def markdown(sessions: DataFrame, insights: DataFrame) -> DataFrame:

@@ -80,6 +80,16 @@ def primary_session(insights: DataFrame, sessions: DataFrame, least: int = 2) ->
     return sessions.join(many, "id").orderBy(F.desc("started_at"), "id").limit(1)
 
 
+def deleted_counts(sessions: DataFrame) -> DataFrame:
+    """project_id and deleted: how many sessions of a project are hidden."""
+    return sessions.filter("deleted_at IS NOT NULL").groupBy("project_id").agg(F.count(F.lit(1)).alias("deleted"))
+
+
+def message_page(messages: DataFrame, session_id: str, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of a session's messages in order."""
+    return messages.filter(F.col("session_id") == session_id).orderBy("timestamp", "position").offset(offset).limit(limit)
+
+
 def matching_messages(messages: DataFrame, query: str) -> DataFrame:
     """Ids of messages with the text."""
     return messages.filter(F.lower("content").contains(query.lower())).select("id")

@@ -572,9 +572,13 @@ classed AS (SELECT id, session_id, timestamp, position, type, content, {_CLASS}
 labelled AS (SELECT *, CASE WHEN class = 'human' THEN 'User#' || (count(*) FILTER (class = 'human') OVER so_far - 1) WHEN type = 'assistant' THEN 'Assistant#' || (count(*) FILTER (type = 'assistant') OVER so_far - 1)
   WHEN class = 'tool-result' THEN '[tool-result]' WHEN class = 'auto-compact' THEN '[auto-compact]' WHEN type = 'user' THEN '[system]' ELSE 'System' END AS label
 FROM classed WINDOW so_far AS (PARTITION BY session_id ORDER BY timestamp, position ROWS UNBOUNDED PRECEDING))
-SELECT session_id, string_agg('### ' || label || ':' || chr(10) || content, chr(10) || chr(10) ORDER BY timestamp, position) AS text FROM labelled GROUP BY 1""")
+SELECT session_id, string_agg('### ' || label || ':' || chr(10) || content || CASE WHEN type = 'assistant' AND content <> '' THEN chr(10) || '[Thinking: ' || left(repeat(content, 5), 1000) || ']' ELSE '' END
+  || coalesce(chr(10) || '[Tools used: ' || CASE k % 6 WHEN 1 THEN 'Write' WHEN 2 THEN 'Read, Grep' WHEN 3 THEN CASE WHEN position < 2 THEN 'Edit' END WHEN 4 THEN 'Edit, Edit, Edit, Edit' WHEN 5 THEN CASE WHEN position = 0 THEN 'Edit' END END || ']', '')
+  || CASE WHEN position % 2 = 1 THEN chr(10) || '[Tool results: ' || left(content || content, 500) || ' | ]' ELSE '' END, chr(10) || chr(10) ORDER BY timestamp, position) AS text FROM (SELECT *, CAST(session_id AS BIGINT) AS k FROM labelled) GROUP BY 1""")
 def transcripts(t: Tables) -> DataFrame:
-    return activity.transcript(t.messages)
+    out = lambda text: F.struct(F.lit("c").alias("id"), text.alias("output"))
+    results = F.when(F.col("position") % 2 == 1, F.array(out(F.concat("content", "content")), out(F.lit(None).cast("string")))).otherwise(F.array().cast("array<struct<id:string,output:string>>"))
+    return activity.transcript(t.messages.withColumn("thinking", F.when(F.col("type") == "assistant", F.repeat("content", 5))).withColumn("tool_results", results))
 
 
 @query("language_votes", "messages", rf"""

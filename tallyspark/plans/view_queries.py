@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import categories, costs, formats, markup, nested, texts, times
 from tallyspark.operators import activity, facets, reflect, scope, state, stats, titles, views
 from tallyspark.plans import adapters
+from tallyspark.streaming import publishing
 from tallyspark.plans.queries import EVENTS_NOW, ORDERS_NOW, Tables, query, sql_category, sql_time, when_text
 
 TODAY = date(2024, 3, 1)
@@ -293,6 +294,50 @@ def post_parts(t: Tables) -> DataFrame:
     return adapters.table(t.spark, t.sf_dir, "documents").select(d.alias("id"), markup.frontmatter(post, "title").alias("title"), F.array_join(markup.hashtags(post), ",").alias("tags"), F.split(markup.without_preamble(said), "\n")[0].alias("first"))
 
 
+
+
+@query("parsed_posts", "", rf"""
+WITH posts AS (
+  SELECT doc_id, doc_id % 6 AS k, replace(coalesce(text, ''), '---', '') AS t, CASE WHEN doc_id % 6 = 1 THEN '# Heading ' || doc_id || chr(10) ELSE '' END || CASE WHEN doc_id % 6 IN (1, 2) THEN '' ELSE '---' || chr(10) || 'title: "A \"' || doc_id || '\" post"' || chr(10)
+    || CASE WHEN doc_id % 6 = 3 THEN '' ELSE 'tldr: short: ' || doc_id || chr(10) END || 'tags: [''a'', "b' || doc_id || '" , c]' || chr(10) || '---' || chr(10) END || replace(coalesce(text, ''), '---', '') AS p FROM documents),
+read AS (SELECT *, k IN (0, 4, 5) AS fine, regexp_replace(t, '^\s+|\s+$', '', 'g') AS body FROM posts)
+SELECT CAST(doc_id AS VARCHAR) AS id, NOT fine AS degraded, CASE WHEN fine THEN 'A "' || doc_id || '" post' WHEN regexp_matches(p, '(?m)^#+\s+(.+)$') THEN regexp_extract(p, '(?m)^#+\s+(.+)$', 1) ELSE 'Untitled' END AS title, CASE WHEN fine THEN 'short: ' || doc_id ELSE '' END AS tldr,
+  CASE WHEN fine THEN 'a,b' || doc_id || ',c' ELSE '' END AS tags, sha256(CASE WHEN fine THEN body ELSE p END) AS body_sha256, CASE k WHEN 1 THEN 'missing-frontmatter' WHEN 2 THEN 'missing-frontmatter' WHEN 3 THEN 'malformed-frontmatter' END AS error FROM read""")
+def parsed_posts(t: Tables) -> DataFrame:
+    """Posts made of the table's texts: whole ones, and some without a head or without one of its lines."""
+    d, k = F.col("doc_id").cast("string"), F.col("doc_id") % 6
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("---"), F.lit(""))
+    head = F.concat(F.lit('---\ntitle: "A \\"'), d, F.lit('\\" post"\n'), F.when(k == 3, "").otherwise(F.concat(F.lit("tldr: short: "), d, F.lit("\n"))), F.lit("tags: ['a', \"b"), d, F.lit('" , c]\n---\n'))
+    post = F.concat(F.when(k == 1, F.concat(F.lit("# Heading "), d, F.lit("\n"))).otherwise(""), F.when(k.isin(1, 2), "").otherwise(head), text)
+    rows = adapters.table(t.spark, t.sf_dir, "documents").select(d.alias("id"), post.alias("post"))
+    rows = rows.select("id", markup.parsed_post(F.col("post"))["error"].alias("error"), markup.read_post(F.col("post")).alias("x"))
+    return rows.select("id", "x.degraded", "x.title", "x.tldr", F.array_join("x.tags", ",").alias("tags"), F.sha2(F.col("x.body").cast("binary"), 256).alias("body_sha256"), "error")
+
+
+@query("publish_verdicts", "sessions live usage", """+
+now AS (SELECT id, CASE WHEN CAST(id AS BIGINT) % 13 = 0 THEN 'r9' ELSE 'r' || (CAST(id AS BIGINT) % 3) END AS r, CASE WHEN CAST(id AS BIGINT) % 5 <> 0 THEN CAST(id AS BIGINT) % 7 ELSE message_count END AS n FROM live),
+s AS (SELECT *, CASE WHEN analysis_type = 'session' AND CAST(session_id AS BIGINT) % 11 = 0 THEN 'de-DE' ELSE language END AS l FROM usage),
+per AS (SELECT session_id, count(*) AS passes, bool_or(pipeline_revision <> 'v2') AS old, min(l) AS l1, max(l) AS l2, count(DISTINCT coalesce(session_message_count, -1)) AS counts, any_value(input_revision) AS r, max(coalesce(session_message_count, -1)) AS n FROM s GROUP BY 1)
+SELECT session_id, CASE WHEN passes < 2 THEN 'incomplete' WHEN old THEN 'policy' WHEN l1 <> l2 THEN 'language' WHEN counts > 1 THEN 'passes' WHEN id IS NULL THEN 'gone' WHEN per.r <> now.r OR per.n <> now.n THEN 'changed' ELSE 'published' END AS verdict
+FROM per LEFT JOIN now ON id = session_id""")
+def publish_verdicts(t: Tables) -> DataFrame:
+    k = F.col("id").cast("long")
+    now = t.live.select(F.col("id").alias("session_id"), F.when(k % 13 == 0, "r9").otherwise(F.concat(F.lit("r"), k % 3)).alias("input_revision"), F.when(k % 5 != 0, k % 7).otherwise(F.col("message_count")).alias("message_count"))
+    k = F.col("session_id").cast("long")
+    stages = t.usage.withColumn("language", F.when((F.col("analysis_type") == "session") & (k % 11 == 0), "de-DE").otherwise(F.col("language")))
+    return publishing.judged(stages, now, {"en-US": "v2", "zh-CN": "v2", "de-DE": "v2"})
+
+
+@query("deleted_counts", "sessions", "SELECT project_id, count(*) AS deleted FROM sessions WHERE deleted_at IS NOT NULL GROUP BY 1")
+def deleted_counts(t: Tables) -> DataFrame:
+    return views.deleted_counts(t.sessions)
+
+
+@query("message_page", "messages", "SELECT id, type, content FROM messages WHERE session_id = '3' ORDER BY messages.timestamp, position LIMIT 3 OFFSET 1")
+def message_page(t: Tables) -> DataFrame:
+    return views.message_page(t.messages, "3", limit=3, offset=1).select("id", "type", "content")
+
+
 # --- facets and reports -------------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import categories, costs, formats, texts, times
 from tallyspark.operators import activity, analysis, graph, scope, state
-from tallyspark.sources import transcripts
+from tallyspark.sources import discovery, transcripts
 from tallyspark.streaming import ingest
 
 
@@ -50,6 +50,49 @@ def test_jsonl_transcripts(spark, tmp_path):
     assert (head["project_path"], head["project_name"], head["git_branch"], head["summary"]) == ("/home/me/app", "app", "main", "last")
 
 
+def test_discovery(spark, tmp_path, monkeypatch):
+    """Hidden and temporary folders are not listed, filters prune folders and files, a file's rest is read only if its head says so."""
+    for folder in ("-home-me-app", "-home-me-other", ".hidden", "-tmp", "-private-var-folders-x"):
+        write(tmp_path / "projects", f"{folder}/aa.jsonl", {"cwd": f"/{folder}"}, claude("user", "x", 1))
+    write(tmp_path / "projects", "-home-me-app/subagents/agent-1.jsonl", {"type": "x"})
+    write(tmp_path / "projects", "-home-me-app/notes.txt", {"type": "x"})
+    for k in (".hidden", "-tmp"):
+        (tmp_path / "projects" / k).chmod(0o000)
+    root = str(tmp_path / "projects")
+    found = discovery.discover(spark, root, "claude-code")
+    names = lambda df: sorted((r["project"], r["kind"], r["name"]) for r in df.select("project", "kind", "name").collect())
+    assert names(found) == [("-home-me-app", "session", "aa.jsonl"), ("-home-me-app", "subagent", "agent-1.jsonl"), ("-home-me-other", "session", "aa.jsonl")]
+    assert names(found.filter("kind = 'session' AND project LIKE '%app%'")) == [("-home-me-app", "session", "aa.jsonl")]
+    assert names(discovery.discover(spark, root, "claude-code", "OTHER")) == [("-home-me-other", "session", "aa.jsonl")]
+    row = found.filter("cwd = '/-home-me-other'").first()
+    assert row["raw"].count("\n") == 2 and row["size"] == len(row["raw"]) and row["path"].endswith("/projects/-home-me-other/aa.jsonl")
+    # what is pushed is not listed
+    reader = discovery.TranscriptReader(root, "claude-code", "")
+    listed = []
+    monkeypatch.setattr(discovery, "_matches", lambda value, wanted, plain=discovery._matches: listed.append(value) or plain(value, wanted))
+    left = list(reader.pushFilters([discovery.EqualTo(("project",), "-home-me-app"), discovery.EqualTo(("kind",), "session"), discovery.EqualTo(("size",), 3)]))
+    assert [f.attribute for f in left] == [("size",)] and [f[1] for p in reader.partitions() for f in p.files] == ["aa.jsonl"]
+    assert ".hidden" not in listed and "-tmp" not in listed
+    for k, text in enumerate([json.dumps({"payload": {"cwd": "/work/Shop"}}), json.dumps({"session": {"cwd": "/work/else"}}), "{broken"]):
+        write(tmp_path / "sessions", f"2026/01/0{k}/rollout-{k}.jsonl", raw=[text, "x" * 5_000])
+    shop = discovery.discover(spark, (tmp_path / "sessions").as_uri(), "codex-cli", "shop")
+    assert sorted((r["name"], r["cwd"], len(r["raw"])) for r in shop.collect()) == [("rollout-0.jsonl", "/work/Shop", 5_036), ("rollout-2.jsonl", None, 5_009)]
+    assert [r["name"] for r in shop.filter("cwd LIKE '%work%'").collect()] == ["rollout-0.jsonl"]
+    assert discovery.discover(spark, str(tmp_path / "none"), "codex-cli").collect() == []
+
+
+def test_pages_are_written_by_tasks(spark, tmp_path):
+    sessions = spark.createDataFrame([(str(k), f"title {k}", "p", None) for k in range(3)], "id string, title string, project_name string, started_at timestamp").withColumn("started_at", F.lit("2026-01-02").cast("timestamp"))
+    rows = [("0", "1", t, f"{t} {k}", "text", None) for k, t in enumerate(["prompt_quality", "learning", "odd_type", "summary", "decision", "summary"])] + [("1", "2", "technique", "only", "x", None)]
+    insights = spark.createDataFrame([(s, f"{i}{k}", t, title, c, n) for k, (s, i, t, title, c, n) in enumerate(rows)], "session_id string, id string, type string, title string, content string, timestamp timestamp")
+    folder = str(tmp_path / "pages")
+    analysis.write_pages(analysis.markdown(sessions, insights), folder)
+    texts_ = {r["page"]: r["value"] for r in spark.read.text(folder, wholetext=True).selectExpr("value", "CAST(page AS STRING) AS page").collect()}
+    head = "# title 0\n\nProject: p\nDate: 2026-01-02\n\n"
+    assert texts_["0"] == head + "\n\n".join(["## Summary\n\n### summary 3\n\ntext\n\n### summary 5\n\ntext", "## Decision\n\n### decision 4\n\ntext", "## Learning\n\n### learning 1\n\ntext", "## Prompt Quality\n\n### prompt_quality 0\n\ntext", "## Odd Type\n\n### odd_type 2\n\ntext"]) + "\n"
+    assert set(texts_) == {"0", "1"}
+
+
 def test_rollouts(spark, tmp_path):
     t = lambda s: f"2026-01-02T03:04:{s:02d}Z"
     ask = {"type": "event_msg", "timestamp": t(1), "payload": {"type": "user_message", "message": "do it"}}
