@@ -137,7 +137,8 @@ class Page:
             _, path, side, main = stack[-1]
             if tag not in INLINE:
                 # numbers in names tell elements of one page apart, not kinds of elements
-                path = f"{path[-400:]}>{tag}{re.sub('[0-9]+', '0', names)}"
+                # the way to the parent goes in as a hash, so a path is told whole however deep it is
+                path = f"{token_hash(path)}>{tag}{re.sub('[0-9]+', '0', names)}"
             side = side or tag in SIDE or bool(names) and not SIDE_WORDS.isdisjoint(re.split("[^a-z0-9]+", names))
             main = main or tag in MAIN or role == "main"
             stack.append((tag, path, side, main))

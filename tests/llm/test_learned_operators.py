@@ -297,6 +297,12 @@ def test_a_hot_host_is_dealt_over_salts(spark, monkeypatch):
     monkeypatch.setattr(html_extraction, "BROADCAST_TOKENS", 0)
     assert sorted(map(tuple, html_extraction.extract_main_text(frame).collect())) == want
 
+def test_paths_are_told_whole(spark):
+    """Elements far below different parents differ, however long the way down is."""
+    page = lambda top: html_extraction.Page(f"<div class='{top}'>" + "<section class='a long name of a section'>" * 60 + "<p>text</p>")
+    a, b = (page(top).tokens for top in ("one", "other"))
+    assert len(a) == len(b) and all(x[0] != y[0] for x, y in zip(a, b)) and a == page("one").tokens
+
 
 # --- the pipeline -------------------------------------------------------------------------------------------
 
