@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyspark.functions import costs, texts, times
+from tallyspark.operators import state
 
 
 def checks(sessions: DataFrame, queue: DataFrame, known_sources: tuple[str, ...], at: datetime, stuck_minutes: int = 10) -> DataFrame:
@@ -71,6 +73,27 @@ def batch_progress(queue: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), *[c.alias(s) for s, c in n.items()], (F.count(F.lit(1)) - n["pending"] - n["processing"] - n["failed"]).alias("completed"))
 
 
+def backfill_progress(ids: list[str], sessions: DataFrame, done: DataFrame, results: DataFrame, force: bool = False) -> DataFrame:
+    """A batch of ids in order, each with what became of it (gone, skipped, done, failed) and the batch's counts so far.
+
+    done: sessions (session_id) that need no work, skipped unless forced; results: session_id and success of those
+    that were worked on. A session without a result is done. A batch has as many ids as one may be asked for.
+    """
+    if len(ids) > state.MAX_BATCH:
+        raise ValueError(f"at most {state.MAX_BATCH} ids are worked on at once")
+    asked = sessions.sparkSession.createDataFrame(list(enumerate(ids)), "position long, session_id string")
+    there = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("there")).join(F.broadcast(asked.select("session_id").distinct()), "session_id", "left_semi")
+    ready = done.select("session_id", F.lit(True).alias("ready")).join(F.broadcast(asked.select("session_id").distinct()), "session_id", "left_semi").distinct()
+    told = results.select("session_id", "success").join(F.broadcast(asked.select("session_id").distinct()), "session_id", "left_semi")
+    rows = asked.join(there, "session_id", "left").join(ready, "session_id", "left").join(told, "session_id", "left")
+    skip = F.col("ready").isNotNull() & F.lit(not force)
+    outcome = F.when(F.col("there").isNull(), "gone").when(skip, "skipped").when(F.col("success") == F.lit(False), "failed").otherwise("done")
+    so_far = W.orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.select("position", "session_id", outcome.alias("outcome"))
+    count = lambda *of: F.count_if(F.col("outcome").isin(*of)).over(so_far)
+    return rows.select("session_id", "outcome", count("done", "skipped").alias("completed"), count("gone", "failed").alias("failed"), F.lit(len(ids)).cast("long").alias("total"))
+
+
 def coverage(sessions: DataFrame, facets: DataFrame) -> DataFrame:
     """How many live sessions have facets, and whether that is under half."""
     marked = sessions.select("id").join(facets.select(F.col("session_id").alias("id"), F.lit(True).alias("has")).distinct(), "id", "left")

@@ -33,11 +33,16 @@ def recurring_patterns(points: DataFrame) -> DataFrame:
     return facets.effective_patterns(points).filter(F.col("frequency") >= facets.RECURRING_PATTERNS)
 
 
-def synthesis_inputs(friction: DataFrame, patterns: DataFrame) -> DataFrame:
-    """kind and items, JSON: the friction categories that weigh most, and the most frequent patterns. A few rows of each."""
+def synthesis_inputs(friction: DataFrame, patterns: DataFrame, findings: DataFrame | None = None, distributions: dict[str, DataFrame] | None = None) -> DataFrame:
+    """kind and items, JSON: the friction categories that weigh most, the most frequent patterns, and if given deficits and strengths of prompts (findings: category, type, sessions) and distributions (value, count) by name. A few rows of each."""
     top_f = friction.orderBy(F.desc(F.col("count") * F.col("avg_severity")), "category").limit(TOP_FRICTION).select(F.lit("friction").alias("kind"), F.struct(F.col("count").alias("n"), "category").alias("x"))
     top_p = patterns.orderBy(F.desc("frequency"), "category").limit(TOP_PATTERNS).select(F.lit("patterns").alias("kind"), F.struct(F.col("frequency").alias("n"), "category").alias("x"))
-    return top_f.union(top_p).groupBy("kind").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("x.n")).alias("o"), F.col("x.category").alias("category"), F.col("x.n").alias("n")))), lambda x: F.struct(x["category"].alias("category"), x["n"].alias("n")))).alias("items"))
+    parts = top_f.union(top_p)
+    if findings is not None:
+        parts = parts.union(findings.filter(F.col("type").isin("deficit", "strength")).select(F.concat("type", F.lit("s")).alias("kind"), F.struct(F.col("sessions").alias("n"), "category").alias("x")))
+    for name, rows in (distributions or {}).items():
+        parts = parts.union(rows.select(F.lit(name).alias("kind"), F.struct(F.col("count").alias("n"), F.col("value").alias("category")).alias("x")))
+    return parts.groupBy("kind").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("x.n")).alias("o"), F.col("x.category").alias("category"), F.col("x.n").alias("n")))), lambda x: F.struct(x["category"].alias("category"), x["n"].alias("n")))).alias("items"))
 
 
 def store_snapshot(snapshots: DataFrame, new: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyspark.functions import formats, markup, nested, texts
 from tallyspark.operators import scope
 
-EXPORTED, PROMPT_MESSAGES, BACKGROUNDS = 100, 500, 4
+EXPORTED, PROMPT_MESSAGES, BACKGROUNDS, RECURRING = 100, 500, 4, 200
 
 
 def session_type_counts(insights: DataFrame) -> DataFrame:
@@ -90,6 +90,11 @@ def message_page(messages: DataFrame, session_id: str, limit: int = 100, offset:
     return messages.filter(F.col("session_id") == session_id).orderBy("timestamp", "position").offset(offset).limit(limit)
 
 
+def recurring_candidates(insights: DataFrame, most: int = RECURRING) -> DataFrame:
+    """The newest insights that can recur: no summaries, and nothing about prompts."""
+    return insights.filter(~F.col("type").isin("summary", "prompt_quality")).orderBy(F.desc("timestamp"), "id").limit(most)
+
+
 def matching_messages(messages: DataFrame, query: str) -> DataFrame:
     """Ids of messages with the text."""
     return messages.filter(F.lower("content").contains(query.lower())).select("id")

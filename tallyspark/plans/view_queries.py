@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions import categories, costs, formats, markup, nested, texts, times
-from tallyspark.operators import activity, facets, reflect, scope, state, stats, titles, views
+from tallyspark.operators import activity, facets, quality, reflect, scope, state, stats, titles, views
 from tallyspark.plans import adapters
 from tallyspark.streaming import publishing
-from tallyspark.plans.queries import EVENTS_NOW, ORDERS_NOW, Tables, query, sql_category, sql_time, when_text
+from tallyspark.plans.queries import _STRENGTHS, EVENTS_NOW, ORDERS_NOW, Tables, query, sql_category, sql_time, when_text
 
 TODAY = date(2024, 3, 1)
 
@@ -361,11 +361,30 @@ def recurring_patterns(t: Tables) -> DataFrame:
     return reflect.recurring_patterns(facets.pattern_points(t.facets)).select("category", "frequency")
 
 
-@query("synthesis_inputs", "facets", f"""+{_FRICTION}, {_PATTERN},
-top AS (SELECT 'friction' AS kind, category, count AS n FROM (SELECT * FROM friction_by ORDER BY round(count * round(avg_severity, 4), 8) DESC, category LIMIT 15) UNION ALL SELECT 'patterns', category, frequency FROM (SELECT * FROM pattern_by ORDER BY frequency DESC, category LIMIT 10))
-SELECT kind, '[' || string_agg('{{"category":"' || category || '","n":' || n || '}}', ',' ORDER BY n DESC, category) || ']' AS items FROM top GROUP BY 1""")
+@query("synthesis_inputs", "sessions live facets pq", f"""+{_FRICTION}, {_PATTERN},
+top AS (SELECT 'friction' AS kind, category, count AS n FROM (SELECT * FROM friction_by ORDER BY round(count * round(avg_severity, 4), 8) DESC, category LIMIT 15) UNION ALL SELECT 'patterns', category, frequency FROM (SELECT * FROM pattern_by ORDER BY frequency DESC, category LIMIT 10)),
+name_pq AS (SELECT c, count(DISTINCT session_id) AS n FROM (SELECT session_id, {sql_category("category", categories.PROMPT_QUALITY)} AS c FROM pq_findings) GROUP BY 1 HAVING n >= 2),
+told AS (SELECT * FROM top UNION ALL SELECT CASE WHEN c IN ({_STRENGTHS}) THEN 'strengths' ELSE 'deficits' END, c, n FROM name_pq UNION ALL SELECT 'outcome', outcome_satisfaction, count(*) FROM facets GROUP BY 2
+  UNION ALL SELECT 'workflow', workflow_pattern, count(*) FROM facets WHERE workflow_pattern IS NOT NULL GROUP BY 2 UNION ALL SELECT 'character', session_character, count(*) FROM live WHERE session_character IS NOT NULL GROUP BY 2)
+SELECT kind, '[' || string_agg('{{"category":"' || category || '","n":' || n || '}}', ',' ORDER BY n DESC, category) || ']' AS items FROM told GROUP BY 1""")
 def synthesis_inputs(t: Tables) -> DataFrame:
-    return reflect.synthesis_inputs(facets.friction_categories(facets.friction_points(t.facets)), facets.effective_patterns(facets.pattern_points(t.facets)))
+    spread = {"outcome": facets.distribution(t.facets, "outcome_satisfaction"), "workflow": facets.distribution(t.facets, "workflow_pattern"), "character": facets.distribution(t.live, "session_character")}
+    return reflect.synthesis_inputs(facets.friction_categories(facets.friction_points(t.facets)), facets.effective_patterns(facets.pattern_points(t.facets)), facets.quality_findings(t.pq), spread)
+
+
+@query("backfill_progress", "sessions live facets queue", """+
+asked AS (SELECT row_number() OVER () - 1 AS position, k FROM (VALUES ('1'), ('2'), ('3'), ('7'), ('32'), ('gone'), ('34'), ('35'), ('64'), ('65'), ('66'), ('67')) v(k)),
+judged AS (SELECT position, k, CASE WHEN id IS NULL THEN 'gone' WHEN k IN (SELECT session_id FROM facets) THEN 'skipped' WHEN status = 'failed' THEN 'failed' ELSE 'done' END AS outcome FROM asked LEFT JOIN live ON id = k LEFT JOIN queue ON session_id = k)
+SELECT k AS session_id, outcome, count(*) FILTER (outcome IN ('done', 'skipped')) OVER so_far AS completed, count(*) FILTER (outcome IN ('gone', 'failed')) OVER so_far AS failed, count(*) OVER () AS total FROM judged WINDOW so_far AS (ORDER BY position)""")
+def backfill_progress(t: Tables) -> DataFrame:
+    ids = ["1", "2", "3", "7", "32", "gone", "34", "35", "64", "65", "66", "67"]
+    results = t.queue.select("session_id", (F.col("status") != "failed").alias("success"))
+    return quality.backfill_progress(ids, t.live, t.facets.select("session_id"), results)
+
+
+@query("recurring_candidates", "insights", "SELECT id, type FROM insights WHERE type NOT IN ('summary', 'prompt_quality') ORDER BY insights.timestamp DESC, id LIMIT 200")
+def recurring_candidates(t: Tables) -> DataFrame:
+    return views.recurring_candidates(t.insights).select("id", "type")
 
 
 def _weeks(t: Tables) -> DataFrame:

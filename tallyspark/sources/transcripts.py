@@ -130,10 +130,11 @@ def jsonl_heads(entries: DataFrame) -> DataFrame:
     ).select("session_id", "h.*", base_name(F.col("h.project_path")).alias("project_name"), "summary")
 
 
-def fold_sessions(messages: DataFrame, classify: bool = True) -> DataFrame:
+def fold_sessions(messages: DataFrame, classify: bool = True, priced: bool = True) -> DataFrame:
     """One row a session: times, counts by class, tools, commands, tokens, models in order of appearance, the primary one and cost.
 
     classify: user texts count by their class, and results of tools don't count; else every user message counts.
+    priced: tokens have a price; those of rollouts have none that is public, so they cost nothing.
     """
     user, text = F.col("type") == "user", F.col("content")
     kind = F.when(F.size("tool_results") > 0, "tool-result").otherwise(texts.message_class(text)) if classify else F.lit("human")
@@ -145,13 +146,19 @@ def fold_sessions(messages: DataFrame, classify: bool = True) -> DataFrame:
     base = rows.groupBy("session_id").agg(
         F.min("timestamp").alias("started_at"), F.max("timestamp").alias("ended_at"), F.count_if(F.coalesce(counted, F.lit(False))).alias("user_message_count"), F.count_if(F.col("type") == "assistant").alias("assistant_message_count"),
         F.sum(F.size("tool_calls")).alias("tool_call_count"), F.count_if(F.col("class") == "user-compact").alias("compact_count"), F.count_if(F.col("class") == "auto-compact").alias("auto_compact_count"), F.transform(commands, lambda x: x["command"]).alias("slash_commands"),
-        *[c.alias(f"{n}_tokens") for n, c in tokens.items()], costs.half_up(F.sum(F.when(F.col("usage").isNotNull(), cost)), 4).alias("estimated_cost_usd"),
+        *[c.alias(f"{n}_tokens") for n, c in tokens.items()], costs.half_up(F.sum(F.when(F.col("usage").isNotNull(), cost if priced else F.lit(0.0))), 4).alias("estimated_cost_usd"),
     ).withColumn("message_count", F.col("user_message_count") + F.col("assistant_message_count"))
     turns = rows.filter("usage IS NOT NULL").groupBy("session_id", "model").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first"))
     models = turns.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("first", "model"))), lambda x: x["model"]).alias("models_used"), F.min_by("model", F.struct(-F.col("n"), F.col("first"))).alias("primary_model"))
     return base.join(models, "session_id", "left")
 
 
+def rollout_sessions(messages: DataFrame) -> DataFrame:
+    """Sessions of rollouts: every user message counts, tokens cost nothing, and usage without input is none."""
+    used = F.when(F.col("usage.input") > 0, F.col("usage"))
+    return fold_sessions(messages.withColumn("usage", used), classify=False, priced=False)
+
+
 # --- event logs ---------------------------------------------------------------------------------------------
 
 

@@ -270,6 +270,13 @@ def sync_file(spark: SparkSession, path: str, read: Reader, table: str) -> int:
     return rows.count()
 
 
+def rebuild(spark: SparkSession, table: str, change: Callable[[DataFrame], DataFrame]) -> State:
+    """The whole table anew as change makes it, in its next version: for columns that can't be filled in by a default."""
+    state = newest(spark, table)
+    rows = current(spark, table, state)
+    return state if rows is None else replace(spark, table, staged(change(rows), table), rows.select("path").distinct(), state)
+
+
 def reset(spark: SparkSession, table: str) -> None:
     """Throw the table and what is known of its files away: the next sync reads all, into a table of another identity."""
     for name in ("", "-manifest", "-fragments", "-staging"):

@@ -106,6 +106,8 @@ def test_rollouts(spark, tmp_path):
     )
     got = sorted(transcripts.rollout_messages(spark, str(tmp_path)).collect(), key=lambda r: r["position"])
     assert [(r["type"], r["content"]) for r in got] == [("user", "do it"), ("assistant", "done")]
+    s = transcripts.rollout_sessions(transcripts.rollout_messages(spark, str(tmp_path))).first()
+    assert (s["user_message_count"], s["assistant_message_count"], s["input_tokens"], s["estimated_cost_usd"], s["primary_model"]) == (1, 1, 5, 0.0, "m")
     assert got[1]["tool_calls"][0]["name"] == "run" and got[1]["tool_results"][0]["output"] == "out" and got[1]["usage"]["input"] == 5 and got[1]["model"] == "m"
 
 
@@ -288,6 +290,8 @@ def test_versions_and_writers(spark, tmp_path, monkeypatch):
     assert {p.rpartition("number=")[2] for p in ingest.children(spark, f"{table}/pointer")} == {"2", "3"}
     assert {v.rpartition("/")[2] for v in ingest.children(spark, f"{table}/versions")} >= {v.rpartition("/")[2] for v, _ in last.held.values()}
     assert len(ingest.children(spark, f"{table}/versions")) <= 2
+    again = ingest.rebuild(spark, table, lambda df: df.select("path", (F.col("n") * 2).cast("string").alias("twice")))
+    assert again.number == 4 and sorted(int(r["twice"]) for r in ingest.current(spark, table).collect()) == sorted([*(2 * k for k in range(100) if k not in (3, 4)), 400])
     gone = ingest.replace(spark, table, frame(0, 0), ingest.current(spark, table).select("path"))
     assert gone.held == {} and ingest.current(spark, table) is None and ingest.newest(spark, table).identity == first.identity
 
