@@ -16,23 +16,42 @@ def shared_links(insights: DataFrame) -> DataFrame:
     return insights.select("id", F.explode(nested.string_list(F.col("linked_insight_ids"))).alias("linked")).distinct()
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Has every node at most one edge to a smaller one, which has none?"""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("high").alias("node"), F.lit(1).alias("lower")), F.struct(F.col("low").alias("node"), F.lit(0).alias("lower")))).alias("e")).select("e.*")
+    per = ends.groupBy("node").agg(F.sum("lower").alias("lower"), F.count(F.lit(1)).alias("all"))
+    return per.filter("lower > 1 OR (lower = 1 AND all > 1)").isEmpty()
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """high and low: each node's edge to the smallest node of its component, from edges (high > low) of any shape.
+
+    Two steps take turns: every node ties its larger neighbours to the smallest node it knows, and then, with
+    all smaller neighbours, itself. Both keep components whole and count of edges at most; a star stays as it is,
+    so a node that a third of all others point to costs no further rounds. A round is a table in the shared folder.
+    """
+    edges = write_table(edges.distinct(), f"edges-{uuid.uuid4().hex}")
+    while not _is_forest_of_stars(edges):
+        around = edges.select("high", "low").union(edges.select(F.col("low"), F.col("high"))).toDF("node", "other")
+        least = around.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("least"))
+        tied = around.filter("other > node").join(least, "node").filter("other <> least").select(F.col("other").alias("high"), F.col("least").alias("low")).distinct()
+        least = tied.groupBy("high").agg(F.min("low").alias("least"))
+        both = tied.join(least, "high")
+        tied = both.select("high", F.col("least").alias("low")).union(both.filter("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low")))
+        edges = write_table(tied.distinct(), f"edges-{uuid.uuid4().hex}")
+    return edges
+
+
 def groups(insights: DataFrame) -> DataFrame:
     """id and group for each insight with links: insights that share a linked id, at however many removes, have one group, its smallest id.
 
-    Labels pass from insights to linked ids and back, and jump to the label of the label, until nothing
-    changes; each round is a table in the shared folder, so a lost executor costs one round.
+    Those that share an id are tied to the smallest of them, which is one row a link however many share it.
     """
     links = write_table(shared_links(insights), f"links-{uuid.uuid4().hex}")
-    labels = links.select("id").distinct().withColumn("group", F.col("id"))
-    while True:
-        by_link = links.join(labels, "id").groupBy("linked").agg(F.min("group").alias("group"))
-        lower = links.join(by_link, "linked").groupBy("id").agg(F.min("group").alias("low"))
-        up = labels.select(F.col("id").alias("low"), F.col("group").alias("root"))
-        new = labels.join(lower, "id").join(up, "low", "left").select("id", F.least("group", "low", "root").alias("group"), (F.least("group", "low", "root") != F.col("group")).alias("moved"))
-        new = write_table(new, f"labels-{uuid.uuid4().hex}")
-        labels = new.select("id", "group")
-        if not new.filter("moved").limit(1).count():
-            return labels
+    smallest = links.groupBy("linked").agg(F.min("id").alias("low"))
+    edges = links.join(smallest, "linked").filter("id <> low").select(F.col("id").alias("high"), "low")
+    roots = stars(edges).select(F.col("high").alias("id"), F.col("low").alias("group"))
+    return links.select("id").distinct().join(roots, "id", "left").select("id", F.coalesce("group", "id").alias("group"))
 
 
 def group_summary(insights: DataFrame, members: DataFrame) -> DataFrame:

@@ -386,3 +386,24 @@ def test_selection_and_groups(spark):
     assert state.selection_fingerprint(items).first() == state.selection_fingerprint(items.orderBy(F.desc("id"))).first()
     links = spark.createDataFrame([("1", '["x"]'), ("2", '["x","y"]'), ("3", '["y"]'), ("4", '["z"]'), ("5", None), ("6", "bad")], "id string, linked_insight_ids string")
     assert {r["id"]: r["group"] for r in graph.groups(links).collect()} == {"1": "1", "2": "1", "3": "1", "4": "4"}
+
+
+def test_components_of_any_shape(spark):
+    """Chains, a star of many, rings and random edges: every node's smallest reachable one."""
+    import random
+
+    rng = random.Random(8)
+    edges = [(k, k - 1) for k in range(1, 40)] + [(k, 100) for k in range(101, 400)] + [(500, 501), (501, 502), (502, 500)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(200)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame([(max(e), min(e)) for e in edges if e[0] != e[1]], "high long, low long")
+    assert {r["high"]: r["low"] for r in graph.stars(frame).collect()} == {x: find(x) for x in root if find(x) != x}
+    assert graph.stars(frame.limit(0)).collect() == []
