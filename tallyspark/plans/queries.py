@@ -589,19 +589,28 @@ def language_votes(t: Tables) -> DataFrame:
     return activity.language_votes(t.messages)
 
 
-@query("title_scores", "messages", """+
+def sql_text(pattern: str) -> str:
+    """A pattern of functions or operators as a literal of SQL."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: Titles in SQL, of a text in place of {0} and, for the score, its number of words in n; the patterns are the marked ones of functions.texts.
+SQL_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, " + sql_text(texts.TITLE_OPENINGS[0]) + ", ''), " + sql_text(texts.TITLE_OPENINGS[1]) + ", ''), '[*_`#]', '', 'g'), '\\s+', ' ', 'g'))"
+SQL_TITLE = "(SELECT upper(left(k, 1)) || substring(k, 2) FROM (SELECT CASE WHEN length(k) > 60 THEN left(k, 57) || '...' ELSE k END AS k FROM (SELECT " + SQL_CLEAN + " AS k)))"
+SQL_SCORE = (
+    "CASE WHEN n < 3 OR n > 100 THEN 0 WHEN regexp_matches({0}, " + sql_text(texts.ACTION_VERBS) + ") THEN CASE WHEN n BETWEEN 5 AND 15 THEN 80 WHEN n BETWEEN 16 AND 30 THEN 70 ELSE 60 END"
+    " WHEN contains({0}, '?') THEN CASE WHEN n BETWEEN 5 AND 20 THEN 70 ELSE 50 END ELSE CASE WHEN n BETWEEN 5 AND 15 THEN 60 WHEN n BETWEEN 16 AND 50 THEN 40 ELSE 20 END END"
+)
+
+
+@query("title_scores", "messages", f"""+
 counted AS (SELECT id, content, len(regexp_split_to_array(content, '\\s+')) AS n FROM messages WHERE type = 'user')
-SELECT id, CAST(CASE WHEN n < 3 OR n > 100 THEN 0 WHEN regexp_matches(content, '^(?i)(fix|add|create|build|implement|update|remove|delete|refactor|move|rename|change|modify|setup|configure|install|debug|test|write|make|get|set|find|search|check|review|analyze|optimize|improve|migrate|convert|integrate)')
-  THEN CASE WHEN n BETWEEN 5 AND 15 THEN 80 WHEN n BETWEEN 16 AND 30 THEN 70 ELSE 60 END WHEN contains(content, '?') THEN CASE WHEN n BETWEEN 5 AND 20 THEN 70 ELSE 50 END
-  ELSE CASE WHEN n BETWEEN 5 AND 15 THEN 60 WHEN n BETWEEN 16 AND 50 THEN 40 ELSE 20 END END AS BIGINT) AS score FROM counted""")
+SELECT id, CAST({SQL_SCORE.format("content")} AS BIGINT) AS score FROM counted""")
 def title_scores(t: Tables) -> DataFrame:
     return t.messages.filter("type = 'user'").select("id", texts.title_score(F.col("content")).cast("long").alias("score"))
 
 
-@query("clean_titles", "messages", r"""+
-stripped AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '^(?i)(help me|can you|could you|please|i want to|i need to|i''d like to|let''s)\s+', ''), '^(?i)(hi|hello|hey),?\s*', ''), '[*_`#]', '', 'g'), '\s+', ' ', 'g')) AS c FROM messages WHERE type = 'user'),
-cut AS (SELECT id, CASE WHEN length(c) > 60 THEN left(c, 57) || '...' ELSE c END AS c FROM stripped)
-SELECT id, upper(left(c, 1)) || substring(c, 2) AS title FROM cut""")
+@query("clean_titles", "messages", f"SELECT id, {SQL_TITLE.format('content')} AS title FROM messages WHERE type = 'user'")
 def clean_titles(t: Tables) -> DataFrame:
     return t.messages.filter("type = 'user'").select("id", texts.clean_title(F.col("content")).alias("title"))
 

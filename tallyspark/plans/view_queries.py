@@ -11,23 +11,17 @@ from tallyspark.functions import categories, costs, formats, markup, nested, tex
 from tallyspark.operators import activity, facets, quality, reflect, scope, state, stats, titles, views
 from tallyspark.plans import adapters
 from tallyspark.streaming import publishing
-from tallyspark.plans.queries import _STRENGTHS, EVENTS_NOW, ORDERS_NOW, Tables, query, sql_category, sql_time, when_text
+from tallyspark.plans.queries import _STRENGTHS, EVENTS_NOW, ORACLES, ORDERS_NOW, SQL_SCORE, SQL_TITLE, Tables, query, sql_category, sql_text, sql_time, when_text
 
 TODAY = date(2024, 3, 1)
 
 # --- titles and formats -------------------------------------------------------------------------------------
 
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^(?i)(help me|can you|could you|please|i want to|i need to|i''d like to|let''s)\s+', ''), '^(?i)(hi|hello|hey),?\s*', ''), '[*_`#]', '', 'g'), '\s+', ' ', 'g'))"
-_SCORE = r"""CASE WHEN n < 3 OR n > 100 THEN 0 WHEN regexp_matches(t, '^(?i)(fix|add|create|build|implement|update|remove|delete|refactor|move|rename|change|modify|setup|configure|install|debug|test|write|make|get|set|find|search|check|review|analyze|optimize|improve|migrate|convert|integrate)')
-  THEN CASE WHEN n BETWEEN 5 AND 15 THEN 80 WHEN n BETWEEN 16 AND 30 THEN 70 ELSE 60 END WHEN contains(t, '?') THEN CASE WHEN n BETWEEN 5 AND 20 THEN 70 ELSE 50 END
-  ELSE CASE WHEN n BETWEEN 5 AND 15 THEN 60 WHEN n BETWEEN 16 AND 50 THEN 40 ELSE 20 END END"""
-
-
 @query("title_candidates", "messages", rf"""+
 asked AS (SELECT session_id, id, trim(content) AS c, row_number() OVER (PARTITION BY session_id ORDER BY messages.timestamp, position) AS r FROM messages WHERE type = 'user' QUALIFY r <= 3),
 cut AS (SELECT session_id, r, c, len(regexp_split_to_array(c, '\s+')) AS words, CASE WHEN len(regexp_split_to_array(c, '\s+')) > 50 THEN CASE WHEN length(regexp_split_to_array(c, '[.!?]')[1]) > 10 THEN regexp_split_to_array(c, '[.!?]')[1]
   ELSE array_to_string(regexp_split_to_array(c, '\s+')[1:20], ' ') END ELSE c END AS t FROM asked),
-scored AS (SELECT session_id, r, t, words, c, {_SCORE} AS score FROM (SELECT *, len(regexp_split_to_array(t, '\s+')) AS n FROM cut)),
+scored AS (SELECT session_id, r, t, words, c, {SQL_SCORE.format("t")} AS score FROM (SELECT *, len(regexp_split_to_array(t, '\s+')) AS n FROM cut)),
 best AS (SELECT session_id, arg_min(t, r) AS t, arg_min(score, r) AS score FROM scored WHERE score > 0 AND words >= 3
   AND NOT regexp_matches(c, '(?i)^(yes|no|ok|okay|sure|thanks|thank you|continue|go ahead|sounds good|looks good|perfect|great|nice|cool|done|got it)\.?$') AND NOT starts_with(c, '```') GROUP BY session_id)
 SELECT s.session_id, t AS text, CAST(score AS BIGINT) AS score FROM (SELECT DISTINCT session_id FROM messages WHERE type = 'user') s LEFT JOIN best USING (session_id)""")
@@ -42,14 +36,27 @@ def primary_files(t: Tables) -> DataFrame:
     return titles.primary_files(t.messages)
 
 
-@query("title_sources", "messages", """
-SELECT count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (conv_id % 5 = 0) AS from_summaries, count(DISTINCT session_id) FILTER (conv_id % 5 = 0) AS named FROM messages""")
+def _first_named(pattern: str, text: str = "lower(content)") -> str:
+    """Of a session's user texts what the first that has a pattern names by it."""
+    return f"arg_min(trim(regexp_extract({text}, {sql_text(pattern)}, 1)), (messages.timestamp, position)) FILTER (regexp_matches({text}, {sql_text(pattern)}))"
+
+
+@query("title_sources", "messages", f"""+
+named AS (SELECT session_id, {_first_named(titles.TOPICS[0])} AS t0, {_first_named(titles.TOPICS[1])} AS t1, {_first_named(titles.BUG, "content")} AS bug FROM messages WHERE type = 'user' GROUP BY 1),
+chars AS ({ORACLES["session_characters"]}), files AS ({ORACLES["primary_files"]}), cands AS ({ORACLES["title_candidates"]}),
+told AS (
+  SELECT c.session_id, message_count, character, text, score, coalesce(file, 'files') AS file, coalesce(nullif(coalesce(t0, t1), ''), 'project') AS topic, nullif(bug, '') AS bug, CASE WHEN CAST(c.session_id AS BIGINT) % 5 = 0 THEN 'please look at ' || c.session_id END AS summary
+  FROM chars c LEFT JOIN named USING (session_id) LEFT JOIN files USING (session_id) LEFT JOIN cands USING (session_id)),
+judged AS (SELECT *, CASE WHEN summary IS NOT NULL THEN 'claude' WHEN score >= 40 THEN 'user_message' WHEN character IS NOT NULL THEN 'character' WHEN text IS NOT NULL THEN 'user_message' ELSE 'fallback' END AS source FROM told)
+SELECT session_id, source, CASE WHEN source = 'character' THEN character END AS character, CASE source WHEN 'claude' THEN {SQL_TITLE.format("summary")} WHEN 'user_message' THEN {SQL_TITLE.format("text")}
+  WHEN 'character' THEN CASE character WHEN 'deep_focus' THEN 'Deep work: ' || file WHEN 'bug_hunt' THEN 'Fixed: ' || coalesce(bug, file) WHEN 'feature_build' THEN 'Built: ' || topic WHEN 'exploration' THEN 'Explored: ' || topic
+    WHEN 'refactor' THEN 'Refactored: ' || file WHEN 'learning' THEN 'Learned: ' || topic ELSE 'Updated: ' || file END
+  ELSE 'project session (' || message_count || ' messages)' END AS title FROM judged""")
 def title_sources(t: Tables) -> DataFrame:
-    """Every session gets a title, and those with a summary get it from there; tests compare the others one by one."""
+    """Every session's title and where it comes from; sessions of every fifth conversation have a summary."""
     k = F.col("session_id").cast("long")
     sessions = t.messages.select("session_id").distinct().select("session_id", F.lit("project").alias("project_name"), F.when(k % 5 == 0, F.concat(F.lit("please look at "), "session_id")).alias("summary"))
-    found = titles.generated_titles(sessions, t.messages)
-    return found.agg(F.count_if(F.col("title") != "").alias("sessions"), F.count_if(F.col("source") == "claude").alias("from_summaries"), F.count_if(F.col("title").startswith("Look at ")).alias("named"))
+    return titles.generated_titles(sessions, t.messages)
 
 
 _FIXED = "format('{{:,.{1}f}}', CASE WHEN ({0}) * {2} % 2 = 1 THEN ({0}) + {3} ELSE ({0})::DOUBLE END)"
