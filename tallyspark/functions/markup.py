@@ -21,7 +21,6 @@ CREDENTIAL_VALUES = (
     r"\bsk-[A-Za-z0-9._-]{6,}",
     r"(?i)\b(?:x[-_]?api[-_]?key|api[-_]?key|authorization|access[-_]?token|refresh[-_]?token)\s*[:=]\s*[^\s,;]+",
 )
-FORMATS = {"deep_focus": "blog", "bug_hunt": "blog", "feature_build": "blog", "exploration": "blog", "refactor": "blog", "learning": "blog", "quick_task": "blog"}
 #: What posts call the types of insights.
 TYPE_LABELS = {"learning": "Learning", "decision": "Decision", "technique": "Technique", "summary": "Summary", "prompt_quality": "Observation"}
 # End of fixed values.
@@ -110,27 +109,31 @@ def frontmatter(post: Column, key: str) -> Column:
 
 
 POST = "struct<ok:boolean,error:string,degraded:boolean,title:string,tldr:string,tags:array<string>,body:string,markdown:string,cut_off:boolean,prohibited:array<string>>"
-# Words that posts are asked not to use.
+# Words that posts are asked not to use, and the shapes of a post: head and body, a line of the head, its tags, hashtags at the end, a heading.
 PROHIBITED = ("leveraged", "utilized", "seamlessly", "delve")
+WHOLE_POST = r"(?s)\A\s*---\n(.*?)\n---\n(.*)\z"
+HEAD_LINE = r'(?m)^{0}:\s*"?(.+?)"?\s*$'
+HEAD_TAGS = r"(?m)^tags:\s*\[(.+?)\]"
+LAST_TAGS = r"(?:^|\n)((?:#[a-zA-Z]\w*(?:\s+|\z))+)\z"
+HEADING = r"(?m)^#+\s+(.+)$"
 # End of fixed values.
 
 
 def parsed_post(raw: Column, form: str = "blog") -> Column:
     """A post as a model wrote it, read: head (title, and of a blog tldr and tags, of linkedin the last line's hashtags) and body; ok is false, with an error, for posts that have no such head."""
-    whole = r"(?s)\A\s*---\n(.*?)\n---\n(.*)\z"
     trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    head, body = F.regexp_extract(raw, whole, 1), trim(F.regexp_extract(raw, whole, 2))
-    value = lambda key: found(head, rf'(?m)^{key}:\s*"?(.+?)"?\s*$')
+    head, body = F.regexp_extract(raw, WHOLE_POST, 1), trim(F.regexp_extract(raw, WHOLE_POST, 2))
+    value = lambda key: found(head, HEAD_LINE.format(key))
     lower = F.lower(body)
     words = F.filter(F.array(*[F.lit(w) for w in PROHIBITED]), lambda w: F.contains(lower, w))
     null = F.lit(None).cast("string")
     title, tldr = (F.replace(value(k), F.lit('\\"'), F.lit('"')) for k in ("title", "tldr"))
     if form == "linkedin":
-        last = F.regexp_extract(body, r"(?:^|\n)((?:#[a-zA-Z]\w*(?:\s+|\z))+)\z", 1)
+        last = F.regexp_extract(body, LAST_TAGS, 1)
         tags = F.when(last != "", F.transform(F.split(trim(last), r"\s+"), lambda t: F.regexp_replace(t, "^#", ""))).otherwise(F.array().cast("array<string>"))
         title, tldr, markdown, bad = value("title"), F.lit(""), body, value("title").isNull()
     else:
-        listed = found(head, r"(?m)^tags:\s*\[(.+?)\]")
+        listed = found(head, HEAD_TAGS)
         tags = F.when(listed.isNotNull(), F.transform(F.split(listed, ","), lambda t: F.regexp_replace(trim(t), "^['\"]|['\"]$", ""))).otherwise(F.array().cast("array<string>"))
         quoted = lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
         markdown = F.concat(F.lit('---\ntitle: "'), quoted(title), F.lit('"\ntags: ['), F.array_join(tags, ", "), F.lit(']\ntldr: "'), quoted(tldr), F.lit('"\n---\n\n'), body)
@@ -141,12 +144,12 @@ def parsed_post(raw: Column, form: str = "blog") -> Column:
     none = F.lit(None).cast("array<string>")
     refused = lambda error: make(F.lit(False), F.lit(error), F.lit(False), null, null, none, null, null, F.lit(None).cast("boolean"), none)
     read = make(F.lit(True), null, F.lit(False), title, tldr, tags, body, markdown, cut, words)
-    return F.when(~F.coalesce(raw.rlike(whole), F.lit(False)), refused("missing-frontmatter")).when(bad, refused("malformed-frontmatter")).otherwise(read)
+    return F.when(~F.coalesce(raw.rlike(WHOLE_POST), F.lit(False)), refused("missing-frontmatter")).when(bad, refused("malformed-frontmatter")).otherwise(read)
 
 
 def degraded_post(raw: Column) -> Column:
     """What is made of a post that can't be read: all of it, under its first heading."""
-    title = F.coalesce(found(raw, r"(?m)^#+\s+(.+)$"), F.lit("Untitled"))
+    title = F.coalesce(found(raw, HEADING), F.lit("Untitled"))
     none = F.array().cast("array<string>")
     values = {"ok": F.lit(True), "error": F.lit(None).cast("string"), "degraded": F.lit(True), "title": title, "tldr": F.lit(""), "tags": none, "body": raw, "markdown": raw, "cut_off": F.lit(False), "prohibited": none}
     return F.struct(*[v.alias(n) for n, v in values.items()]).cast(POST)
