@@ -9,6 +9,8 @@ near_duplicates() links fingerprints of 64 bits at two differing bits or fewer.
 two Golay codes over the lowest 46 bits (radius 6). If y differs from x in t1 and t2 bits of the blocks, then
 y lies within 3 + t1 and 3 + t2 of x's home; so y goes to every anchor that far, the two bits dealt over the
 blocks in all ways, which is about 61 anchors. Each pair meets at the home of either side: nothing is missed.
+From THIRD_BLOCK distinct fingerprints on, where lists at these 2 ** 24 anchors would grow long, the 18 bits that are
+left are a third block, filled up with zeros: about 119 anchors of 2 ** 36, and the same links.
 
 similar_documents() links texts whose sets of shingles have a Jaccard similarity of 0.8 or more. There two
 fingerprints differ in about 15 of 100 bits, which no single anchor code of use covers for certain. So it takes
@@ -25,8 +27,8 @@ more than one anchor's homes in memory. Of the links found it emits a spanning f
 cluster of k nodes yields k - 1 edges and not k * k pairs; the components stay the same. Where the exact check
 then breaks a component up, its parts are compared whole, block by block, so no link is lost by the forest. Components are joined by alternating large-star and small-star steps on tables.
 
-The number of anchors of near_duplicates() is 2 ** 24, so it compares each fingerprint with about 61 * n / 2 **
-24 others; similar_documents() takes more exact bits and more tables as n grows and keeps the lists short.
+near_duplicates() compares each fingerprint with about 61 * n / 2 ** 24 others, and from THIRD_BLOCK on with about
+119 * n / 2 ** 36; similar_documents() takes more exact bits and more tables as n grows and keeps the lists short.
 
 Defined results: words are longest runs of anything but ASCII white space; a null text, or one without words,
 has fingerprint zero and the empty set, and links like any other; a text of fewer words than a shingle has one
@@ -41,7 +43,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,8 @@ THRESHOLD = 2
 SEED = 42
 #: An anchor with more homes than this is split.
 SPLIT_HOMES = 4096
+#: Distinct fingerprints from which near_duplicates() takes anchors over three blocks of bits.
+THIRD_BLOCK = 1 << 24
 #: Pairs compared at once.
 CHUNK = 2_000_000
 #: Of pairs just at the similarity, the share that may have no anchor in common, by the bound.
@@ -125,35 +129,40 @@ def coset_patterns() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return patterns[order], starts.reshape(2048, -1).T.copy(), counts.reshape(2048, -1).T.copy()
 
 
-def anchors(fps: np.ndarray, homes_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of fps (uint64), anchors and whether the anchor is the home: every anchor within radius plus threshold."""
+def anchors(fps: np.ndarray, homes_only: bool = False, n_blocks: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of fps (uint64), anchors and whether the anchor is the home: every anchor within radius plus threshold, over so many blocks of bits, lowest first."""
     patterns, starts, counts = coset_patterns()
-    blocks = [((fps >> np.uint64(BLOCK * k)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64) for k in range(2)]
+    blocks = [((fps >> np.uint64(BLOCK * k)) & np.uint64((1 << BLOCK) - 1)).astype(np.int64) for k in range(n_blocks)]
     syndromes = [_remainders(x) for x in blocks]
+    # three code words are told by their upper bits, of which there are 12 each
+    drop, width = (0, BLOCK) if n_blocks == 2 else (11, BLOCK - 11)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a in range(THRESHOLD + 1):
-        for b in range(THRESHOLD + 1 - a):
-            if homes_only and a + b:
-                continue
-            n1, n2 = counts[a][syndromes[0]], counts[b][syndromes[1]]
-            each = n1 * n2
-            rows = np.repeat(np.arange(len(fps)), each)
-            k = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
-            e1 = patterns[starts[a][syndromes[0]][rows] + k // n2[rows]]
-            e2 = patterns[starts[b][syndromes[1]][rows] + k % n2[rows]]
-            out.append((rows, (blocks[1][rows] ^ e2) << BLOCK | (blocks[0][rows] ^ e1), np.full(len(rows), a + b == 0)))
+    for excess in product(range(THRESHOLD + 1), repeat=n_blocks):
+        if sum(excess) > THRESHOLD or homes_only and any(excess):
+            continue
+        sizes = [counts[e][s] for e, s in zip(excess, syndromes)]
+        each = np.prod(sizes, axis=0)
+        rows = np.repeat(np.arange(len(fps)), each)
+        k = np.arange(len(rows)) - np.repeat(np.cumsum(each) - each, each)
+        anchor = np.zeros(len(rows), np.int64)
+        for b in reversed(range(n_blocks)):
+            n = sizes[b][rows]
+            word = blocks[b][rows] ^ patterns[starts[excess[b]][syndromes[b]][rows] + k % n]
+            anchor |= word >> drop << (width * b)
+            k //= n
+        out.append((rows, anchor, np.full(len(rows), not any(excess))))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def home_anchors(fps: DataFrame) -> DataFrame:
+def home_anchors(fps: DataFrame, n_blocks: int = 2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(anchors(b["fp"].to_numpy().view(np.uint64), homes_only=True)[1])], ["anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(b["fp"].to_numpy().view(np.uint64), True, n_blocks)[1])], ["anchor"])
 
     return fps.select("fp").mapInArrow(run, "anchor long")
 
 
-def replicas(fps: DataFrame) -> DataFrame:
+def replicas(fps: DataFrame, n_blocks: int = 2) -> DataFrame:
     """anchor, guest (0 at the home) and fp for each distinct fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +170,7 @@ def replicas(fps: DataFrame) -> DataFrame:
             fp = b["fp"].to_numpy().view(np.uint64)
             for at in range(0, len(fp), 4000):
                 part = fp[at : at + 4000]
-                rows, anchor, home = anchors(part)
+                rows, anchor, home = anchors(part, False, n_blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), pa.array(part[rows].view(np.int64))], ["anchor", "guest", "fp"])
 
     return fps.select("fp").mapInArrow(run, "anchor long, guest byte, fp long")
@@ -289,8 +298,10 @@ def _two_bits(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.
 
 def spanning_edges(fps: DataFrame) -> DataFrame:
     """u, v: edges whose components are those of all links between the distinct fingerprints fps (fp)."""
-    fps = fps.repartition(max(1, fps.count() // 10_000))  # the rows are small, what is made of them isn't
-    return compared(dealt(replicas(fps), home_anchors(fps), "fp"), ["fp"], _two_bits)
+    n = fps.count()
+    fps = fps.repartition(max(1, n // 10_000))  # the rows are small, what is made of them isn't
+    n_blocks = 3 if n > THIRD_BLOCK else 2
+    return compared(dealt(replicas(fps, n_blocks), home_anchors(fps, n_blocks), "fp"), ["fp"], _two_bits)
 
 
 # --- components ---------------------------------------------------------------------------------------------

@@ -72,10 +72,11 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert simhash.near_duplicates(none, 3).count() == 0
 
 
-@pytest.mark.parametrize("split", [4096, 3])
-def test_spanning_edges_lose_no_link(spark, monkeypatch, split):
-    """Clusters around few centres, some of many fingerprints, with anchors split over salts or not."""
+@pytest.mark.parametrize(("split", "third"), [(4096, 1 << 24), (3, 1 << 24), (4096, 0), (3, 0)])
+def test_spanning_edges_lose_no_link(spark, monkeypatch, split, third):
+    """Clusters around few centres, some of many fingerprints, with anchors split over salts or not, over two blocks of bits or three."""
     monkeypatch.setattr(simhash, "SPLIT_HOMES", split)
+    monkeypatch.setattr(simhash, "THIRD_BLOCK", third)
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
     prints = set()
