@@ -178,6 +178,15 @@ def test_quality_of_odd_rows(spark):
     assert quality_classifier.quality_scores(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("only", [0, 1])
+def test_quality_learned_from_one_class(spark, only):
+    """With labels of one kind alone there is nothing to tell apart: every text scores as that kind."""
+    rows = [(k, f"a text of some words number {k} " * (1 + k % 5), "en", "s", 0.0, only) for k in range(60)] + [(1000, "", "en", "s", 0.0, only), (1001, None, "en", "s", 0.0, only)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = quality_classifier.quality_scores(docs, docs.select("doc_id", F.col("label").alias("quality"))).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == only for r in got)
+
+
 def test_op7_against_plain_ridge(spark, sf_dir, documents):
     """Weights from the whole design matrix at once, and steps from scores that were not in it."""
     import zlib
