@@ -24,8 +24,10 @@ Texts of the same fingerprint (or the same set) are one node from the start, so
 third of all rows may share one. An anchor with more than SPLIT_HOMES homes is split: its homes are dealt over
 salts and the other side goes to each salt. A task streams over rows sorted by anchor, homes first, and keeps no
 more than one anchor's homes in memory. Of the links found it emits a spanning forest, shortest first, so that a
-cluster of k nodes yields k - 1 edges and not k * k pairs; the components stay the same. Where the exact check
-then breaks a component up, its parts are compared whole, block by block, so no link is lost by the forest. Components are joined by alternating large-star and small-star steps on tables.
+cluster of k nodes yields k - 1 edges and not k * k pairs; the components stay the same. Tasks don't know each
+other's forests, so similar_documents() goes over its tables in two passes, and the second has only edges between
+what the first has left apart. Where the exact check then breaks a component up, its parts are compared whole, block
+by block, so no link is lost by the forest. Components are joined by alternating large-star and small-star steps on tables.
 
 near_duplicates() compares each fingerprint with about 61 * n / 2 ** 24 others, and from THIRD_BLOCK on with about
 119 * n / 2 ** 36; similar_documents() takes more exact bits and more tables as n grows and keeps the lists short.
@@ -260,8 +262,12 @@ def _links(key: np.ndarray, guest: np.ndarray, columns: list[np.ndarray], compar
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def compared(rows: DataFrame, columns: list[str], compare: Compare, all_links: bool = False) -> DataFrame:
-    """u, v: spanning links, or all, of rows (anchor, salt, guest and columns, the first of them the node) as dealt() leaves them."""
+def compared(rows: DataFrame, columns: list[str], compare: Compare, all_links: bool = False, part: int = 0) -> DataFrame:
+    """u, v: spanning links, or all, of rows (anchor, salt, guest and columns, the first of them the node) as dealt() leaves them.
+
+    part: which column the forest spans, if not the nodes but parts of connected ones; then with bits, part_u and part_v.
+    """
+    names = ["u", "v", "bits", "part_u", "part_v"] if part else ["u", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: list[np.ndarray] = []
@@ -278,16 +284,17 @@ def compared(rows: DataFrame, columns: list[str], compare: Compare, all_links: b
             changes = np.concatenate([[0], np.cumsum((anchor[1:] != anchor[:-1]) | (salt[1:] != salt[:-1]))])
             u, v, bits = _links(changes, guest, values, compare, all_links)
             if len(u):
-                nodes, at = np.unique(np.concatenate([values[0][u], values[0][v]]), return_inverse=True)
-                a, b_ = at[: len(u)], at[len(u) :]
-                kept = slice(None) if all_links else spanning(a, b_, bits)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a[kept]]), pa.array(nodes[b_[kept]])], ["u", "v"])
+                parts, at = np.unique(np.concatenate([values[part][u], values[part][v]]), return_inverse=True)
+                kept = slice(None) if all_links else spanning(at[: len(u)], at[len(u) :], bits)
+                u, v, bits = u[kept], v[kept], bits[kept].astype(np.int16)
+                out = [values[0][u], values[0][v], bits, values[part][u], values[part][v]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out[: len(names)]], names)
             carry_key = (anchor[-1], salt[-1])
             last = (changes == changes[-1]) & (guest == 0)
             carry = [x[last] for x in values]
         give_back()
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, ", ".join(f"{c} {'short' if c == 'bits' else 'long'}" for c in names))
 
 
 def _two_bits(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -363,6 +370,12 @@ class Cover:
         tables = max(1, math.ceil(math.log(MISSED) / math.log1p(-min(0.999999, meet * (1 - p) ** exact))))
         return Cover(tables, exact, min(127, math.floor(128 * p + 4 * math.sqrt(128 * p * (1 - p)))))
 
+    @property
+    def passes(self) -> list[range]:
+        """The tables, few in the first pass and the rest in the second."""
+        first = -(-self.tables // 10)
+        return [r for r in (range(first), range(first, self.tables)) if r]
+
     @property
     def lanes(self) -> int:
         return max(2, -(-self.tables * (BLOCK + self.exact_bits) // 64))
@@ -439,11 +452,11 @@ def shingle_sets(docs: DataFrame, number: str, shingle: int) -> DataFrame:
     return _texts(docs, number).mapInArrow(run, "node long, hashes array<long>")
 
 
-def table_anchors(prints: np.ndarray, cover: Cover, homes_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each table rows of prints (n, lanes), anchors and whether the anchor is the home."""
+def table_anchors(prints: np.ndarray, cover: Cover, tables: range, homes_only: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of tables rows of prints (n, lanes), anchors and whether the anchor is the home."""
     patterns, starts, counts = coset_patterns()
     width = BLOCK + cover.exact_bits
-    for table in range(cover.tables):
+    for table in tables:
         lane, shift = divmod(table * width, 64)
         word = prints[:, lane] >> np.uint64(shift)
         if shift + width > 64:
@@ -458,37 +471,52 @@ def table_anchors(prints: np.ndarray, cover: Cover, homes_only: bool = False) ->
             yield rows, (block[rows] ^ patterns[starts[excess][syndrome][rows] + k]) | rest[rows], np.full(len(rows), excess == 0)
 
 
-def table_replicas(nodes: DataFrame, cover: Cover, homes_only: bool = False) -> DataFrame:
-    """anchor, guest (0 at the home), node, size and the first 128 bits for each of nodes (node, size, print)."""
-    names = ["anchor", "guest", "node", "size", "p0", "p1"]
+def table_replicas(nodes: DataFrame, cover: Cover, tables: range, homes_only: bool = False) -> DataFrame:
+    """anchor, guest (0 at the home), node, part, size and the first 128 bits for each of nodes (node, part, size, print)."""
+    names = ["anchor", "guest", "node", "part", "size", "p0", "p1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 prints = np.frombuffer(b"".join(b["print"].to_pylist()), np.uint64).reshape(b.num_rows, -1)
-                node, size = b["node"].to_numpy(), b["size"].to_numpy()
+                node, part, size = (b[c].to_numpy() for c in ("node", "part", "size"))
                 p0, p1 = (prints[:, k].view(np.int64) for k in (0, 1))
-                for rows, anchor, home in table_anchors(prints, cover, homes_only):
+                for rows, anchor, home in table_anchors(prints, cover, tables, homes_only):
                     if homes_only:
                         yield pa.RecordBatch.from_arrays([pa.array(anchor)], ["anchor"])
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), *(pa.array(x[rows]) for x in (node, size, p0, p1))], names)
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((~home).astype(np.int8)), *(pa.array(x[rows]) for x in (node, part, size, p0, p1))], names)
 
-    return nodes.select("node", "size", "print").mapInArrow(run, "anchor long" if homes_only else "anchor long, guest byte, node long, size int, p0 long, p1 long")
+    return nodes.select("node", "part", "size", "print").mapInArrow(run, "anchor long" if homes_only else "anchor long, guest byte, node long, part long, size int, p0 long, p1 long")
 
 
 def candidates(nodes: DataFrame, cover: Cover, similarity: float) -> DataFrame:
-    """u < v: a spanning forest of the pairs of nodes (node, size, print) that meet at an anchor, are within the limit and of sizes that allow the similarity."""
+    """u < v: few pairs that connect what all pairs of nodes (node, size, print) do that meet at an anchor, are within the limit and of sizes that allow the similarity.
 
-    def compare(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.bitwise_count((x[2] ^ y[2]).view(np.uint64)) + np.bitwise_count((x[3] ^ y[3]).view(np.uint64))
-        near = (bits <= cover.limit) & (x[0] != y[0])
-        return bits, near & (np.minimum(x[1], y[1]) >= similarity * np.maximum(x[1], y[1]))
+    Each anchor has a spanning forest of its own, so all tables together would have as many pairs for a node of a
+    large group as it has anchors. So what the first tables connect are parts, the other tables give only pairs
+    between parts, and of two parts only the closest pair stays.
+    """
 
-    nodes = nodes.repartition(max(1, nodes.count() // 10_000))
-    found = compared(dealt(table_replicas(nodes, cover), table_replicas(nodes, cover, homes_only=True), "node"), ["node", "size", "p0", "p1"], compare)
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    def compare(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.bitwise_count((x[3] ^ y[3]).view(np.uint64)) + np.bitwise_count((x[4] ^ y[4]).view(np.uint64))
+        near = (bits <= cover.limit) & (x[1] != y[1])
+        return bits, near & (np.minimum(x[2], y[2]) >= similarity * np.maximum(x[2], y[2]))
+
+    n = max(1, nodes.count() // 10_000)
+    found = None
+    for tables in cover.passes:
+        each = nodes.withColumn("part", F.col("node"))
+        if found is not None:
+            each = nodes.join(_with_roots(found, "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        each = each.repartition(n)
+        pairs = compared(dealt(table_replicas(each, cover, tables), table_replicas(each, cover, tables, homes_only=True), "node"), ["node", "part", "size", "p0", "p1"], compare, part=1)
+        closest = F.min(F.struct("bits", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).alias("pair")
+        pairs = pairs.groupBy(F.least("part_u", "part_v"), F.greatest("part_u", "part_v")).agg(closest)
+        pairs = materialize(pairs.select("pair.u", "pair.v"), "pairs")
+        found = pairs if found is None else found.union(pairs)
+    return found
 
 
 def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -60,6 +60,32 @@ def test_components_that_the_check_breaks_up(spark):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == roots_of(chain | near)
 
 
+def test_pairs_of_a_large_group_grow_with_its_size(spark):
+    """Many tasks that each see a part of one large group don't each hand over a forest of it."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(60)], {}
+    for k in range(600):
+        new = list(base)
+        for at in rng.choice(60, 1 + k % 3, replace=False):
+            new[at] = f"x{rng.integers(0, 10**6)}"
+        texts[k] = " ".join(new)
+    cover = simhash.Cover.of(0.8, len(texts))
+    sets = [(k, simhash.shingle_set(t.encode(), 5)) for k, t in texts.items()]
+    nodes = spark.createDataFrame([(k, len(s), bytearray(simhash.long_fingerprint(s, cover.lanes).tobytes())) for k, s in sets], "node long, size int, print binary")
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pairs = simhash.candidates(nodes, cover, 0.8).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(pairs) == len({tuple(p) for p in pairs}) < 4 * len(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()} == roots_of(texts)
+
+
 def test_stages_decide_by_row(spark):
     rows = [(None, "the same text of seven words here", "a"), (None, "the same text of seven words here", "b"), (7, "one two three four five six", "a"), (7, "one two three four five six", "a"), (7, "quite another text of some words", "a"), (8, "", "a"), (9, None, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, Row_Number_ string")
