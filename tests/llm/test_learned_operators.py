@@ -144,6 +144,33 @@ def test_sides_that_look_alike_block_nothing(spark):
     assert url_filter.filter_urls(spark.createDataFrame(rows, PAGES), alike, known_rejected=known).count() == len(rows)
 
 
+def test_op3_learns_from_every_url_whole(spark):
+    """More rows than any sample, and a URL of thousands of characters, all count."""
+    import re
+    import zlib
+    from collections import Counter
+
+    urls = [f"http://h{k % 7}.{'org/fr' if k % 2 else 'net'}/{'abcdefghijk'[k % 11]}{'mn' * (k % 5)}{k}" for k in range(50_000)]
+    urls += ["http://x.org/fr/" + "q" * 3_000 + ".", "http://free.com/qqqq.", "http://\U0001f600.com/\U0001f600x", "http://free.com/amn0", "", None]
+    text = [re.sub("[0-9]", "0", re.sub(r"(?s)^.*?://", "", u or "", count=1).lower()) for u in urls]
+    models = []
+    for side in (".org/fr", ".net"):
+        counts = Counter()
+        for t, n in Counter(t for t in text if side in t and zlib.crc32(t.encode()) % 5).items():
+            padded = url_filter.START * url_filter.ORDER + t + url_filter.END
+            for end in range(url_filter.ORDER + 1, len(padded) + 1):
+                for size in range(1, url_filter.ORDER + 2):
+                    counts[padded[end - size : end]] += n
+        models.append(url_filter.MarkovModel(counts))
+    assert any("q" * 3_000 in t and zlib.crc32(t.encode()) % 5 for t in text)
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in url_filter.filter_urls(rows, queries.URL_RULES).collect()}
+    assert len(got) == len(urls)
+    for k in [*range(200), *range(len(urls) - 6, len(urls))]:
+        score = (models[1].log_likelihood(text[k]) - models[0].log_likelihood(text[k])) / (len(text[k]) + 1)
+        assert got[k] == pytest.approx(score, abs=1e-9)
+
+
 def test_markov_model_is_a_distribution():
     model = url_filter.MarkovModel({"a": 5, "b": 3, "ab": 3, "aa": 2, "ba": 2, "aab": 1})
     total = sum(model._probability("a" + chr(c)) for c in range(256))
